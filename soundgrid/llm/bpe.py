@@ -43,6 +43,18 @@ def tokenizer(path: str):
     return t
 
 
+@lru_cache(maxsize=4)
+def word_encoder(path: str):
+    """The tokenizer for words that are normalised already."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.normalizer = None
+    t.no_truncation()
+    t.no_padding()
+    return t
+
+
 def split_words(text: str, path: str) -> list[str]:
     """The words of a text, lower-cased; a special token is a word of its own."""
     found: list[str] = []
@@ -99,7 +111,7 @@ def word_table(docs: DataFrame, path: str) -> DataFrame:
 
     @F.pandas_udf("array<int>")
     def encode(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        t = tokenizer(path)
+        t = word_encoder(path)
         for batch in words:
             yield pd.Series([np.array(e.ids, np.int32) for e in t.encode_batch(batch.tolist(), add_special_tokens=False)])
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, quality
+from . import bpe, hyperminhash, lines, quality
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -38,6 +38,10 @@ FROM k LEFT JOIN f ON k.key = f.key GROUP BY doc_id
 """
 
 
+def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(_docs(spark, sf_dir), percent=85)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     out = quality.scored(docs.select("doc_id", "text"), quality.fit(docs, labels))
@@ -45,7 +49,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op3_lines": op3_lines, "op9_quality": op9_quality}
+    return {"op1_bpe": op1_bpe, "op3_lines": op3_lines, "op5_hyperminhash": op5_hyperminhash, "op9_quality": op9_quality}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hyperminhash, lines, quality
+from . import bpe, fingerprint, hyperminhash, lines, quality
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -42,6 +42,10 @@ def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(_docs(spark, sf_dir), percent=85)
 
 
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compared(_docs(spark, sf_dir))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     out = quality.scored(docs.select("doc_id", "text"), quality.fit(docs, labels))
@@ -49,7 +53,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op3_lines": op3_lines, "op5_hyperminhash": op5_hyperminhash, "op9_quality": op9_quality}
+    return {"op1_bpe": op1_bpe, "op3_lines": op3_lines, "op5_hyperminhash": op5_hyperminhash, "op8_fingerprint": op8_fingerprint, "op9_quality": op9_quality}
 
 
 def oracle_sql() -> dict[str, str]:

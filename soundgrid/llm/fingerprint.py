@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-PIECE, WIDE, SEEDS = 32, 8, 3
+PIECE, WIDE, SEEDS = 32, 8, 4
 SHIFT, FIELDS = 20, 3
 PACKED = SEEDS * SHIFT
 FIELD = sum(1 << SHIFT * k for k in range(FIELDS))

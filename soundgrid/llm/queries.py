@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, hyperminhash, lines, quality
+from . import bpe, fingerprint, hyperminhash, lines, quality, warc
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -21,6 +21,20 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(_docs(spark, sf_dir), public_tokenizers.path(WORD_BPE)))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {5 * g + 1}, 5))::BIGINT >> {s}) & 31) + 1, 1)" for g in range(8) for s in (15, 10, 5, 0))
+OP2_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+"""
+
+
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup(_docs(spark, sf_dir), min_docs=10)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
@@ -53,8 +67,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op3_lines": op3_lines, "op5_hyperminhash": op5_hyperminhash, "op8_fingerprint": op8_fingerprint, "op9_quality": op9_quality}
+    return {"op1_bpe": op1_bpe, "op2_warc": op2_warc, "op3_lines": op3_lines, "op5_hyperminhash": op5_hyperminhash, "op8_fingerprint": op8_fingerprint, "op9_quality": op9_quality}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_lines": OP3_SQL}
+    return {"op2_warc": OP2_SQL, "op3_lines": OP3_SQL}

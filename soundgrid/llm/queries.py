@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, hyperminhash, lines, quality, warc
+from . import bpe, fingerprint, hyperminhash, licenses, lines, quality, token_shards, warc
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -56,6 +56,17 @@ def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(_docs(spark, sf_dir), percent=85)
 
 
+def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_shards.materialise(_docs(spark, sf_dir), public_tokenizers.path(WORD_BPE))
+    return out.withColumn("shard", F.regexp_extract("shard", r"shard-(\d+)", 1).cast("long"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    out = licenses.scan(docs, licenses.fit(docs))
+    return out.select("doc_id", F.concat_ws(",", "families").alias("families"), F.size("spans").alias("n_spans"), F.to_json("spans").alias("spans"))
+
+
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compared(_docs(spark, sf_dir))
 
@@ -67,7 +78,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_warc": op2_warc, "op3_lines": op3_lines, "op5_hyperminhash": op5_hyperminhash, "op8_fingerprint": op8_fingerprint, "op9_quality": op9_quality}
+    return {"op1_bpe": op1_bpe, "op2_warc": op2_warc, "op3_lines": op3_lines, "op5_hyperminhash": op5_hyperminhash, "op6_token_shards": op6_token_shards, "op7_licenses": op7_licenses, "op8_fingerprint": op8_fingerprint, "op9_quality": op9_quality}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, hyperminhash, licenses, lines, quality, token_shards, warc
+from . import bpe, decontaminate, fingerprint, hyperminhash, licenses, lines, quality, token_shards, warc
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -52,6 +52,13 @@ FROM k LEFT JOIN f ON k.key = f.key GROUP BY doc_id
 """
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    out = decontaminate.scan(docs, decontaminate.fit(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    ids = F.concat_ws(",", F.transform("items", lambda x: x.item_id.cast("string")))
+    return out.select("doc_id", (F.size("items") > 0).alias("contaminated"), ids.alias("item_ids"), F.array_max(F.col("items.share")).alias("share"))
+
+
 def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(_docs(spark, sf_dir), percent=85)
 
@@ -78,7 +85,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_warc": op2_warc, "op3_lines": op3_lines, "op5_hyperminhash": op5_hyperminhash, "op6_token_shards": op6_token_shards, "op7_licenses": op7_licenses, "op8_fingerprint": op8_fingerprint, "op9_quality": op9_quality}
+    return {"op1_bpe": op1_bpe, "op2_warc": op2_warc, "op3_lines": op3_lines, "op4_decontaminate": op4_decontaminate, "op5_hyperminhash": op5_hyperminhash, "op6_token_shards": op6_token_shards, "op7_licenses": op7_licenses, "op8_fingerprint": op8_fingerprint, "op9_quality": op9_quality}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,18 +4,46 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from soundgrid.llm import bpe
+from soundgrid.llm import bpe, decontaminate, hyperminhash, lines, quality
 from soundgrid.llm.common import written
 from soundgrid.llm.queries import WORD_BPE
 
+MIN_DOCS = 10
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts, at the same 0.7 as its query."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.scored(docs, model, "_quality").where("_quality >= 0.7").drop("_quality")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines in at least MIN_DOCS documents go from every text; n_chars follows the text."""
+    out = lines.dropped_from(docs, MIN_DOCS)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: the one with the least doc_id."""
+    gone = hyperminhash.near_duplicates(docs.select("doc_id", "text"), percent=80).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    model = decontaminate.fit(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.scan(docs, model).where(F.size("items") == 0).drop("items")
+
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids and the decoded text of each document that is left, as digests."""
     return bpe.digests(bpe.encode(docs, public_tokenizers.path(WORD_BPE)))
 
 
-STAGES = [("bpe", encoded)]
+STAGES = [("quality", good_quality), ("lines", line_dedup), ("near_duplicates", near_dedup), ("benchmark", decontaminated), ("bpe", encoded)]
+#: The classifier, the latent search and the tokenizer can't be expressed in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, remove, text_of, written
 
-PASSAGE, RANK, COMMON = 32, 48, 0.2
+PASSAGE, RANK, COMMON = 32, 64, 0.2
 _ENDS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -79,6 +79,9 @@ class Item:
 
     def held_by(self, window: list[int], likely: float, sure: float) -> float:
         """The share of the item's words that the window holds in order, or 0 if that isn't enough."""
+        there = set(window)
+        if sum(map(there.__contains__, self.ids)) < likely * len(self.ids):  # no subsequence can be longer
+            return 0.0
         share = lcs(self.masks, len(self.ids), window) / len(self.ids)
         if share >= sure or share >= likely and lcs(self.answer_masks, len(self.answer), window) / len(self.answer) >= sure:
             return share
@@ -224,8 +227,11 @@ def fit(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, seed: int = 0)
     small = start.T @ image  # start' A'A start, so image (small)^-1 image' approximates A'A
     values, turns = np.linalg.eigh((small + small.T) / 2)
     good = values > 1e-9 * max(values.max(), 1e-12)
-    basis = np.linalg.svd(image @ (turns[:, good] / np.sqrt(values[good])), full_matrices=False)[0] if good.any() else np.zeros((n + 1, 1))
-    return Model(vocabulary, items, (weights[:, None] * basis).astype(np.float32))
+    if not good.any():
+        return Model(vocabulary, items, np.zeros((n + 1, 1), np.float32))
+    basis, sigma, _ = np.linalg.svd(image @ (turns[:, good] / np.sqrt(values[good])), full_matrices=False)
+    # coordinates are divided by the singular values, else the languages' directions outweigh all others
+    return Model(vocabulary, items, (weights[:, None] * basis / sigma).astype(np.float32))
 
 
 def scan(docs: DataFrame, model: Model, least_cosine: float = 0.45, likely: float = 0.6, sure: float = 0.8) -> DataFrame:

@@ -35,7 +35,7 @@ class Shapes(dict):
         import xxhash
 
         shape = _RUN.sub(lambda m: "Aa0a"[m.lastindex - 1], word)[:12]
-        if len(self) > 1_000_000:
+        if len(self) > 50_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(shape.encode("utf-8", "surrogatepass"), 7)
         return h

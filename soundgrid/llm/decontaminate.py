@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, remove, text_of, written
 
-PASSAGE, RANK, COMMON = 32, 64, 0.2
+PASSAGE, RANK, COMMON = 32, 128, 0.2
 _ENDS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 

@@ -7,8 +7,8 @@ similarity, corrected for registers that agree by chance, and only pairs within
 their full sets.
 
 Within a band's bucket, nodes are first compared with one of them (its least). The links so found give components; only
-buckets that still hold several components are compared further, block by block, and a block gives out no pair of one
-component. No bucket is capped. The work on the driver is bounded.
+buckets that still hold several components are compared further, block by block on full sets, and a block gives out no
+more links than join its components. No bucket is capped. The work on the driver is bounded.
 
 A null or empty text, or one of white space, has an empty set and is linked with nothing. Fewer than five words are one
 shingle. Rows are what is linked; repeated rows form one node. A row with a null doc_id is linked with nothing and has
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import WordHashes, arrow_rows, mixed, remove, text_of, written
 from .graph import components
 
-REGISTERS, MANTISSA, ROWS = 128, 10, 4
+REGISTERS, MANTISSA, ROWS = 256, 10, 6
 BANDS = REGISTERS // ROWS
 #: Chance that two registers of different sets agree: equal zeros (1/3) and equal mantissas.
 CHANCE = 2.0**-MANTISSA / 3
@@ -117,66 +117,85 @@ def _close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.where(near("ra", "rb")).select("a", "b")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b that are linked by their full sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "key", "doc_id"), "node")
-    texts = text_of(docs).join(wanted, "doc_id")
+def _sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, full (the sorted hashes of its set) for wanted nodes with their key and doc_id; written."""
+    texts = text_of(docs).join(wanted.select("node", "key", "doc_id"), "doc_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes_, full = [], []
+            nodes, full = [], []
             for node, key, text in arrow_rows([batch], "node", "key", "text"):
                 h = shingles(text)
                 if xxhash.xxh3_128_digest(h.tobytes()) == key:  # a repeated doc_id may have other texts too
-                    nodes_.append(node)
+                    nodes.append(node)
                     full.append(h.tobytes())
-            yield pa.RecordBatch.from_pydict({"node": pa.array(nodes_, pa.int64()), "full": pa.array(full, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "full": pa.array(full, pa.binary())})
+
+    return written(texts.select("node", "key", "text").mapInArrow(sets, "node long, full binary").dropDuplicates(["node"]), "sets")
+
+
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the limit."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    at = np.searchsorted(a, b)
+    at[at == len(a)] = 0
+    both = int((a[at] == b).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
 
-    full = written(texts.select("node", "key", "text").mapInArrow(sets, "node long, full binary").dropDuplicates(["node"]), "sets")
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs a, b that are linked by their full sets."""
+    ends = pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct()).distinct()
+    full = _sets(ends.join(nodes, "node"), docs)
 
     @F.pandas_udf("boolean")
-    def linked(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for u, v in zip(x, y, strict=True):
-            u, v = np.frombuffer(u, np.uint64), np.frombuffer(v, np.uint64)
-            both = len(np.intersect1d(u, v, assume_unique=True))
-            out.append(100 * both >= percent * (len(u) + len(v) - both))
-        return pd.Series(out)
+    def check(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([linked(np.frombuffer(u, np.uint64), np.frombuffer(v, np.uint64), percent) for u, v in zip(x, y, strict=True)], dtype=bool)
 
     for end in "ab":
         pairs = pairs.join(full.select(F.col("node").alias(end), F.col("full").alias(f"f{end}")), end)
-    out = written(pairs.where(linked("fa", "fb")).select("a", "b"), "links")
+    out = written(pairs.where(check("fa", "fb")).select("a", "b"), "links")
     remove(full)
     return out
 
 
-def _left_over(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs a, b of one bucket but different components, other than with the bucket's least node, that come near the limit."""
+def _left_over(members: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links a, b that join further components of nodes that meet in a bucket.
+
+    Buckets that still hold several components make clusters. A cluster is compared block by block on full sets, after
+    the registers' estimate; a block gives out the links that join components, so no more than it has nodes.
+    """
     known = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    many = known.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi and n > 2")
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    rows = known.join(many.select("bucket", parts.alias("parts")), "bucket").withColumn("own", own)
+    many = known.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi and n > 2").select("bucket")
+    edges = known.join(many, "bucket").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    clusters = written(components(edges).withColumnRenamed("label", "cluster").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "clusters")
+    full = _sets(clusters.select("node").join(nodes, "node"), docs)
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    rows = clusters.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("bucket", "node", "least", "label", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
-    rows = rows.join(nodes.select("node", "regs"), "node")
+    rows = rows.select("cluster", "node", "label", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    rows = rows.join(nodes.select("node", "regs"), "node").join(full, "node")
 
     def compare(t: pa.Table) -> pa.Table:
-        node, label, own, least = (t[c].to_numpy() for c in ("node", "label", "own", "least"))
+        node, root, own = (t[c].to_numpy().copy() for c in ("node", "label", "own"))
         p, q = t["p"][0].as_py(), t["q"][0].as_py()
         regs = np.frombuffer(b"".join(t["regs"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        sets = [np.frombuffer(x, np.uint64) for x in t["full"].to_pylist()]
         left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
-        a, b = [], []
+        links = []
         for k in left:
-            others = right[(label[right] != label[k]) & ((node[right] > node[k]) if p == q else (node[right] != node[k]))]
-            others = others[(node[others] != least[others]) & (node[k] != least[k])]
-            others = others[near_enough(regs[others], regs[k], percent)]
-            a.append(np.full(len(others), node[k]))
-            b.append(node[others])
-        a, b = np.concatenate([*a, np.zeros(0, np.int64)]), np.concatenate([*b, np.zeros(0, np.int64)])
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
-
-    return rows.groupBy("bucket", "p", "q").applyInArrow(compare, "a long, b long").distinct()
+            others = right[root[right] != root[k]]
+            for o in others[near_enough(regs[others], regs[k], percent)]:
+                if root[o] != root[k] and linked(sets[k], sets[o], percent):
+                    links.append((node[k], node[o]))
+                    root[root == root[o]] = root[k]
+        return pa.table({c: pa.array([x[i] for x in links], pa.int64()) for i, c in enumerate("ab")})
+
+    out = written(rows.groupBy("cluster", "p", "q").applyInArrow(compare, "a long, b long"), "links")
+    remove(full)
+    remove(clusters)
+    return out
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -192,9 +211,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     stars = members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     links = _verified(written(_close(stars, nodes, percent), "pairs"), docs, nodes, percent)
     labels = written(components(links), "labels")
-    rest = written(_left_over(members, labels, nodes, percent), "pairs")
+    rest = _left_over(members, labels, nodes, docs, percent)
     if not rest.isEmpty():
-        labels = written(components(links.unionByName(_verified(rest, docs, nodes, percent))), "labels")
+        labels = written(components(links.unionByName(rest)), "labels")
     found = nodes.select("key", "doc_id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = found.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     classes = found.join(least, "label").select("key", "component_id")

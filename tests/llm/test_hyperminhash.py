@@ -61,7 +61,7 @@ def test_estimate_is_close():
     for _ in range(200):
         x = rng.integers(0, 2**64, 1000, np.uint64)
         a, b = (hm.registers(np.unique(v)) for v in (x[:900], x[100:]))
-        got.append((((a == b) & (a > 0)).sum() / 128 - hm.CHANCE) / (1 - hm.CHANCE))
+        got.append((((a == b) & (a > 0)).sum() / hm.REGISTERS - hm.CHANCE) / (1 - hm.CHANCE))
     assert abs(np.mean(got) - 0.8) < 0.02
 
 

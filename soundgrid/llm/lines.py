@@ -75,9 +75,9 @@ class LineRuns:
         return self._summed(self.runs()).where(F.col("n") >= self.min_docs).select("key")
 
 
-def frequent_keys(docs: DataFrame, min_docs: int, batches: int = 4) -> DataFrame:
-    """Keys in at least min_docs documents, from one scan that is dealt over batches and merged batch by batch."""
-    keys = docs.select(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(batches)).cast("int").alias("batch"), F.explode(keys_in(F.col("text"))).alias("key"))
+def frequent_keys(rows: DataFrame, min_docs: int, batches: int = 4) -> DataFrame:
+    """Keys in at least min_docs rows of _row and keys, which are dealt over batches and merged batch by batch."""
+    keys = rows.select(F.pmod(F.xxhash64("_row"), F.lit(batches)).cast("int").alias("batch"), F.explode("keys").alias("key"))
     counts = keys.groupBy("batch", "key").agg(F.count(F.lit(1)).alias("n"))
     arrived = written(counts, "line-batches")
     runs = LineRuns(min_docs)
@@ -90,7 +90,8 @@ def frequent_keys(docs: DataFrame, min_docs: int, batches: int = 4) -> DataFrame
 def marked(docs: DataFrame, min_docs: int) -> DataFrame:
     """docs with ``_lines`` and ``_kept``, the lines that stay."""
     keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))  # rows that share it share at most more frequent keys
-    hot = keyed.select("_row", F.explode(keys_in(F.col("text"))).alias("key")).join(frequent_keys(docs, min_docs), "key")
+    rows = written(keyed.select("_row", keys_in(F.col("text")).alias("keys")), "line-keys")
+    hot = rows.select("_row", F.explode("keys").alias("key")).join(frequent_keys(rows, min_docs), "key")
     hot = hot.groupBy("_row").agg(F.collect_set("key").alias("_hot"))
     out = keyed.join(hot, "_row", "left").withColumn("_lines", lines_of(F.col("text")))
     kept = F.filter("_lines", lambda x: ~F.coalesce(F.array_contains(F.col("_hot"), key_of(x)), F.lit(False)))

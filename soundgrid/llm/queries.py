@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprint, hyperminhash, licenses, lines, quality, token_shards, warc
+from . import bpe, bwt_dedup, decontaminate, fingerprint, hyperminhash, licenses, lines, quality, token_shards, warc
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -84,8 +84,13 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", quality.held_out(F.col("doc_id").cast("string")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op10_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bwt_dedup.dedup(_docs(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("body", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_warc": op2_warc, "op3_lines": op3_lines, "op4_decontaminate": op4_decontaminate, "op5_hyperminhash": op5_hyperminhash, "op6_token_shards": op6_token_shards, "op7_licenses": op7_licenses, "op8_fingerprint": op8_fingerprint, "op9_quality": op9_quality}
+    return {"op1_bpe": op1_bpe, "op2_warc": op2_warc, "op3_lines": op3_lines, "op4_decontaminate": op4_decontaminate, "op5_hyperminhash": op5_hyperminhash, "op6_token_shards": op6_token_shards, "op7_licenses": op7_licenses, "op8_fingerprint": op8_fingerprint, "op9_quality": op9_quality, "op10_bwt": op10_bwt}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -3,7 +3,8 @@
 Every text is split into words on Spark, each distinct word is encoded once and turned back into pieces by a join of
 its ids with the id-to-piece table, and the results are joined to the words' positions. The ``hot_words`` most frequent
 words (a fixed number, so of bounded size) are sent to all tasks; every other word reaches its block of documents by a
-join on (block, word). Blocks hold about ``block_chars`` characters, however many documents there are.
+join on the word, packed by block. Blocks hold about ``block_chars`` characters, however many documents there are; a
+document travels to its block as compressed word numbers.
 
 Null and empty texts give no ids and an empty decoded text. Rows with the same doc_id are encoded one by one. A null
 doc_id is kept. Other columns of the input are ignored.
@@ -21,16 +22,17 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, blocks_for, remove, text_of, written
+from .common import arrow_rows, blocks_for, text_of, written
 
 SPECIAL = re.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
 # Up to U+017F all characters are composed, as are their lower cases; other texts go to the tokenizer's own rules.
 _PLAIN = re.compile("[\t-\r -~\xa0-\u012f\u0131-\u017f]*")
 _CLASS = {k: "".join(re.escape(c) for c in map(chr, range(0x180)) if unicodedata.category(c)[0] == k) for k in "LN"}
-_WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_CLASS['L']}]+|[{_CLASS['N']}]|[^\s{_CLASS['L']}{_CLASS['N']}]+")
+_WORD = re.compile(rf"[{_CLASS['L']}]+|[{_CLASS['N']}]|'(?:s|t|re|ve|m|ll|d)|[^\s{_CLASS['L']}{_CLASS['N']}]+")
 
 
 @lru_cache(maxsize=4)
@@ -81,7 +83,7 @@ def word_counts(docs: DataFrame, path: str) -> DataFrame:
 
         for (text,) in arrow_rows(batches, "text"):
             seen.update(split_words(text, path))
-            if len(seen) > 200_000:
+            if len(seen) > 400_000:
                 yield out()
                 seen.clear()
         yield out()
@@ -101,9 +103,13 @@ def decode(encoded: DataFrame, path: str, key: str, ids: str = "ids") -> DataFra
     The piece table is broadcast: its size is that of the vocabulary file.
     """
     pieces = F.broadcast(piece_table(encoded.sparkSession, path))
-    each = encoded.select(key, F.posexplode_outer(ids).alias("pos", "id")).join(pieces, "id", "left")
+    return _joined(encoded.select(key, F.posexplode_outer(ids).alias("pos", "id")).join(pieces, "id", "left"), key)
+
+
+def _joined(each: DataFrame, *keys: str) -> DataFrame:
+    """keys, decoded: pieces by pos joined by spaces."""
     ordered = F.array_sort(F.collect_list(F.struct("pos", "piece")))
-    return each.groupBy(key).agg(F.concat_ws(" ", F.transform(ordered, lambda x: x.piece)).alias("decoded"))
+    return each.groupBy(*keys).agg(F.concat_ws(" ", F.transform(ordered, lambda x: x.piece)).alias("decoded"))
 
 
 def word_table(docs: DataFrame, path: str) -> DataFrame:
@@ -115,30 +121,47 @@ def word_table(docs: DataFrame, path: str) -> DataFrame:
         for batch in words:
             yield pd.Series([np.array(e.ids, np.int32) for e in t.encode_batch(batch.tolist(), add_special_tokens=False)])
 
-    table = written(word_counts(docs, path).withColumn("ids", encode("word")), "bpe-words")
-    out = written(table.join(decode(table, path, "word"), "word"), "bpe-word-table")
-    remove(table)
+    encoded = word_counts(docs, path).withColumn("ids", encode("word"))
+    pieces = F.broadcast(piece_table(docs.sparkSession, path))
+    each = encoded.select("word", "n", "ids", F.posexplode_outer("ids").alias("pos", "id")).join(pieces, "id", "left")
+    # grouped by the word that the counts are dealt by already
+    return written(_joined(each, "word", "n", "ids"), "bpe-words")
+
+
+def _packed(*arrays: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(len(a).to_bytes(8, "little") + a for a in arrays))
+
+
+def _unpacked(raw: bytes) -> list[bytes]:
+    data, out, at = zstandard.ZstdDecompressor().decompress(raw), [], 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 8], "little")
+        out.append(data[at + 8 : at + 8 + n])
+        at += 8 + n
     return out
 
 
-def encode(docs: DataFrame, path: str, hot_words: int = 32_768, block_chars: int = 4_000_000) -> DataFrame:
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([len(x) for x in lists], np.int64), np.array([i for x in lists for i in x], np.int32)
+
+
+def encode(docs: DataFrame, path: str, hot_words: int = 131_072, block_chars: int = 16_000_000) -> DataFrame:
     """doc_id, ids (array of int), decoded (string) of every whole text of docs."""
     spark, docs = docs.sparkSession, text_of(docs)
     table = word_table(docs, path)
     hot = table.orderBy(F.desc("n"), "word").limit(hot_words).toPandas()
     rank = spark.sparkContext.broadcast({w: k for k, w in enumerate(hot.word)})
-    hot_ids = spark.sparkContext.broadcast(list(hot.ids.map(lambda x: np.asarray(x, np.int32))))
-    hot_text = spark.sparkContext.broadcast(list(hot.decoded))
+    known = spark.sparkContext.broadcast((*_flat(list(hot.ids)), list(hot.decoded)))
     blocked = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks_for(docs, "text", block_chars))).cast("int"))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, set[str]] = {}
+        size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
             for block, words in seen.items():
                 yield pa.RecordBatch.from_pydict({"block": pa.array([block] * len(words), pa.int32()), "word": pa.array(words, pa.string())})
 
-        size = 0
         for block, text in arrow_rows(batches, "block", "text"):
             words = seen.setdefault(block, set())
             size -= len(words)
@@ -151,44 +174,80 @@ def encode(docs: DataFrame, path: str, hot_words: int = 32_768, block_chars: int
         yield from out()
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per block: lengths, numbers of the words (low and high bytes apart) and the words without a number."""
         of, n = rank.value.get, len(rank.value)
-        kind = pa.schema([("block", pa.int32()), ("doc_id", pa.int64()), ("codes", pa.binary()), ("rare", pa.string())])
-        rows: list[tuple] = []
+        held: dict[int, list[tuple]] = {}
+        size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for block, rows in held.items():
+                codes = np.concatenate([r[1] for r in rows])
+                lens = np.array([len(r[1]) for r in rows], np.int64)
+                pack = _packed(lens.tobytes(), (codes & 0xFFFF).astype(np.uint16).tobytes(), (codes >> 16).astype(np.uint8).tobytes(), "\n".join([w for r in rows for w in r[2]]).encode())
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "doc_ids": pa.array([[r[0] for r in rows]], pa.list_(pa.int64())), "pack": pa.array([pack], pa.binary())})
+
         for block, doc_id, text in arrow_rows(batches, "block", "doc_id", "text"):
             words = split_words(text, path)
-            codes = np.fromiter(map(of, words, repeat(n)), np.uint16, len(words))
-            rows.append((block, doc_id, codes.tobytes(), "\n".join([words[k] for k in np.flatnonzero(codes == n)])))
-            if len(rows) == 256:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
+            codes = np.fromiter(map(of, words, repeat(n)), np.int32, len(words))
+            held.setdefault(block, []).append((doc_id, codes, [words[k] for k in np.flatnonzero(codes == n)]))
+            size += len(words)
+            if size > 6_000_000:
+                yield from out()
+                held.clear()
+                size = 0
+        yield from out()
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per block: words with their ids and pieces."""
+        held: dict[int, list[tuple]] = {}
+        size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for block, rows in held.items():
+                lens, flat = _flat([r[1] for r in rows])
+                pack = _packed("\n".join([r[0] for r in rows]).encode(), lens.astype(np.uint16).tobytes(), flat.tobytes(), "\n".join([r[2] for r in rows]).encode())
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "pack": pa.array([pack], pa.binary())})
+
+        for block, word, ids, decoded in arrow_rows(batches, "block", "word", "ids", "decoded"):
+            held.setdefault(block, []).append((word, ids, decoded))
+            size += 1
+            if size > 500_000:
+                yield from out()
+                held.clear()
+                size = 0
+        yield from out()
 
     def place(left: pa.Table, right: pa.Table) -> pa.Table:
         """Ids and pieces at the positions of one block's words."""
-        n = len(rank.value)
-        own = {w: n + k for k, w in enumerate(right["word"].to_pylist())}
-        ids = hot_ids.value + [np.asarray(x, np.int32) for x in right["ids"].to_pylist()]
-        pieces = np.array(hot_text.value + right["decoded"].to_pylist() + [None], object)
-        lens = np.array([len(x) for x in ids], np.int64)
-        starts, flat = np.cumsum(lens) - lens, np.concatenate([*ids, np.empty(0, np.int32)])
-        doc_ids, sizes, values, texts = [], [0], [], []
-        for doc_id, raw, words in zip(left["doc_id"].to_pylist(), left["codes"].to_pylist(), left["rare"].to_pylist(), strict=True):
-            codes = np.frombuffer(raw, np.uint16).astype(np.int64)
+        lens, flat, texts = known.value
+        n, own, texts, parts = len(lens), {}, list(texts), [(lens, flat)]
+        for raw in right["pack"].to_pylist():
+            words, more, ids, decoded = _unpacked(raw)
+            for w, d in zip(words.decode().split("\n"), decoded.decode().split("\n"), strict=True):
+                own[w] = len(texts)
+                texts.append(d)
+            parts.append((np.frombuffer(more, np.uint16).astype(np.int64), np.frombuffer(ids, np.int32)))
+        lens, flat = (np.concatenate(x) for x in zip(*parts, strict=True))
+        starts, pieces = np.cumsum(lens) - lens, np.array([*texts, None], object)
+        doc_ids, sizes, values, decoded = [], [0], [], []
+        for these, raw in zip(left["doc_ids"].to_pylist(), left["pack"].to_pylist(), strict=True):
+            counts, low, high, words = _unpacked(raw)
+            codes = np.frombuffer(low, np.uint16).astype(np.int64) | np.frombuffer(high, np.uint8).astype(np.int64) << 16
             if words:
-                codes[codes == n] = [own[w] for w in words.split("\n")]
-            many = lens[codes]
-            ends = np.cumsum(many)
-            values.append(flat[np.repeat(starts[codes] - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)])
-            doc_ids.append(doc_id)
-            sizes.append(sizes[-1] + len(values[-1]))
-            texts.append(" ".join(pieces[codes].tolist()))
+                codes[codes == n] = [own[w] for w in words.decode().split("\n")]
+            for doc_id, mine in zip(these, np.split(codes, np.cumsum(np.frombuffer(counts, np.int64))[:-1]), strict=True):
+                many = lens[mine]
+                ends = np.cumsum(many)
+                values.append(flat[np.repeat(starts[mine] - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)])
+                doc_ids.append(doc_id)
+                sizes.append(sizes[-1] + len(values[-1]))
+                decoded.append(" ".join(pieces[mine].tolist()))
         ids_out = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate([*values, np.empty(0, np.int32)]), pa.int32()))
-        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": ids_out, "decoded": pa.array(texts, pa.string())})
+        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": ids_out, "decoded": pa.array(decoded, pa.string())})
 
-    pairs = blocked.select("block", "text").mapInArrow(rare, "block int, word string").distinct()
-    needed = pairs.join(table.select("word", "ids", "decoded"), "word")
-    codes = blocked.mapInArrow(coded, "block int, doc_id long, codes binary, rare string")
+    needed = blocked.select("block", "text").mapInArrow(rare, "block int, word string").join(table.select("word", "ids", "decoded"), "word")
+    needed = needed.select("block", "word", "ids", "decoded").mapInArrow(packed, "block int, pack binary")
+    codes = blocked.mapInArrow(coded, "block int, doc_ids array<long>, pack binary")
     return codes.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(place, "doc_id long, ids array<int>, decoded string")
 
 

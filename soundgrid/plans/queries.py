@@ -31,11 +31,11 @@ def query(name: str, sql: str | None = None, recursive: bool = False):
 
 
 def r6(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.bround(F.col(c).cast("double"), 6) for c in columns})
+    return df.withColumns({c: F.bround(F.col(c).cast("double"), 6) + 0.0 for c in columns})  # no negative zero
 
 
 def e6(expr: str, name: str) -> str:
-    return f"round_even(CAST({expr} AS DOUBLE), 6) AS {name}"
+    return f"round_even(CAST({expr} AS DOUBLE), 6) + 0::DOUBLE AS {name}"
 
 
 def suppliers(spark: SparkSession, sf: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, remove, text_of, written
 
-PASSAGE, RANK, COMMON = 32, 128, 0.2
+PASSAGE, RANK, COMMON = 32, 96, 0.05
 _ENDS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -105,10 +105,9 @@ class Model:
                 size *= 2
             self.groups.setdefault(size, []).append(k)
 
-    def search(self, text: str, least_cosine: float, likely: float, sure: float) -> dict[int, float]:
-        """item_id -> share of its words, for the items that the text holds."""
+    def search(self, ids: np.ndarray, least_cosine: float, likely: float, sure: float) -> dict[int, float]:
+        """item_id -> share of its words, for the items that the text of these terms holds."""
         found: dict[int, float] = {}
-        ids = self.vocabulary.of(text)
         at = np.flatnonzero(self.informative[ids])
         if not len(at):
             return found
@@ -157,7 +156,8 @@ def _document_frequencies(table: DataFrame, n_terms: int) -> tuple[np.ndarray, i
 def _range(table: DataFrame, weights: np.ndarray, start: np.ndarray) -> np.ndarray:
     """A'A start, where A holds the weighted terms of all passages."""
     n, k = start.shape
-    shared = table.sparkSession.sparkContext.broadcast((weights, start * weights[:, None]))
+    shared = table.sparkSession.sparkContext.broadcast((weights.astype(np.float32), (start * weights[:, None]).astype(np.float32)))
+    small = np.uint16 if n <= 1 << 16 else np.int64  # sorted in linear time if it fits
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, rows = shared.value
@@ -174,7 +174,7 @@ def _range(table: DataFrame, weights: np.ndarray, start: np.ndarray) -> np.ndarr
             first = np.flatnonzero(np.diff(where, prepend=-1))
             y = np.add.reduceat(rows[terms], first, axis=0)
             y = np.repeat(y, np.diff(np.append(first, len(terms))), axis=0)
-            order = np.argsort(terms, kind="stable")
+            order = np.argsort(terms.astype(small), kind="stable")
             sorted_terms = terms[order]
             starts = np.flatnonzero(np.diff(sorted_terms, prepend=-1))
             at = sorted_terms[starts]
@@ -201,21 +201,35 @@ def _range(table: DataFrame, weights: np.ndarray, start: np.ndarray) -> np.ndarr
     return out
 
 
-def fit(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, seed: int = 0) -> Model:
-    """Vocabulary, items and latent vectors; the weights and the SVD come from all documents."""
+def _items(benchmark: DataFrame) -> tuple[Vocabulary, list[Item]]:
     rows = benchmark.where("item_id is not null and text is not null").select("item_id", "text").orderBy("item_id", "text").collect()
     words = [(r.item_id, [w.strip(_ENDS) for w in r.text.encode("utf-8").lower().split()]) for r in rows]
     vocabulary = Vocabulary(sorted({w for _, ws in words for w in ws if w}))
-    items = [Item(i, ids) for i, ws in words if (ids := [vocabulary[w] for w in ws if w])]
-    n = len(vocabulary.terms)
+    return vocabulary, [Item(i, ids) for i, ws in words if (ids := [vocabulary[w] for w in ws if w])]
 
+
+def terms(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """doc_id, ids (4-byte term numbers) of every row; written."""
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                yield pa.RecordBatch.from_pydict({"ids": pa.array([vocabulary.of(t).tobytes() for (t,) in arrow_rows([part], "text")], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "ids": pa.array([vocabulary.of(t).tobytes() for (t,) in arrow_rows([part], "text")], pa.binary())})
+
+    return written(text_of(docs).mapInArrow(tokenise, "doc_id long, ids binary"), "terms")
+
+
+def fit(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, seed: int = 0) -> Model:
+    """Vocabulary, items and latent vectors; the weights and the SVD come from all documents."""
+    vocabulary, items = _items(benchmark)
+    table = terms(docs, vocabulary)
+    model = _fit(table, vocabulary, items, rank, seed)
+    remove(table)
+    return model
+
 
-    table = written(text_of(docs).select("text").mapInArrow(tokenise, "ids binary"), "terms")
+def _fit(table: DataFrame, vocabulary: Vocabulary, items: list[Item], rank: int, seed: int) -> Model:
+    n = len(vocabulary.terms)
     df, passages = _document_frequencies(table, n)
     weights = np.log(max(passages, 1) / np.maximum(df, 1))
     weights[df > COMMON * passages] = 0
@@ -223,7 +237,6 @@ def fit(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, seed: int = 0)
     rank = min(rank, max(1, n))
     start = np.random.default_rng(seed).standard_normal((n + 1, rank))
     image = _range(table, weights, start)
-    remove(table)
     small = start.T @ image  # start' A'A start, so image (small)^-1 image' approximates A'A
     values, turns = np.linalg.eigh((small + small.T) / 2)
     good = values > 1e-9 * max(values.max(), 1e-12)
@@ -234,14 +247,36 @@ def fit(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, seed: int = 0)
     return Model(vocabulary, items, (weights[:, None] * basis / sigma).astype(np.float32))
 
 
-def scan(docs: DataFrame, model: Model, least_cosine: float = 0.45, likely: float = 0.6, sure: float = 0.8) -> DataFrame:
+def scan(docs: DataFrame, model: Model, least_cosine: float = 0.5, likely: float = 0.6, sure: float = 0.8) -> DataFrame:
     """docs with ``items``, an array of (item_id, share) of the benchmark items each text holds."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("array<struct<item_id:long,share:double>>")
+    @F.pandas_udf(HITS)
     def search(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = shared.value
         for batch in texts:
-            yield pd.Series([[{"item_id": i, "share": s} for i, s in sorted(m.search(t or "", least_cosine, likely, sure).items())] for t in batch])
+            yield pd.Series([_hits(m.search(m.vocabulary.of(t or ""), least_cosine, likely, sure)) for t in batch])
 
     return docs.withColumn("items", search("text"))
+
+
+HITS = "array<struct<item_id:long,share:double>>"
+
+
+def _hits(found: dict[int, float]) -> list[dict]:
+    return [{"item_id": i, "share": s} for i, s in sorted(found.items())]
+
+
+def fit_and_scan(docs: DataFrame, benchmark: DataFrame, least_cosine: float = 0.5, likely: float = 0.6, sure: float = 0.8, rank: int = RANK, seed: int = 0) -> DataFrame:
+    """doc_id, items of every row of docs; the texts are turned into terms once, for the model and for the search."""
+    vocabulary, items = _items(benchmark)
+    table = terms(docs, vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast(_fit(table, vocabulary, items, rank, seed))
+
+    @F.pandas_udf(HITS)
+    def search(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        m = shared.value
+        for batch in rows:
+            yield pd.Series([_hits(m.search(np.frombuffer(raw, np.int32), least_cosine, likely, sure)) for raw in batch])
+
+    return table.select("doc_id", search("ids").alias("items"))

@@ -53,8 +53,7 @@ FROM k LEFT JOIN f ON k.key = f.key GROUP BY doc_id
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir).select("doc_id", "text")
-    out = decontaminate.scan(docs, decontaminate.fit(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    out = decontaminate.fit_and_scan(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     ids = F.concat_ws(",", F.transform("items", lambda x: x.item_id.cast("string")))
     return out.select("doc_id", (F.size("items") > 0).alias("contaminated"), ids.alias("item_ids"), F.array_max(F.col("items.share")).alias("share"))
 

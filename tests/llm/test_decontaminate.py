@@ -42,5 +42,7 @@ def test_finds_passages_and_paraphrases(spark):
     got = {r.doc_id: [x.item_id for x in r["items"]] for r in dc.scan(df.drop("items"), model).collect()}
     assert got.pop(None) == [3] and got.pop(900) == got.pop(901) == []
     assert got == want
+    both = {r.doc_id: [x.item_id for x in r["items"]] for r in dc.fit_and_scan(df, bench).collect()}
+    assert {k: v for k, v in both.items() if k in want} == want
     none = dc.fit(df.limit(0), bench.limit(0))
     assert [r["items"] for r in dc.scan(df.limit(2), none).collect()] == [[], []]

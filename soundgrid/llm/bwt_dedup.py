@@ -9,9 +9,9 @@ A string of ``WINDOW`` bytes that also starts anywhere else is repeated; all byt
 2. The contexts of a gram meet in a bucket of about ``BUCKET`` bytes. There, contexts that share neither the 84 bytes
    before nor those after the gram with another are settled: any common window holds one of the two. What is left makes
    shards; each shard gets its Burrows-Wheeler transform, and the transforms are merged by interleave refinement: step
-   h orders the rows of all shards by their first h bytes, from the order of step h - 1, by a stable sort of the
-   preceding bytes. Rows whose first bytes are still equal form blocks; the step at which neighbours part is their
-   common prefix. After WINDOW steps the blocks of two or more rows are the repeated intervals.
+   h orders the rows of all shards by their first 2h bytes, from the order of step h - 1, by a stable sort of the two
+   preceding bytes. Rows whose first bytes are still equal form blocks; the step at which neighbours part gives their
+   common prefix. Rows alone in a block need no more steps. After WINDOW bytes the blocks left are the repeated intervals.
 3. Grams with more than ``HOT`` contexts don't meet in a bucket; their windows' digests are counted over all tasks.
 
 A null or empty text has no bytes. Repeated rows are documents of their own, so their strings are repeated; null ids are
@@ -96,7 +96,7 @@ def transform(shard: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rank[ends] = np.arange(len(ends))
     step = 1
     while True:
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank)
         parted = np.diff(rank[order], prepend=-1) != 0
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(parted) - 1
@@ -134,24 +134,24 @@ def repeated(contexts: list[bytes]) -> list[np.ndarray]:
     base = np.cumsum(sizes) - sizes
     symbols = np.concatenate([p[1] for p in parts])
     before = np.concatenate([p[2] + b for p, b in zip(parts, base, strict=True)]).astype(np.int32)
-    rows = np.arange(len(symbols), dtype=np.int32)  # the interleave, by nothing yet
-    block = np.zeros(len(rows), np.int32)
-    for step in range(WINDOW):
+    total = len(symbols)
+    symbols, before = symbols[before].astype(np.uint16) << 8 | symbols, before[before]  # two bytes a step
+    rows = np.arange(total, dtype=np.int32)  # the interleave, by nothing yet
+    block = np.zeros(total, np.int32)
+    for _ in range(0, WINDOW, 2):
         mine = symbols[rows]
         order = np.argsort(mine, kind="stable")
         mine, block = mine[order], block[order]
-        new = np.empty(len(rows), bool)
-        new[0] = True
-        np.not_equal(block[1:], block[:-1], out=new[1:])
-        new[1:] |= mine[1:] != mine[:-1]
-        new |= mine == 0
-        rows = before[rows[order]]
-        block = np.cumsum(new, dtype=np.int32)
-        if step % 20 == 19 and new.all():
+        new = np.ones(len(rows) + 1, bool)
+        new[1:-1] = (block[1:] != block[:-1]) | (mine[1:] != mine[:-1])
+        new[:-1] |= (mine & 0xFF == 0) | (mine < 0x100)  # end marks are all different
+        shared = np.flatnonzero(~(new[:-1] & new[1:]))  # a row alone in its block stays alone, as do those that precede it
+        block = np.cumsum(new[:-1], dtype=np.int32)[shared]
+        rows = before[rows[order[shared]]]
+        if not len(rows):
             break
-    again = np.bincount(block)[block] > 1
-    flags = np.zeros(len(rows), bool)
-    flags[rows] = again
+    flags = np.zeros(total, bool)
+    flags[rows] = True
     out: list[np.ndarray] = []
     for (order, _, _), b, members in zip(parts, base, [x for x in shards if x], strict=True):
         at = np.zeros(len(order), bool)

@@ -91,10 +91,11 @@ def occurrences(docs: DataFrame) -> DataFrame:
 def transform(shard: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Suffix array, Burrows-Wheeler transform and row of the preceding suffix of texts with an end mark (0) each."""
     s = np.frombuffer(b"".join(bytes(x) + b"\xff" for x in shard), np.uint8) + np.uint8(1)  # the end mark 0xff, never in UTF-8, becomes 0
-    n, ends = len(s), np.flatnonzero(s == 0)
-    rank = s.astype(np.int64) + len(ends)
-    rank[ends] = np.arange(len(ends))
-    step = 1
+    n, step = len(s), 7
+    ahead = np.append(s, np.zeros(step, np.uint8))
+    rank = np.zeros(n, np.int64)
+    for k in range(step):
+        rank = rank << 8 | ahead[k : k + n]
     while True:
         order = np.argsort(rank)
         parted = np.diff(rank[order], prepend=-1) != 0
@@ -106,15 +107,7 @@ def transform(shard: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         following[:-step] = rank[step:] + 1
         rank = rank * (n + 1) + following
         step *= 2
-    before = order - 1
-    starts = np.append(0, ends[:-1] + 1)
-    own_end = np.full(n, -1)
-    own_end[starts] = ends
-    before = np.where(own_end[order] >= 0, own_end[order], before)  # a text's first byte is preceded by its own end mark
-    symbols = s[before]
-    rows = np.empty(n, np.int64)
-    rows[np.argsort(symbols, kind="stable")] = np.arange(n)
-    return order, symbols, rows
+    return order, s[order - 1], rank[order - 1]
 
 
 def repeated(contexts: list[bytes]) -> list[np.ndarray]:

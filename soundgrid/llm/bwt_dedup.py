@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, mixed, remove, text_of, written
@@ -256,13 +256,14 @@ def dedup(docs: DataFrame) -> DataFrame:
     docs = text_of(docs).withColumn("row", F.xxhash64("doc_id", "text"))
     found = occurrences(docs)
     twice = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    same, gram = Window.partitionBy("gram", "context"), Window.partitionBy("gram")
-    flagged = found.join(twice, "gram").withColumns({
-        "whole": F.count(F.lit(1)).over(same) > 1,
-        "leads": F.row_number().over(same.orderBy("row", "first")) == 1,
-        "several": F.min("context").over(gram) < F.max("context").over(gram),
-    })
-    flagged = flagged.withColumn("ship", F.col("leads") & F.col("several")).where("whole or ship").select("row", "first", "gram", "whole", "ship")
+    found = written(found.join(twice, "gram"), "bwt-anchors")
+    each = found.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "first")).alias("lead"))
+    several = each.groupBy("gram").agg(F.min("context").alias("a"), F.max("context").alias("b")).where("a < b").select("gram", F.lit(True).alias("several"))
+    each = each.join(several, "gram", "left").where("several or n > 1")
+    flagged = found.join(each, ["gram", "context"]).select(
+        "row", "first", "gram", (F.col("n") > 1).alias("whole"),
+        (F.col("several").isNotNull() & (F.struct("row", "first") == F.col("lead"))).alias("ship"),
+    ).where("whole or ship")
     staged = _staged(docs, flagged)
     contexts = staged.select("row", F.explode("ship").alias("s")).select("row", "s.*")
     hot = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("gram")

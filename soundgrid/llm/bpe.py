@@ -1,8 +1,8 @@
 """BPE encoding and decoding over a table of distinct words.
 
 Every text is split into words on Spark, each distinct word is encoded once and turned back into pieces by a join of
-its ids with the id-to-piece table, and the results are joined to the words' positions. The ``hot_words`` most frequent
-words (a fixed number, so of bounded size) are sent to all tasks; every other word reaches its block of documents by a
+its ids with the id-to-piece table, and the results are joined to the words' positions. The most frequent words (no more
+than ``hot_words``, so of bounded size) are sent to all tasks; every other word reaches its block of documents by a
 join on the word, packed by block. Blocks hold about ``block_chars`` characters, however many documents there are; a
 document travels to its block as compressed word numbers.
 
@@ -128,6 +128,19 @@ def word_table(docs: DataFrame, path: str) -> DataFrame:
     return written(_joined(each, "word", "n", "ids"), "bpe-words")
 
 
+def frequent(table: DataFrame, most: int) -> DataFrame:
+    """The rows of the highest frequency classes (eight an octave) that are no more than ``most`` together."""
+    octave = F.floor(F.log2("n") * 8)
+    classes = table.groupBy(octave.alias("octave")).agg(F.count(F.lit(1)).alias("words")).collect()  # eight rows an octave at most
+    left, least = most, 1 << 10
+    for c in sorted(classes, reverse=True):
+        left -= c.words
+        if left < 0:
+            break
+        least = c.octave
+    return table.where(octave >= least)
+
+
 def _packed(*arrays: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(b"".join(len(a).to_bytes(8, "little") + a for a in arrays))
 
@@ -149,9 +162,11 @@ def encode(docs: DataFrame, path: str, hot_words: int = 131_072, block_chars: in
     """doc_id, ids (array of int), decoded (string) of every whole text of docs."""
     spark, docs = docs.sparkSession, text_of(docs)
     table = word_table(docs, path)
-    hot = table.orderBy(F.desc("n"), "word").limit(hot_words).toPandas()
-    rank = spark.sparkContext.broadcast({w: k for k, w in enumerate(hot.word)})
-    known = spark.sparkContext.broadcast((*_flat(list(hot.ids)), list(hot.decoded)))
+    hot = frequent(table, hot_words).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    ids = hot["ids"].combine_chunks()
+    rank = spark.sparkContext.broadcast({w: k for k, w in enumerate(hot["word"].to_pylist())})
+    known = spark.sparkContext.broadcast((np.diff(ids.offsets.to_numpy()).astype(np.int64), ids.flatten().to_numpy(), hot["decoded"].to_pylist()))
+    del hot, ids
     blocked = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks_for(docs, "text", block_chars))).cast("int"))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

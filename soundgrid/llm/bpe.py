@@ -180,7 +180,7 @@ def encode(docs: DataFrame, path: str, hot_words: int = 131_072, block_chars: in
         for block, text in arrow_rows(batches, "block", "text"):
             words = seen.setdefault(block, set())
             size -= len(words)
-            words |= set(split_words(text, path)) - rank.value.keys()
+            words |= set(split_words(text, path)).difference(rank.value)
             size += len(words)
             if size > 300_000:
                 yield from out()

@@ -22,12 +22,14 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, blocks_for, text_of, written
 
+CHUNK = 200_000  # words placed at once
 SPECIAL = re.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
 # Up to U+017F all characters are composed, as are their lower cases; other texts go to the tokenizer's own rules.
 _PLAIN = re.compile("[\t-\r -~\xa0-\u012f\u0131-\u017f]*")
@@ -154,6 +156,10 @@ def _unpacked(raw: bytes) -> list[bytes]:
     return out
 
 
+def _lines(raw: bytes) -> pa.Array:
+    return pc.split_pattern(pa.array([raw], pa.binary()).cast(pa.string()), "\n").flatten()
+
+
 def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.array([len(x) for x in lists], np.int64), np.array([i for x in lists for i in x], np.int32)
 
@@ -165,7 +171,7 @@ def encode(docs: DataFrame, path: str, hot_words: int = 131_072, block_chars: in
     hot = frequent(table, hot_words).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
     ids = hot["ids"].combine_chunks()
     rank = spark.sparkContext.broadcast({w: k for k, w in enumerate(hot["word"].to_pylist())})
-    known = spark.sparkContext.broadcast((np.diff(ids.offsets.to_numpy()).astype(np.int64), ids.flatten().to_numpy(), hot["decoded"].to_pylist()))
+    known = spark.sparkContext.broadcast((np.diff(ids.offsets.to_numpy()).astype(np.int64), ids.flatten().to_numpy(), pa.concat_arrays([pa.array([], pa.string()), *hot["decoded"].chunks])))
     del hot, ids
     blocked = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks_for(docs, "text", block_chars))).cast("int"))
 
@@ -235,30 +241,35 @@ def encode(docs: DataFrame, path: str, hot_words: int = 131_072, block_chars: in
     def place(left: pa.Table, right: pa.Table) -> pa.Table:
         """Ids and pieces at the positions of one block's words."""
         lens, flat, texts = known.value
-        n, own, texts, parts = len(lens), {}, list(texts), [(lens, flat)]
+        n, own, texts, parts = len(lens), [pa.array([], pa.string())], [texts], [(lens, flat)]
         for raw in right["pack"].to_pylist():
             words, more, ids, decoded = _unpacked(raw)
-            for w, d in zip(words.decode().split("\n"), decoded.decode().split("\n"), strict=True):
-                own[w] = len(texts)
-                texts.append(d)
+            own.append(_lines(words))
+            texts.append(_lines(decoded))
             parts.append((np.frombuffer(more, np.uint16).astype(np.int64), np.frombuffer(ids, np.int32)))
         lens, flat = (np.concatenate(x) for x in zip(*parts, strict=True))
-        starts, pieces = np.cumsum(lens) - lens, np.array([*texts, None], object)
-        doc_ids, sizes, values, decoded = [], [0], [], []
+        starts, own, pieces = np.cumsum(lens) - lens, pa.concat_arrays(own), pa.concat_arrays(texts)
+        doc_ids, sizes, values, decoded = [], [np.zeros(1, np.int64)], [np.empty(0, np.int32)], [pa.array([], pa.string())]
         for these, raw in zip(left["doc_ids"].to_pylist(), left["pack"].to_pylist(), strict=True):
             counts, low, high, words = _unpacked(raw)
-            codes = np.frombuffer(low, np.uint16).astype(np.int64) | np.frombuffer(high, np.uint8).astype(np.int64) << 16
+            codes = np.frombuffer(low, np.uint16).astype(np.int32) | np.frombuffer(high, np.uint8).astype(np.int32) << 16
             if words:
-                codes[codes == n] = [own[w] for w in words.decode().split("\n")]
-            for doc_id, mine in zip(these, np.split(codes, np.cumsum(np.frombuffer(counts, np.int64))[:-1]), strict=True):
+                codes[codes == n] = pc.index_in(_lines(words), value_set=own).to_numpy() + n
+            doc_ids += these
+            ends = np.cumsum(np.frombuffer(counts, np.int64))
+            first = np.append(0, ends[:-1])
+            for docs_of in np.split(np.arange(len(these)), np.flatnonzero(np.diff(first // CHUNK)) + 1):  # some documents at a time
+                a, b = first[docs_of[0]], ends[docs_of[-1]]
+                mine = codes[a:b]
                 many = lens[mine]
-                ends = np.cumsum(many)
-                values.append(flat[np.repeat(starts[mine] - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)])
-                doc_ids.append(doc_id)
-                sizes.append(sizes[-1] + len(values[-1]))
-                decoded.append(" ".join(pieces[mine].tolist()))
-        ids_out = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate([*values, np.empty(0, np.int32)]), pa.int32()))
-        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": ids_out, "decoded": pa.array(decoded, pa.string())})
+                till = np.append(0, np.cumsum(many))
+                values.append(flat[np.repeat(starts[mine] - till[:-1], many) + np.arange(till[-1])])
+                bounds = np.append(first[docs_of] - a, b - a)
+                sizes.append(sizes[-1][-1] + till[bounds[1:]])
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pieces.take(pa.array(mine)))
+                decoded.append(pc.binary_join(lists, " "))
+        ids_out = pa.ListArray.from_arrays(pa.array(np.concatenate(sizes), pa.int32()), pa.array(np.concatenate(values), pa.int32()))
+        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": ids_out, "decoded": pa.chunked_array(decoded)})
 
     needed = blocked.select("block", "text").mapInArrow(rare, "block int, word string").join(table.select("word", "ids", "decoded"), "word")
     needed = needed.select("block", "word", "ids", "decoded").mapInArrow(packed, "block int, pack binary")

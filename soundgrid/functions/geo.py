@@ -15,7 +15,7 @@ def _c(x) -> Column:
 
 
 def clamp(x: Column, lo: float, hi: float) -> Column:
-    return F.greatest(F.lit(lo), F.least(F.lit(hi), x))
+    return F.when(x < lo, lo).when(x > hi, hi).otherwise(x)
 
 
 def wrap_lon(lon: Column) -> Column:
@@ -26,7 +26,7 @@ def wrap_lon(lon: Column) -> Column:
 def haversine_m(lon1, lat1, lon2, lat2) -> Column:
     p1, p2 = F.radians(_c(lat1)), F.radians(_c(lat2))
     a = F.pow(F.sin((p2 - p1) / 2), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin(F.radians(_c(lon2) - _c(lon1)) / 2), 2)
-    return 2 * EARTH_M * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    return 2 * EARTH_M * F.asin(F.sqrt(F.when(a > 1, 1.0).otherwise(a)))
 
 
 def great_circle_km(lon1, lat1, lon2, lat2) -> Column:

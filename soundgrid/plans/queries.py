@@ -418,7 +418,7 @@ def boundary_cells(s, d):
     return boundary.boundary_cells(fixture.coarse(s, d)).select("side", "seq", "j", "i")
 
 
-@query("boundary_segments", f"{_EDGE}, r AS (SELECT *, seq - row_number() OVER (PARTITION BY side ORDER BY seq) AS run FROM edge), g AS (SELECT side, run, min(seq) AS a, min_by(i, seq) AS i_start, min_by(j, seq) AS j_start, max_by(i, seq) AS i_end, max_by(j, seq) AS j_end, count(*) AS n_cells FROM r GROUP BY side, run) SELECT side, CAST(row_number() OVER (PARTITION BY side ORDER BY a) AS INT) AS segment, i_start, j_start, i_end, j_end, n_cells FROM g")
+@query("boundary_segments", f"{_EDGE}, r AS (SELECT *, seq - row_number() OVER (PARTITION BY side ORDER BY seq) AS run FROM edge), sg AS (SELECT side, run, min(seq) AS a, min_by(i, seq) AS i_start, min_by(j, seq) AS j_start, max_by(i, seq) AS i_end, max_by(j, seq) AS j_end, count(*) AS n_cells FROM r GROUP BY side, run) SELECT side, CAST(row_number() OVER (PARTITION BY side ORDER BY a) AS INT) AS segment, i_start, j_start, i_end, j_end, n_cells FROM sg")
 def boundary_segments(s, d):
     return boundary.segments(boundary.boundary_cells(fixture.coarse(s, d)))
 
@@ -453,8 +453,8 @@ def _outer(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("nudge_scale", f"""{_EDGE}, {_OUT}, n AS (SELECT side, e.j, e.i, e.lat, e.depth, min_by(o.j * 8 + o.i, ((o.lon - e.lon) * (o.lon - e.lon) + (o.lat - e.lat) * (o.lat - e.lat), o.j, o.i)) AS oid FROM edge e CROSS JOIN o GROUP BY ALL),
-g AS (SELECT side, oid, avg(lat) AS lat, sum(depth * CASE WHEN side IN ('N', 'S') THEN 0.1 * abs(cos(radians(lat))) ELSE 0.1 END) AS inner_area FROM n GROUP BY side, oid)
-SELECT n.side, n.j, n.i, {e6("greatest(1.0 / 3, least(3, o.depth * CASE WHEN n.side IN ('N', 'S') THEN 0.1 * abs(cos(radians(g.lat))) ELSE 0.1 END / inner_area))", 'scale')} FROM n JOIN g ON n.side = g.side AND n.oid = g.oid JOIN o ON o.j * 8 + o.i = n.oid""")
+gr AS (SELECT side, oid, avg(lat) AS lat, sum(depth * CASE WHEN side IN ('N', 'S') THEN 0.1 * abs(cos(radians(lat))) ELSE 0.1 END) AS inner_area FROM n GROUP BY side, oid)
+SELECT n.side, n.j, n.i, {e6("greatest(1.0 / 3, least(3, o.depth * CASE WHEN n.side IN ('N', 'S') THEN 0.1 * abs(cos(radians(gr.lat))) ELSE 0.1 END / inner_area))", 'scale')} FROM n JOIN gr ON n.side = gr.side AND n.oid = gr.oid JOIN o ON o.j * 8 + o.i = n.oid""")
 def nudge_scale(s, d):
     c = fixture.coarse(s, d)
     edge = boundary.boundary_cells(c).join(c.select("j", "i", "depth"), ["j", "i"])
@@ -480,7 +480,7 @@ def sill(s, d):
 
 
 @query("clip_longest_run", f"""{PROFILE}, a AS (SELECT *, lon BETWEEN 0.3 AND 2.1 AS inside FROM prof), b AS (SELECT *, row_number() OVER w - sum(CAST(inside AS INT)) OVER w AS run FROM a WINDOW w AS (PARTITION BY name ORDER BY seq)),
-g AS (SELECT name, run, count(*) AS n, min(seq) AS s0, min(dist_km) AS start FROM b WHERE inside GROUP BY name, run), t AS (SELECT name, arg_max(run, (n, -s0)) AS run, arg_max(start, (n, -s0)) AS start FROM g GROUP BY name)
+gr AS (SELECT name, run, count(*) AS n, min(seq) AS s0, min(dist_km) AS start FROM b WHERE inside GROUP BY name, run), t AS (SELECT name, arg_max(run, (n, -s0)) AS run, arg_max(start, (n, -s0)) AS start FROM gr GROUP BY name)
 SELECT b.name, b.seq, {e6('b.dist_km - start', 'dist_km')} FROM b JOIN t ON b.name = t.name AND b.run = t.run WHERE inside""")
 def clip_longest_run(s, d):
     p = thalweg.profile(paths(s, d)).withColumn("inside", F.col("lon").between(0.3, 2.1))
@@ -501,7 +501,7 @@ def path_error(s, d):
 
 
 @query("suggest_fixes", f"""{PATHS}, n AS (SELECT name, seq, any_value(path.depth) AS depth, any_value(pct) AS pct, min_by(c.id, ({D2.replace('p.', 'path.')}, c.id)) AS id FROM path CROSS JOIN c GROUP BY name, seq),
-g AS (SELECT id, min(pct) AS pct, quantile_cont(depth, 0.75) AS q, max(depth) AS m, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM n GROUP BY id), v AS (SELECT *, CASE WHEN pct >= 100 THEN m ELSE q END AS value FROM g)
+gr AS (SELECT id, min(pct) AS pct, quantile_cont(depth, 0.75) AS q, max(depth) AS m, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM n GROUP BY id), v AS (SELECT *, CASE WHEN pct >= 100 THEN m ELSE q END AS value FROM gr)
 SELECT c.j, c.i, {e6('lon', 'lon')}, {e6('lat', 'lat')}, round_even(value, 1) AS value, names FROM v JOIN c ON v.id = c.id WHERE mask = 0 OR (value - depth >= 2 AND (value - depth) / nullif(value, 0) >= 0.05)""")
 def suggest_fixes(s, d):
     return thalweg.suggest_fixes(paths(s, d), fixture.coarse(s, d))
@@ -531,7 +531,7 @@ def auto_corridors(s, d):
 # --- morphology
 
 
-_HAV = "2 * 6371000 * asin(sqrt(least(1, pow(sin(radians({lat1} - {lat0}) / 2), 2) + cos(radians({lat0})) * cos(radians({lat1})) * pow(sin(radians({lon1} - {lon0}) / 2), 2))))"
+_HAV = "2 * 6371000 * asin(sqrt((pow(sin(radians({lat1} - {lat0}) / 2), 2) + cos(radians({lat0})) * cos(radians({lat1})) * pow(sin(radians({lon1} - {lon0}) / 2), 2))))"
 
 
 @query("haversine", f"{PTS} SELECT pid, {e6(_HAV.format(lat0='51.2::DOUBLE', lon0='1.3::DOUBLE', lat1='lat', lon1='lon'), 'metres')} FROM p")

@@ -256,7 +256,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     docs = text_of(docs).withColumn("row", F.xxhash64("doc_id", "text"))
     found = occurrences(docs)
     twice = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    found = written(found.join(twice, "gram"), "bwt-anchors")
+    found = written(found.join(written(twice, "bwt-grams"), "gram"), "bwt-anchors")  # in a table, so that Spark can split a hot gram
     each = found.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "first")).alias("lead"))
     several = each.groupBy("gram").agg(F.min("context").alias("a"), F.max("context").alias("b")).where("a < b").select("gram", F.lit(True).alias("several"))
     each = each.join(several, "gram", "left").where("several or n > 1")

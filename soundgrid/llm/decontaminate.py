@@ -3,9 +3,11 @@
 Passages are blocks of ``PASSAGE`` words of the documents; their terms are the benchmark's words, weighted by tf-idf over
 all passages of the corpus. A distributed randomised SVD (one pass A'AW over all passages, then a small decomposition on
 the driver, bounded by the benchmark's vocabulary times ``RANK``) gives latent directions. Every document is then searched
-in overlapping windows sized to the items; windows whose cosine with an item reaches ``least_cosine`` are candidates,
-and word-level longest common subsequences decide: an item is contained when the window holds ``sure`` of its words in
-order, or ``likely`` of them and ``sure`` of its answer, the last quarter of the item.
+in overlapping windows sized to the items; windows whose cosine with an item reaches ``least_cosine`` are candidates, and
+so is, whatever its cosine, each window that shares ``likely`` of an item's words in any order: no window without them can
+hold the item, so the projection loses nothing. Word-level longest common subsequences decide: an item is contained when
+the window holds ``sure`` of its words in order, or ``likely`` of them and ``sure`` of its answer, the last quarter of the
+item.
 
 The benchmark is a stated query set and fits on the driver; documents are only ever met in tasks. Words are lower-cased
 (A-Z) and lose punctuation at their ends. Null and empty texts and items match nothing. Rows are judged one by one, so
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,7 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, remove, text_of, written
 
-PASSAGE, RANK, COMMON = 32, 96, 0.05
+PASSAGE, RANK = 32, 96
+SEGMENT = 512  # words whose windows are compared with the items' words at once
 _ENDS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -104,28 +108,70 @@ class Model:
             while size < len(x.ids):
                 size *= 2
             self.groups.setdefault(size, []).append(k)
-
-    def search(self, ids: np.ndarray, least_cosine: float, likely: float, sure: float) -> dict[int, float]:
-        """item_id -> share of its words, for the items that the text of these terms holds."""
-        found: dict[int, float] = {}
+        self.size_of = {k: size for size, members in self.groups.items() for k in members}
+        own = [np.unique(x.ids, return_counts=True) for x in self.items]  # each item's terms, and how often it has them
+        self.item_terms, self.item_counts = (np.concatenate([np.empty(0, np.int64), *(x[c] for x in own)]).astype(np.int64) for c in (0, 1))
+        self.item_starts = np.cumsum([0] + [len(x[0]) for x in own])
+        self.lengths = np.array([len(x.ids) for x in self.items], np.int64)
+
+    def windows(self, size: int, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the windows for items of up to that many words."""
+        starts = np.arange(0, max(1, n_words - size + size // 3), size // 3)
+        return starts, np.minimum(starts + size + size // 3, n_words)
+
+    def latent_candidates(self, ids: np.ndarray, least_cosine: float) -> Iterator[tuple[int, int, int]]:
+        """Item, start and end of the windows whose cosine with the item reaches the least."""
         at = np.flatnonzero(self.informative[ids])
         if not len(at):
-            return found
+            return
         sums = np.zeros((len(at) + 1, self.vectors.shape[1]), np.float32)
         np.cumsum(self.vectors[ids[at]], axis=0, out=sums[1:])
         for size, members in self.groups.items():
-            starts = np.arange(0, max(1, len(ids) - size + size // 3), size // 3)
-            ends = np.minimum(starts + size + size // 3, len(ids))
+            starts, ends = self.windows(size, len(ids))
             a, b = np.searchsorted(at, starts), np.searchsorted(at, ends)
             full = np.flatnonzero(b > a)
             v = sums[b[full]] - sums[a[full]]
             cosine = (v @ self.latent[members].T) / np.maximum(np.linalg.norm(v, axis=1), 1e-9)[:, None]
             for w, m in zip(*np.nonzero(cosine >= least_cosine), strict=True):
-                item = self.items[members[m]]
-                if found.get(item.item_id, 0) < 1:
-                    window = ids[starts[full[w]] : ends[full[w]]].tolist()
-                    if share := item.held_by(window, likely, sure):
-                        found[item.item_id] = max(share, found.get(item.item_id, 0))
+                yield members[m], starts[full[w]], ends[full[w]]
+
+    def sharing_candidates(self, ids: np.ndarray, likely: float) -> Iterator[tuple[int, int, int]]:
+        """Item, start and end of all windows that share ``likely`` of the item's words, each as often as both have it."""
+        if not len(ids) or not self.items:
+            return
+        longest = max(self.groups)
+        longest += longest // 3
+        step = max(SEGMENT, 2 * longest)
+        windows = {size: self.windows(size, len(ids)) for size in self.groups}
+        for s in range(0, len(ids), step):
+            part = ids[s : s + step + longest]
+            there = np.bincount(part, minlength=len(self.vectors))
+            most = np.add.reduceat(np.minimum(there[self.item_terms], self.item_counts), self.item_starts[:-1])
+            for k in np.flatnonzero(most >= self.lengths * likely - 1e-9):
+                terms, counts = (x[self.item_starts[k] : self.item_starts[k + 1]] for x in (self.item_terms, self.item_counts))
+                starts, ends = windows[self.size_of[k]]
+                lo, hi = np.searchsorted(starts, (s, s + step))
+                starts, ends = starts[lo:hi], ends[lo:hi]
+                near = np.minimum(np.searchsorted(terms, part), len(terms) - 1)
+                at = np.flatnonzero(terms[near] == part)
+                sums = np.zeros((len(at) + 1, len(terms)), np.int32)
+                sums[np.arange(1, len(at) + 1), near[at]] = 1
+                np.cumsum(sums, axis=0, out=sums)
+                held = sums[np.searchsorted(at, ends - s)] - sums[np.searchsorted(at, starts - s)]
+                for w in np.flatnonzero(np.minimum(held, counts).sum(1) >= self.lengths[k] * likely - 1e-9):
+                    yield int(k), starts[w], ends[w]
+
+    def search(self, ids: np.ndarray, least_cosine: float, likely: float, sure: float) -> dict[int, float]:
+        """item_id -> share of its words, for the items that the text of these terms holds."""
+        found: dict[int, float] = {}
+        seen: set[tuple[int, int, int]] = set()
+        for candidate in chain(self.latent_candidates(ids, least_cosine), self.sharing_candidates(ids, likely)):
+            item = self.items[candidate[0]]
+            if candidate not in seen and found.get(item.item_id, 0) < 1:
+                seen.add(candidate)
+                _, a, b = candidate
+                if share := item.held_by(ids[a:b].tolist(), likely, sure):
+                    found[item.item_id] = max(share, found.get(item.item_id, 0))
         return found
 
 
@@ -231,8 +277,7 @@ def fit(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, seed: int = 0)
 def _fit(table: DataFrame, vocabulary: Vocabulary, items: list[Item], rank: int, seed: int) -> Model:
     n = len(vocabulary.terms)
     df, passages = _document_frequencies(table, n)
-    weights = np.log(max(passages, 1) / np.maximum(df, 1))
-    weights[df > COMMON * passages] = 0
+    weights = np.log1p(max(passages, 1) / np.maximum(df, 1))  # positive, however common a term is
     weights[0] = 0
     rank = min(rank, max(1, n))
     start = np.random.default_rng(seed).standard_normal((n + 1, rank))

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, blocks_for, text_of, written
 
 CHUNK = 200_000  # words placed at once
+LONG_WORD = 256  # characters from which a word is decoded by its digest
 SPECIAL = re.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
 # Up to U+017F all characters are composed, as are their lower cases; other texts go to the tokenizer's own rules.
 _PLAIN = re.compile("[\t-\r -~\xa0-\u012f\u0131-\u017f]*")
@@ -125,9 +126,16 @@ def word_table(docs: DataFrame, path: str) -> DataFrame:
 
     encoded = word_counts(docs, path).withColumn("ids", encode("word"))
     pieces = F.broadcast(piece_table(docs.sparkSession, path))
-    each = encoded.select("word", "n", "ids", F.posexplode_outer("ids").alias("pos", "id")).join(pieces, "id", "left")
+    short = F.length("word") <= LONG_WORD
+    each = encoded.select("word", "n", "ids", F.posexplode_outer(F.when(short, F.col("ids"))).alias("pos", "id")).join(pieces, "id", "left")
     # grouped by the word that the counts are dealt by already
-    return written(_joined(each, "word", "n", "ids"), "bpe-words")
+    table = written(_joined(each, "word", "n", "ids"), "bpe-words")
+    long = table.where(~short).drop("decoded").withColumn("key", F.sha2(F.encode("word", "UTF-8"), 256))
+    if long.isEmpty():
+        return table
+    # each piece of these carries a digest, not the word and its ids, whose size would grow with the square of the length
+    whole = long.join(decode(long, path, "key"), "key").select(table.columns)
+    return table.where(short).unionByName(written(whole, "bpe-long-words"))
 
 
 def frequent(table: DataFrame, most: int) -> DataFrame:
@@ -226,7 +234,7 @@ def encode(docs: DataFrame, path: str, hot_words: int = 131_072, block_chars: in
         def out() -> Iterator[pa.RecordBatch]:
             for block, rows in held.items():
                 lens, flat = _flat([r[1] for r in rows])
-                pack = _packed("\n".join([r[0] for r in rows]).encode(), lens.astype(np.uint16).tobytes(), flat.tobytes(), "\n".join([r[2] for r in rows]).encode())
+                pack = _packed("\n".join([r[0] for r in rows]).encode(), lens.tobytes(), flat.tobytes(), "\n".join([r[2] for r in rows]).encode())
                 yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "pack": pa.array([pack], pa.binary())})
 
         for block, word, ids, decoded in arrow_rows(batches, "block", "word", "ids", "decoded"):
@@ -246,7 +254,7 @@ def encode(docs: DataFrame, path: str, hot_words: int = 131_072, block_chars: in
             words, more, ids, decoded = _unpacked(raw)
             own.append(_lines(words))
             texts.append(_lines(decoded))
-            parts.append((np.frombuffer(more, np.uint16).astype(np.int64), np.frombuffer(ids, np.int32)))
+            parts.append((np.frombuffer(more, np.int64), np.frombuffer(ids, np.int32)))
         lens, flat = (np.concatenate(x) for x in zip(*parts, strict=True))
         starts, own, pieces = np.cumsum(lens) - lens, pa.concat_arrays(own), pa.concat_arrays(texts)
         doc_ids, sizes, values, decoded = [], [np.zeros(1, np.int64)], [np.empty(0, np.int32)], [pa.array([], pa.string())]

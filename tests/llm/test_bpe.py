@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import public_tokenizers
 from soundgrid.llm import bpe
@@ -26,3 +27,15 @@ def test_matches_the_tokenizer(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.digests(bpe.encode(docs, PATH)).collect() == []
+
+
+def test_one_word_of_very_many_ids(spark):
+    rnd = random.Random(5)
+    run = "".join(rnd.choice("acgt") for _ in range(300_000))
+    texts = [run, *(f"rareword{chr(97 + k)}zq unusual{chr(97 + k)}xv" for k in range(20)), f"before {run} after"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    t = bpe.tokenizer(PATH)
+    want = {k: t.encode(x, add_special_tokens=False).ids for k, x in enumerate(texts)}
+    assert len(want[0]) > 65_535
+    got = {r.doc_id: (list(r.ids), r.decoded) for r in bpe.encode(docs, PATH, hot_words=0).collect()}
+    assert got == {k: (ids, t.decode(ids, skip_special_tokens=False)) for k, ids in want.items()}

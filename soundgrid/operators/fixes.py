@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import remove, written
 from . import spatial
 
 ACTIONS = ("set_depth", "open_cell", "deepen_by", "close_cell", "mask_cell", "blend_cell")
@@ -58,32 +59,50 @@ def neighbour_mean(cells: DataFrame) -> DataFrame:
     return cells.where("mask = 1").select("depth", to.alias("t")).groupBy("t.j", "t.i").agg(F.avg("depth").alias("blend"))
 
 
+def _steps(fixes: list[tuple]) -> list[list[tuple]]:
+    """Fixes (ord, j, i, action, value) in order, dealt into steps: those of a step neither touch nor read a cell that another one changes."""
+    wrote, read, steps = {}, {}, []
+    for f in fixes:
+        _, j, i, action, _ = f
+        around = [(j + a, i + b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b] if action == "blend_cell" else []
+        step = 1 + max([wrote.get((j, i), -1), read.get((j, i), -1), *(wrote.get(c, -1) for c in around)])
+        wrote[j, i] = step
+        for c in around:
+            read[c] = max(step, read.get(c, -1))
+        steps += [[] for _ in range(step + 1 - len(steps))]
+        steps[step].append(f)
+    return steps
+
+
 def apply(cells: DataFrame, fixes: DataFrame) -> DataFrame:
-    """cells after all fixes in the order of ord.
+    """cells after all fixes, each of which sees what those before it in the order of ord have done.
 
-    Absolute fixes between two others go together; deepen_by and blend_cell see what came before. There are as many
-    steps as changes between these kinds, so the list of fixes (small, edited by hand) is read on the driver.
+    The list of fixes (small, edited by hand) is located by one join and ordered on the driver. Fixes that don't meet go
+    together, and each step is written, so the plan doesn't grow: as many steps as the longest chain of fixes that meet.
     """
     rows = fixes.orderBy("ord").collect()
     bad = [r.action for r in rows if r.action not in ACTIONS]
     if bad:
         raise ValueError(f"unknown actions: {', '.join(sorted(set(bad)))}")
-    spark, runs = cells.sparkSession, []
-    for r in rows:
-        absolute = r.action not in ("deepen_by", "blend_cell")
-        if absolute and runs and runs[-1][0]:
-            runs[-1][1].append(r)
+    if not rows:
+        return cells
+    spark, cells = cells.sparkSession, written(cells, "fixes")
+    listed = spark.createDataFrame([(k, r.lon, r.lat, r.action, r.value) for k, r in enumerate(rows)], "ord int, lon double, lat double, action string, value double")
+    at = sorted(tuple(r) for r in located(listed, cells).select("ord", "j", "i", "action", "value").collect())
+    for step in _steps(at):
+        df = spark.createDataFrame(step, "ord int, j int, i int, action string, value double").drop("ord")
+        out = cells.join(F.broadcast(df), ["j", "i"], "left")
+        if any(f[3] == "blend_cell" for f in step):
+            out = out.join(neighbour_mean(cells), ["j", "i"], "left")
         else:
-            runs.append((absolute, [r]))
-    for absolute, run in runs:
-        df = spark.createDataFrame(run, fixes.schema)
-        if absolute:
-            cells = apply_absolute(cells, df)
-            continue
-        at = located(df, cells).select("j", "i", "action", "value")
-        out = cells.join(at, ["j", "i"], "left").join(neighbour_mean(cells), ["j", "i"], "left")
-        depth = F.when(F.col("action") == "deepen_by", F.greatest(F.col("depth") + F.col("value"), F.lit(0.0))).when((F.col("action") == "blend_cell") & F.col("blend").isNotNull(), F.col("blend")).otherwise(F.col("depth"))
-        cells = out.withColumn("depth", depth).drop("action", "value", "blend")
+            out = out.withColumn("blend", F.lit(None).cast("double"))
+        action, opened, closed = F.col("action"), F.col("action").isin("set_depth", "open_cell"), F.col("action").isin("close_cell", "mask_cell")
+        depth = F.when(opened, F.coalesce("value", F.lit(10.0))).when(action == "deepen_by", F.greatest(F.col("depth") + F.col("value"), F.lit(0.0))).when((action == "blend_cell") & F.col("blend").isNotNull(), F.col("blend")).otherwise(F.col("depth"))
+        changed = {"depth": depth, "mask": F.when(opened, 1).when(closed, 0).otherwise(F.col("mask")).cast("tinyint")}
+        if "wet_fraction" in cells.columns:
+            changed["wet_fraction"] = F.when(opened, F.greatest("wet_fraction", F.lit(0.01))).when(closed, 0.0).otherwise(F.col("wet_fraction"))
+        before, cells = cells, written(out.withColumns(changed).select(cells.columns), "fixes")
+        remove(before)
     return cells
 
 

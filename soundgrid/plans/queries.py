@@ -357,8 +357,7 @@ def apply_fixes_absolute(s, d):
 
 @query("apply_fixes_sequential")
 def apply_fixes_sequential(s, d):
-    some = _fixes(s, d, "set_depth", "deepen_by", "mask_cell", "blend_cell").orderBy("ord").limit(12)
-    return fixes.apply(fixture.coarse(s, d), some).select("j", "i", "depth", F.col("mask").cast("int").alias("mask"))
+    return fixes.apply(fixture.coarse(s, d), _fixes(s, d, "set_depth", "deepen_by", "mask_cell", "blend_cell")).select("j", "i", "depth", F.col("mask").cast("int").alias("mask"))
 
 
 @query("blend_cell", f"SELECT CAST(a.j + y.range AS INT) AS j, CAST(a.i + x.range AS INT) AS i, {e6('avg(a.depth)', 'blend')} FROM c a CROSS JOIN range(-1, 2) x CROSS JOIN range(-1, 2) y WHERE a.mask = 1 AND (x.range <> 0 OR y.range <> 0) GROUP BY 1, 2")

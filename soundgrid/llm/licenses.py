@@ -1,11 +1,11 @@
 """Licence scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-Paragraphs are lines; a line of more than ``WINDOW`` words is looked at in overlapping windows, so a licence within a long
-line counts too. Hashed word unigrams and bigrams feed a multinomial logistic regression over the licence families and
+Paragraphs are runs of lines with words. They are looked at in overlapping windows of ``WINDOW`` words, so a notice that is
+wrapped over lines or stands within a long line counts, and each line is looked at by itself too. Hashed word unigrams and bigrams feed a multinomial logistic regression over the licence families and
 an unknown class. It is trained on variants of the templates and a bounded sample of the corpus's own paragraphs as
 unknown (``max_unknown`` lines); its probabilities are calibrated by a temperature fitted on a held-out fifth. A window
-counts when a family's probability is at least ``least_probability`` and the window holds ``least_overlap`` of the word
-bigrams of one of that family's templates.
+counts for each family whose probability against unknown is at least ``least_probability`` when it holds ``least_overlap``
+of the word bigrams of one of that family's templates, without the words of a family that fits better.
 
 A null or empty text has no licences. Repeated rows and null ids are kept, each row on its own. Other columns of the
 input are ignored.
@@ -121,8 +121,24 @@ def _overlap(words: list[str], family: str) -> float:
     return max(len(own & t) / len(t) for t in _TEMPLATE_PAIRS[family])
 
 
+def _confirmed(words: list[str], families: dict[str, float], least: float) -> list[tuple[str, float]]:
+    """Families and overlaps, the best first (of equal overlaps that of the higher score); each takes its words from the others."""
+    pairs, out, left = list(zip(words, words[1:], strict=False)), [], dict(families)
+    while left:
+        own = set(pairs)
+        share, _, family, t = max(((len(own & t) / len(t), z, f, t) for f, z in left.items() for t in _TEMPLATE_PAIRS[f]), key=lambda x: x[:3])
+        if share < least:
+            break
+        out.append((family, share))
+        del left[family]
+        runs = [{p for p in pairs[k : k + len(t)] if p in t} for k in range(len(pairs))]
+        at = max(range(len(runs)), key=lambda k: len(runs[k]))
+        pairs[at : at + len(t)] = [None] * len(pairs[at : at + len(t)])
+    return out
+
+
 def spans(text: str, w: np.ndarray, least_probability: float, least_overlap: float) -> list[dict]:
-    """Licence spans of a text: line, word, family, probability, overlap."""
+    """Licence spans of a text: line and word where the window begins, family, probability, overlap."""
     out = []
     lines = [tokens(x) for x in text.split("\n")]
     words = [x for line in lines for x in line]
@@ -130,24 +146,34 @@ def spans(text: str, w: np.ndarray, least_probability: float, least_overlap: flo
         return out
     one, two = _grams(words)
     a, b = (np.concatenate([np.zeros((1, w.shape[1]), np.float32), np.cumsum(w[x], 0, dtype=np.float64)]) for x in (one, two))
-    starts, ends, where, at = [], [], [], 0
+    starts, ends, first = [], [], np.cumsum([0] + [len(line) for line in lines])  # first: where each line begins
+    runs, since = [], None
     for k, line in enumerate(lines):
-        for s in range(0, max(1, len(line) - STRIDE), STRIDE) if line else ():
-            starts.append(at + s)
-            ends.append(at + min(len(line), s + WINDOW))
-            where.append((k, s))
-        at += len(line)
+        if line:
+            runs.append((first[k], first[k + 1]))
+            since = k if since is None else since
+        if since is not None and (k + 1 == len(lines) or not lines[k + 1]):
+            if since < k:
+                runs.append((first[since], first[k + 1]))
+            since = None
+    for x, y in runs:
+        for s in range(x, max(x + 1, y - STRIDE), STRIDE):
+            starts.append(s)
+            ends.append(min(y, s + WINDOW))
     starts, ends = np.array(starts), np.array(ends)
     n = 2 * (ends - starts)
     z = (a[ends] - a[starts] + b[ends - 1] - b[starts] + w[-1]) / np.sqrt(n)[:, None]
-    best = z[:, :-1].argmax(1)
-    for k in np.flatnonzero(z[np.arange(len(z)), best] > z[:, -1]):
-        e = np.exp(z[k] - z[k].max())
-        p, family = float(e[best[k]] / e.sum()), FAMILIES[best[k]]
-        part = words[starts[k] : ends[k]]
-        if p >= least_probability and (share := _overlap(part, family)) >= least_overlap:
-            out.append({"line": where[k][0], "word": where[k][1], "family": family, "probability": p, "overlap": share})
-    return out
+    p = 1 / (1 + np.exp(np.clip(z[:, -1:] - z[:, :-1], -500, 500)))  # against unknown
+    seen: set[tuple[int, int]] = set()
+    for k in np.flatnonzero((p >= least_probability).any(1)):
+        if (place := (int(starts[k]), int(ends[k]))) in seen:  # a line of its own is a paragraph too
+            continue
+        seen.add(place)
+        these = {FAMILIES[f]: float(z[k, f]) for f in np.flatnonzero(p[k] >= least_probability)}
+        line = int(np.searchsorted(first, starts[k], side="right")) - 1
+        for family, share in _confirmed(words[starts[k] : ends[k]], these, least_overlap):
+            out.append({"line": line, "word": int(starts[k] - first[line]), "family": family, "probability": float(p[k, FAMILIES.index(family)]), "overlap": share})
+    return sorted(out, key=lambda x: (x["line"], x["word"]))
 
 
 def scan(docs: DataFrame, weights: np.ndarray, least_probability: float = 0.5, least_overlap: float = 0.6) -> DataFrame:

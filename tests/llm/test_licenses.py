@@ -27,3 +27,22 @@ def test_families(spark):
     wrong = [(r.doc_id, r.families) for r in got if r.doc_id is not None and r.families != want.get(r.doc_id, [])]
     assert not wrong
     assert lic.scan(df.limit(0), w).collect() == []
+
+
+def test_wrapped_and_dual_notices(spark):
+    df = spark.createDataFrame(corpus()[0], "doc_id long, text string, families string")
+    w = lic.fit(df, max_unknown=300)
+    cases = [
+        ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are\nmet", ["BSD"]),
+        (" * Permission to use, copy, modify, and/or distribute this software for any\n * purpose with or without fee is hereby granted\n", ["ISC"]),
+        ("Licensed under the MIT license. Licensed under the Apache License, Version 2.0.", ["Apache-2.0", "MIT"]),
+        ("Licensed under the MIT license.\nLicensed under the Apache License, Version 2.0.", ["Apache-2.0", "MIT"]),
+        ("Licensed under the GNU General Public\nLicense, version 2.", ["GPL"]),
+        ("Licensed under the GNU Lesser General Public License, version 3.", ["LGPL"]),
+        ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC"]),
+        ("my driving\nlicense is lost\nand the public was here", []),
+    ]
+    docs = spark.createDataFrame([(k, "a first line\n\n" + t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: (r.families, r.spans) for r in lic.scan(docs, w).collect()}
+    assert {k: got[k][0] for k in got} == {k: f for k, (_, f) in enumerate(cases)}
+    assert [(s.line, s.word) for s in got[0][1]] == [(2, 0)]

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The names by which depth and coordinates are known in outer models' files.
-DEPTH = ("depth", "bathy", "bathymetry", "Bathymetry", "H", "h", "deptho")
+# The usual names of depth and coordinates in outer models' files.
+DEPTH = ("depth", "H", "h", "deptho")
 LON = ("lon", "longitude", "nav_lon", "x_T", "xt_ocean", "geolon_t")
 LAT = ("lat", "latitude", "nav_lat", "y_T", "yt_ocean", "geolat_t")
 
@@ -27,10 +27,11 @@ def elevation(spark: SparkSession, path: str, lon: tuple[float, float], lat: tup
     return raw.select(F.col(x).alias("lon"), F.col(y).alias("lat"), F.when(depth > 0, depth).alias("depth"), F.coalesce(depth <= 0, F.lit(True)).alias("land"))
 
 
-def outer_model(spark: SparkSession, path: str) -> DataFrame:
-    """lon, lat, depth of the wet points of another model, whichever sign its depths have."""
+def outer_model(spark: SparkSession, path: str, column: str | None = None) -> DataFrame:
+    """lon, lat, depth of the wet points of another model, whichever sign its depths have; column names them if no usual name does."""
     raw = spark.read.parquet(path)
-    points = raw.select(F.col(_one_of(raw, LON)).alias("lon"), F.col(_one_of(raw, LAT)).alias("lat"), F.col(_one_of(raw, DEPTH)).cast("double").alias("depth"))
+    names = (_one_of(raw, LON), _one_of(raw, LAT), _one_of(raw, (column,) if column else DEPTH))
+    points = raw.select(*[F.col(name).cast("double").alias(c) for name, c in zip(names, ("lon", "lat", "depth"), strict=True)])
     middle = points.agg(F.expr("approx_percentile(depth, 0.5)").alias("m")).first().m
     sign = -1.0 if middle is not None and middle < 0 else 1.0
     return points.withColumn("depth", F.col("depth") * sign).where("depth > 0")

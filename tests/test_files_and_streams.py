@@ -13,6 +13,8 @@ def test_elevation(spark, tmp_path):
 def test_outer_model_and_names(spark, tmp_path):
     spark.createDataFrame([(1.0, 2.0, -5.0), (1.0, 3.0, -9.0), (1.0, 4.0, 2.0)], "nav_lon double, nav_lat double, deptho double").write.parquet(f"{tmp_path}/o")
     assert sorted(r.depth for r in files.outer_model(spark, f"{tmp_path}/o").collect()) == [5.0, 9.0]
+    spark.createDataFrame([(1.0, 2.0, 4.0)], "lon double, lat double, topo double").write.parquet(f"{tmp_path}/t")
+    assert [r.depth for r in files.outer_model(spark, f"{tmp_path}/t", "topo").collect()] == [4.0]
     spark.range(1).write.parquet(f"{tmp_path}/x")
     with pytest.raises(ValueError):
         files.outer_model(spark, f"{tmp_path}/x")

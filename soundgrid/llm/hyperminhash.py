@@ -2,13 +2,16 @@
 
 A document's set holds the hashes of its distinct five-word shingles. One hash per shingle picks a bucket; a register
 keeps, of the least hash in its bucket, the number of leading zeros and ten mantissa bits. Documents of equal sets form
-one node, so copies never meet in pairs. Bands of registers bring nodes together; registers then estimate the Jaccard
-similarity, corrected for registers that agree by chance, and only pairs within reach of the limit are compared on
-their full sets.
+one node, so copies never meet in pairs. For banding, an empty register borrows the register that comes first in an
+order of its own, so that bands of short texts rest on as many registers as those of long ones. Registers then estimate
+the Jaccard similarity, corrected for registers that agree by chance, and only pairs within reach of the limit are
+compared on their full sets.
 
-Within a band's bucket, nodes are first compared with one of them (its least). The links so found give components; only
-buckets that still hold several components are compared further, block by block on full sets, and a block gives out no
-more links than join its components. No bucket is capped. The work on the driver is bounded.
+Nodes that share a band meet in a bucket. A node is compared first with the least node of the bucket that most of its
+bands lead to, then with the least nodes of its other buckets that still have another label. Buckets whose other nodes
+still have several labels are compared block by block, within the bucket: on registers, and the nodes that come within
+reach there on full sets. A block gives out no more links than join its labels. No bucket is capped. The work on the
+driver is bounded.
 
 A null or empty text, or one of white space, has an empty set and is linked with nothing. Fewer than five words are one
 shingle. Rows are what is linked; repeated rows form one node. A row with a null doc_id is linked with nothing and has
@@ -29,13 +32,17 @@ from pyspark.sql import functions as F
 from .common import WordHashes, arrow_rows, mixed, remove, text_of, written
 from .graph import components
 
-REGISTERS, MANTISSA, ROWS = 256, 10, 6
-BANDS = REGISTERS // ROWS
+REGISTERS, MANTISSA = 256, 10
 #: Chance that two registers of different sets agree: equal zeros (1/3) and equal mantissas.
 CHANCE = 2.0**-MANTISSA / 3
 #: Standard errors below the limit at which an estimate still leads to a full comparison.
 SLACK = 4.5
-BLOCK = 256
+#: Nodes, and bytes of full sets, of a block of a bucket.
+BLOCK, BLOCK_BYTES = 512, 16 << 20
+#: Chance that a pair at the limit shares no band.
+MISSED = 1e-5
+#: Nodes whose keys are sent to all tasks (some 10 MB) to pick their texts; more are joined.
+FEW_NODES = 200_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -79,6 +86,23 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def rows_of_band(percent: int) -> int:
+    """The most registers a band can have so that a pair at the limit shares one, but for a chance of MISSED."""
+    return max(r for r in range(1, 33) if r == 1 or (1 - (percent / 100) ** r) ** (REGISTERS // r) <= MISSED)
+
+
+_BEFORE = np.argsort(np.argsort(mixed(np.arange(REGISTERS * REGISTERS, dtype=np.uint64)).reshape(REGISTERS, REGISTERS), 1), 1).astype(np.uint16)
+
+
+def borrowed(regs: np.ndarray) -> np.ndarray:
+    """Registers whose empty ones have the value of the full one that comes first in their order."""
+    full, none = np.flatnonzero(regs), np.flatnonzero(regs == 0)
+    out = regs.copy()
+    if len(full) and len(none):
+        out[none] = regs[full[_BEFORE[np.ix_(none, full)].argmin(1)]]
+    return out
+
+
 def near_enough(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     """Whether the estimate from registers (last axis) is within SLACK standard errors of the limit."""
     agree = ((a == b) & (a > 0)).sum(-1)
@@ -104,8 +128,25 @@ def sketches(docs: DataFrame) -> DataFrame:
     return text_of(docs).mapInArrow(sketch, "doc_id long, n_shingles long, key binary, regs binary")
 
 
+def _bands(nodes: DataFrame, rows: int) -> DataFrame:
+    """bucket, node for every band of every node."""
+    bands = REGISTERS // rows
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = mixed(np.arange(1, bands + 1, dtype=np.uint64))
+        for batch in batches:
+            regs = np.frombuffer(b"".join(batch["regs"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
+            parts = np.array([borrowed(r) for r in regs], np.uint16).reshape(-1, REGISTERS)[:, : bands * rows].reshape(-1, bands, rows).astype(np.uint64)
+            key = np.broadcast_to(number, parts.shape[:2]).copy()
+            for k in range(rows):
+                key = mixed(key + parts[:, :, k])
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(key.ravel().view(np.int64)), "node": pa.array(np.repeat(batch["node"].to_numpy(), bands))})
+
+    return nodes.select("node", "regs").mapInArrow(cut, "bucket long, node long")
+
+
 def _close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b whose registers come within reach of the limit."""
+    """The pairs a, b whose sizes allow a link and whose registers come within reach of the limit."""
 
     @F.pandas_udf("boolean")
     def near(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -113,13 +154,15 @@ def _close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         return pd.Series(near_enough(u, v, percent))
 
     for end in "ab":
-        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("regs").alias(f"r{end}")), end)
-    return pairs.where(near("ra", "rb")).select("a", "b")
+        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("regs").alias(f"r{end}"), F.col("n_shingles").alias(f"n{end}")), end)
+    sizes = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    return pairs.where(sizes).where(near("ra", "rb")).select("a", "b")
 
 
 def _sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """node, full (the sorted hashes of its set) for wanted nodes with their key and doc_id; written."""
-    texts = text_of(docs).join(wanted.select("node", "key", "doc_id"), "doc_id")
+    wanted = wanted.select("node", "key", "doc_id")
+    texts = text_of(docs).join(F.broadcast(wanted) if wanted.count() <= FEW_NODES else wanted, "doc_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,60 +203,93 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int)
     return out
 
 
-def _left_over(members: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Links a, b that join further components of nodes that meet in a bucket.
-
-    Buckets that still hold several components make clusters. A cluster is compared block by block on full sets, after
-    the registers' estimate; a block gives out the links that join components, so no more than it has nodes.
-    """
-    known = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    many = known.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi and n > 2").select("bucket")
-    edges = known.join(many, "bucket").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    clusters = written(components(edges).withColumnRenamed("label", "cluster").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "clusters")
-    full = _sets(clusters.select("node").join(nodes, "node"), docs)
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    rows = clusters.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+def _blocks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """rows (bucket, node, label) once for each pair of blocks p, q of their bucket that they take part in."""
+    rows = rows.join(sizes.select("bucket", "parts"), "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("cluster", "node", "label", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
-    rows = rows.join(nodes.select("node", "regs"), "node").join(full, "node")
+    return rows.select("bucket", "node", "label", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+
+
+def _sized(rows: DataFrame) -> DataFrame:
+    """bucket, parts (number of blocks) of the buckets whose rows have several labels."""
+    sizes = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("whole"))
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("m") * 8 / BLOCK_BYTES)).cast("int")
+    # of buckets with the same nodes one is enough
+    return sizes.where("lo < hi").groupBy("n", "m", "whole").agg(F.min("bucket").alias("bucket")).select("bucket", parts.alias("parts"))
+
+
+def _left_over(members: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links a, b that join further labels of nodes that meet in a bucket; its least node has been compared already."""
+    known = members.where("node <> least").join(labels, "node", "left").join(nodes.select("node", "n_shingles"), "node")
+    known = written(known.select("bucket", "node", "n_shingles", F.coalesce("label", "node").alias("label")), "known")
+    sizes = written(_sized(known), "sizes")
+    kind = pa.schema([("bucket", pa.int64()), ("node", pa.int64())])
+
+    def sides(t: pa.Table) -> tuple:
+        own = t["own"].to_numpy()
+        left, right = np.flatnonzero(own == t["p"][0].as_py()), np.flatnonzero(own == t["q"][0].as_py())
+        return t["node"].to_numpy(), t["label"].to_numpy().copy(), t["n_shingles"].to_numpy(), left, right, np.frombuffer(b"".join(t["regs"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
+
+    def partners(k: int, right: np.ndarray, root: np.ndarray, size: np.ndarray, regs: np.ndarray) -> np.ndarray:
+        ratio = np.minimum(size[right], size[k]) * 100 >= np.maximum(size[right], size[k]) * percent
+        others = right[(root[right] != root[k]) & ratio]
+        return others[near_enough(regs[others], regs[k], percent)]
+
+    def reach(t: pa.Table) -> pa.Table:
+        """The nodes of a pair of blocks that come within reach of one of another label."""
+        node, root, size, left, right, regs = sides(t)
+        found = np.zeros(len(node), bool)
+        for k in left:
+            others = partners(k, right, root, size, regs)
+            found[others] = True
+            found[k] |= len(others) > 0
+        at = np.flatnonzero(found)
+        return pa.table([pa.array(np.full(len(at), t["bucket"][0].as_py(), np.int64)), pa.array(node[at])], schema=kind)
 
     def compare(t: pa.Table) -> pa.Table:
-        node, root, own = (t[c].to_numpy().copy() for c in ("node", "label", "own"))
-        p, q = t["p"][0].as_py(), t["q"][0].as_py()
-        regs = np.frombuffer(b"".join(t["regs"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        node, root, size, left, right, regs = sides(t)
         sets = [np.frombuffer(x, np.uint64) for x in t["full"].to_pylist()]
-        left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
         links = []
         for k in left:
-            others = right[root[right] != root[k]]
-            for o in others[near_enough(regs[others], regs[k], percent)]:
+            for o in partners(k, right, root, size, regs):
                 if root[o] != root[k] and linked(sets[k], sets[o], percent):
                     links.append((node[k], node[o]))
                     root[root == root[o]] = root[k]
         return pa.table({c: pa.array([x[i] for x in links], pa.int64()) for i, c in enumerate("ab")})
 
-    out = written(rows.groupBy("cluster", "p", "q").applyInArrow(compare, "a long, b long"), "links")
-    remove(full)
-    remove(clusters)
+    with_regs = lambda rows: rows.join(nodes.select("node", "regs", "n_shingles"), "node")
+    near = with_regs(_blocks(known, sizes)).groupBy("bucket", "p", "q").applyInArrow(reach, "bucket long, node long")
+    near = written(known.join(near.distinct(), ["bucket", "node"], "left_semi"), "near")
+    full = _sets(near.select("node").distinct().join(nodes, "node"), docs)
+    rows = with_regs(_blocks(near, _sized(near))).join(full, "node")
+    out = written(rows.groupBy("bucket", "p", "q").applyInArrow(compare, "a long, b long").distinct(), "links")
+    for table in (known, sizes, near, full):
+        remove(table)
     return out
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links reach), kept (doc_id is component_id)."""
     base = written(sketches(docs), "sketches")
-    nodes = base.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("regs").alias("regs"))
+    nodes = base.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("regs").alias("regs"), F.first("n_shingles").alias("n_shingles"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # ids are fixed once written
-    empty = F.lit(bytes(2 * ROWS))
-    slices = F.array(*[F.struct(F.lit(k).alias("band"), F.substring("regs", 2 * ROWS * k + 1, 2 * ROWS).alias("part")) for k in range(BANDS)])
-    bands = nodes.select("node", F.explode(slices).alias("s")).where(F.col("s.part") != empty).select(F.xxhash64("s.band", "s.part").alias("bucket"), "node")
+    bands = _bands(nodes, rows_of_band(percent))
     shared = bands.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("bucket", "least")
     members = written(bands.join(shared, "bucket"), "members")
-    stars = members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    links = _verified(written(_close(stars, nodes, percent), "pairs"), docs, nodes, percent)
+    stars = members.where("node <> least").groupBy(F.col("least").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("bands"))
+    stars = written(stars, "stars")
+    most = stars.groupBy("b").agg(F.max_by("a", F.struct("bands", "a")).alias("a")).select("a", "b")
+    links = _verified(written(_close(most, nodes, percent), "pairs"), docs, nodes, percent)
     labels = written(components(links), "labels")
-    rest = _left_over(members, labels, nodes, docs, percent)
-    if not rest.isEmpty():
-        labels = written(components(links.unionByName(rest)), "labels")
+    label = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}"))
+    apart = stars.join(label("a"), "a", "left").join(label("b"), "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+    for find in (lambda: _verified(written(_close(apart, nodes, percent), "pairs"), docs, nodes, percent), lambda: _left_over(members, labels, nodes, docs, percent)):
+        more = find()
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = written(components(links), "labels")
+    remove(members)
+    remove(stars)
     found = nodes.select("key", "doc_id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = found.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     classes = found.join(least, "label").select("key", "component_id")

@@ -69,3 +69,32 @@ def test_components_of_a_chain(spark):
     e = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.label for r in graph.components(e).collect()}
     assert got == {k: 0 for k in range(41)} | {100: 100, 101: 100}
+
+
+def test_many_unlike_nodes_in_one_bucket(spark, monkeypatch):
+    """Texts around one another's limit share buckets without being linked; the links among them are found in blocks."""
+    monkeypatch.setattr(hm, "BLOCK", 16)
+    rnd = random.Random(8)
+    base = [f"w{k}" for k in range(90)]
+    texts = []
+    for _ in range(90):
+        t = list(base)
+        for k in rnd.sample(range(90), rnd.choice((1, 2, 3))):
+            t[k] = f"x{rnd.randint(0, 10**6)}"
+        texts.append(" ".join(t))
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent in (85, 80):
+        assert sorted(map(tuple, hm.near_duplicates(df, percent).collect()), key=str) == brute(rows, percent)
+
+
+def test_borrowed_registers_agree_as_the_sets_do():
+    rng = np.random.default_rng(2)
+    for n, same in ((10, 9), (40, 34), (400, 340)):
+        got = []
+        for _ in range(200):
+            x = rng.integers(0, 2**64, 2 * n - same, np.uint64)
+            a, b = (hm.borrowed(hm.registers(np.unique(v))) for v in (x[:n], x[n - same :]))
+            got.append((a == b).mean())
+        assert abs(np.mean(got) - same / (2 * n - same)) < 0.03
+    assert not hm.borrowed(np.zeros(hm.REGISTERS, np.uint16)).any()

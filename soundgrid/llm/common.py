@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +75,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def pack_arrays(*arrays: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(len(a).to_bytes(8, "little") + a for a in arrays))
+
+
+def unpack_arrays(raw: bytes) -> list[bytes]:
+    data, out, at = zstandard.ZstdDecompressor().decompress(raw), [], 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 8], "little")
+        out.append(data[at + 8 : at + 8 + n])
+        at += 8 + n
+    return out
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, kept for the words seen lately."""
 

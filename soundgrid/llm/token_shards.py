@@ -3,30 +3,39 @@
 Texts become ids, ids become sequences of ``length`` ids (the last of a text padded), and every sequence gets a global
 slot by a keyed Feistel permutation of 0..n-1 with cycle-walking. Range partitions of the slots write shards of fixed
 stride: sequence s lies in shard s // shard_rows at (s % shard_rows) * length * 2 bytes, so a reader can begin at any
-slot. Before the permutation, sequences are numbered in the order in which the table's splits were read.
+slot. Before the permutation, sequences are numbered in the order in which the table's splits were read, so the order
+belongs to the table as it is split, and a table that is dealt otherwise gets another order.
+
+On their way sequences are packed without their padding: first by input task, then by task and shard. A shard is sorted
+in one task, which holds one shard at a time.
 
 Null and empty texts give no sequence. Repeated rows and null ids are kept, each row on its own. Other columns of the
-input are ignored. A shard is written under a temporary name and renamed.
+input are ignored. A shard is written under a name of the attempt's own and renamed.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import arrow_rows, mixed, new_path, remove, written
+from .common import arrow_rows, mixed, new_path, pack_arrays, remove, unpack_arrays, written
 
 PAD = 49407
 ROUNDS = 6
+#: Ids, about, of a pack.
+PACK_IDS = 4_000_000
+#: Input tasks up to which the numbers before them are sent to all tasks; beyond, they are joined.
+FEW_TASKS = 100_000
 
 
 class WordIds(dict):
@@ -48,28 +57,68 @@ def _word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+class Pack:
+    """Sequences of some documents: doc_id (and whether it is null), seq, number of ids, and the ids one after the other."""
+
+    def __init__(self) -> None:
+        self.doc_ids: list[int | None] = []
+        self.seqs: list[int] = []
+        self.ids: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, doc_id: int | None, seq: int, ids: np.ndarray) -> None:
+        self.doc_ids.append(doc_id)
+        self.seqs.append(seq)
+        self.ids.append(ids)
+        self.size += len(ids)
+
+    def packed(self, *more: bytes) -> bytes:
+        ids = np.concatenate(self.ids)
+        counts = np.bincount(ids, minlength=1 << 16)
+        table = np.flatnonzero(counts)
+        table = table[np.argsort(-counts[table], kind="stable")] if 4 * len(table) < len(ids) else np.arange(1 << 16)  # frequent ids become small numbers
+        rank = np.zeros(1 << 16, np.uint16)
+        rank[table] = np.arange(len(table))
+        ids = rank[ids]
+        table = table if len(table) < 1 << 16 else table[:0]
+        lens = np.array([len(x) for x in self.ids], np.int32)
+        none = np.array([d is None for d in self.doc_ids], np.uint8)
+        docs = np.array([d or 0 for d in self.doc_ids], np.int64)
+        return pack_arrays(docs.tobytes(), none.tobytes(), np.array(self.seqs, np.int32).tobytes(), lens.tobytes(), table.astype("<u2").tobytes(), (ids & 0xFF).astype(np.uint8).tobytes(), (ids >> 8).astype(np.uint8).tobytes(), *more)
+
+
+def unpacked(raw: bytes) -> tuple[list[tuple[int | None, int, np.ndarray]], list[bytes]]:
+    """The sequences of a pack as (doc_id, seq, ids), and what else it holds."""
+    docs, none, seqs, lens, table, low, high, *more = unpack_arrays(raw)
+    ids = np.frombuffer(low, np.uint8).astype("<u2") | np.frombuffer(high, np.uint8).astype("<u2") << 8
+    ids = np.frombuffer(table, "<u2")[ids] if table else ids
+    doc_ids = [None if n else d for d, n in zip(np.frombuffer(docs, np.int64).tolist(), none, strict=True)]
+    parts = np.split(ids, np.cumsum(np.frombuffer(lens, np.int32))[:-1])
+    return list(zip(doc_ids, np.frombuffer(seqs, np.int32).tolist(), parts, strict=True)), more
+
+
 def sequences(docs: DataFrame, path: str, length: int) -> DataFrame:
-    """doc_id, seq, n_tokens, ids (2-byte little-endian, padded)."""
+    """task, first, n, pack: packs of n sequences, the first of which is that number of its input task's."""
+    kind = pa.schema([("task", pa.int32()), ("first", pa.int64()), ("n", pa.int64()), ("pack", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, rows = _word_ids(path), []
-        kind = pa.schema([("doc_id", pa.int64()), ("seq", pa.int32()), ("n_tokens", pa.int32()), ("ids", pa.binary())])
+        of, held, first, task = _word_ids(path), Pack(), 0, TaskContext.get().partitionId()
 
         def out() -> pa.RecordBatch:
-            columns = zip(*rows, strict=True) if rows else [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], schema=kind)
+            n = len(held.seqs)
+            return pa.RecordBatch.from_pydict({"task": [task], "first": [first], "n": [n], "pack": [held.packed()]}, schema=kind)
 
         for doc_id, text in arrow_rows(batches, "doc_id", "text"):
             ids = np.array([i for w in bpe.split_words(text or "", path) for i in of[w]], "<u2")
             for k in range(0, len(ids), length):
-                part = ids[k : k + length]
-                rows.append((doc_id, k // length, len(part), np.append(part, np.full(length - len(part), PAD, "<u2")).tobytes()))
-            if len(rows) >= 2048:
+                held.add(doc_id, k // length, ids[k : k + length])
+            if held.size > PACK_IDS:
                 yield out()
-                rows = []
-        yield out()
+                first, held = first + len(held.seqs), Pack()
+        if held.seqs:
+            yield out()
 
-    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, seq int, n_tokens int, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(cut, "task int, first long, n long, pack binary")
 
 
 def feistel(x: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -88,13 +137,13 @@ def feistel(x: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _numbered(table: DataFrame) -> DataFrame:
-    """table, as read from files, with number: rows counted through its files in the order of their names."""
-    placed = table.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    files = placed.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
-    # one row a file: the running total stands in one place
-    before = files.select("_file", (F.sum("_n").over(Window.orderBy("_file")) - F.col("_n")).alias("_before"))
-    return placed.join(before, "_file").withColumn("number", F.col("_before") + F.col("_row")).drop("_file", "_row", "_before")
+def _numbered(packs: DataFrame) -> tuple[DataFrame, int]:
+    """packs with before, the number of sequences of earlier input tasks, and the number of all sequences."""
+    tasks = written(packs.groupBy("task").agg(F.sum("n").alias("_n")), "tasks")
+    size = tasks.agg(F.count(F.lit(1)).alias("tasks"), F.sum("_n").alias("n")).first()
+    # one row an input task: the running total stands in one place
+    before = tasks.select("task", (F.sum("_n").over(Window.orderBy("task")) - F.col("_n")).alias("before"))
+    return packs.join(F.broadcast(before) if size.tasks <= FEW_TASKS else before, "task"), size.n or 0
 
 
 def materialise(docs: DataFrame, path: str, folder: str | None = None, length: int = 512, shard_rows: int = 8192, key: int = 20260101) -> DataFrame:
@@ -102,42 +151,69 @@ def materialise(docs: DataFrame, path: str, folder: str | None = None, length: i
     spark = docs.sparkSession
     folder = folder or new_path(spark, "token-shards")
     table = written(sequences(docs, path, length), "sequences")
-    n = table.count()
-
-    @F.pandas_udf("long")
-    def slot(numbers: pd.Series) -> pd.Series:
-        return pd.Series(feistel(numbers.to_numpy(), n, key))
+    numbered, n = _numbered(table)
+    shards = max(1, -(-n // shard_rows))
+    parts = min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """By shard: packs of sequences with their slots."""
+        held: dict[int, tuple[Pack, list[int]]] = {}
+        size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for shard, (pack, slots) in held.items():
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "pack": pa.array([pack.packed(np.array(slots, np.int64).tobytes())], pa.binary())})
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                first, count, before, raw = (batch[c][row].as_py() for c in ("first", "n", "before", "pack"))
+                slots = feistel(np.arange(before + first, before + first + count), n, key)
+                for slot, shard, (doc_id, seq, ids) in zip(slots.tolist(), (slots // shard_rows).tolist(), unpacked(raw)[0], strict=True):
+                    pack, places = held.setdefault(shard, (Pack(), []))
+                    pack.add(doc_id, seq, ids)
+                    places.append(slot)
+                    size += len(ids)
+                if size > 4 * PACK_IDS:
+                    yield from out()
+                    held, size = {}, 0
+        yield from out()
 
     kind = pa.schema([("slot", pa.int64()), ("shard", pa.string()), ("offset", pa.int64()), ("doc_id", pa.int64()), ("seq", pa.int32()), ("n_tokens", pa.int32()), ("crc32", pa.int64())])
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, out, rows = None, None, []
+        now, packs = None, []
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
 
         def close() -> pa.RecordBatch:
-            nonlocal rows
-            if out is not None:
-                out.close()
-                fs.move(f"{root}/.{name}.part", f"{root}/{name}")
-            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 7, kind, strict=True)], schema=kind)
             rows = []
-            return batch
-
-        for s, doc_id, seq, n_tokens, ids in arrow_rows(batches, "slot", "doc_id", "seq", "n_tokens", "ids"):
-            if s // shard_rows != now:
-                yield close()
-                now = s // shard_rows
-                name = f"shard-{now:08d}.bin"
-                out = fs.open_output_stream(f"{root}/.{name}.part")
-            out.write(ids)
-            rows.append((s, f"{folder}/{name}", s % shard_rows * length * 2, doc_id, seq, n_tokens, zlib.crc32(ids)))
-        yield close()
-
-    shards = max(1, -(-n // shard_rows))
-    slots = _numbered(table).withColumn("slot", slot("number")).withColumn("part", F.expr(f"slot div {shard_rows}"))
-    ordered = slots.select("part", "slot", "doc_id", "seq", "n_tokens", "ids").repartitionByRange(shards, "part").sortWithinPartitions("slot")
-    out = written(ordered.mapInArrow(store, "slot long, shard string, offset long, doc_id long, seq int, n_tokens int, crc32 long"), "shard-index")
+            for raw in packs:
+                found, (slots,) = unpacked(raw)
+                rows += zip(np.frombuffer(slots, np.int64).tolist(), found, strict=True)
+            rows.sort(key=lambda x: x[0])
+            name, part = f"shard-{now:08d}.bin", f".{uuid.uuid4().hex}.part"
+            index = []
+            with fs.open_output_stream(f"{root}/{part}") as out:
+                for slot, (doc_id, seq, ids) in rows:
+                    raw = ids.tobytes() + np.full(length - len(ids), PAD, "<u2").tobytes()
+                    out.write(raw)
+                    index.append((slot, f"{folder}/{name}", slot % shard_rows * length * 2, doc_id, seq, len(ids), zlib.crc32(raw)))
+            fs.move(f"{root}/{part}", f"{root}/{name}")
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*index, strict=True), kind, strict=True)], schema=kind)
+
+        for batch in batches:
+            for shard, raw in zip(batch["shard"].to_pylist(), batch["pack"].to_pylist(), strict=True):
+                if shard != now:
+                    if packs:
+                        yield close()
+                    now, packs = shard, []
+                packs.append(raw)
+        if packs:
+            yield close()
+
+    dealt = numbered.mapInArrow(deal, "shard long, pack binary")
+    ranges = dealt.repartitionById(parts, F.expr(f"cast(shard * {parts} div {shards} as int)")).sortWithinPartitions("shard")
+    out = written(ranges.mapInArrow(store, "slot long, shard string, offset long, doc_id long, seq int, n_tokens int, crc32 long"), "shard-index")
     remove(table)
     return out
 

@@ -39,18 +39,27 @@ FEW_TASKS = 100_000
 
 
 class WordIds(dict):
-    """word -> ids, for the words seen lately."""
+    """word -> its ids (2-byte little-endian), for the words seen lately: of those before, the ones seen again stay."""
+
+    LIMIT = 300_000
 
     def __init__(self, path: str):
         super().__init__()
-        self.encoder = bpe.word_encoder(path)
-
-    def __missing__(self, word: str) -> list[int]:
-        if len(self) > 400_000:
+        self.encoder, self.older = bpe.word_encoder(path), {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = np.array(self.encoder.encode(word, add_special_tokens=False).ids, "<u2").tobytes()
+        if len(self) >= self.LIMIT:
+            self.older = dict(self)
             self.clear()
-        ids = self[word] = self.encoder.encode(word, add_special_tokens=False).ids
+        self[word] = ids
         return ids
 
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), "<u2")
+
 
 @lru_cache(maxsize=2)
 def _word_ids(path: str) -> WordIds:
@@ -102,14 +111,14 @@ def sequences(docs: DataFrame, path: str, length: int) -> DataFrame:
     kind = pa.schema([("task", pa.int32()), ("first", pa.int64()), ("n", pa.int64()), ("pack", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, held, first, task = _word_ids(path), Pack(), 0, TaskContext.get().partitionId()
+        words, held, first, task = _word_ids(path), Pack(), 0, TaskContext.get().partitionId()
 
         def out() -> pa.RecordBatch:
             n = len(held.seqs)
             return pa.RecordBatch.from_pydict({"task": [task], "first": [first], "n": [n], "pack": [held.packed()]}, schema=kind)
 
         for doc_id, text in arrow_rows(batches, "doc_id", "text"):
-            ids = np.array([i for w in bpe.split_words(text or "", path) for i in of[w]], "<u2")
+            ids = words.of(bpe.split_words(text or "", path))
             for k in range(0, len(ids), length):
                 held.add(doc_id, k // length, ids[k : k + length])
             if held.size > PACK_IDS:

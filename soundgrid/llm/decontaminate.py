@@ -3,10 +3,11 @@
 Passages are blocks of ``PASSAGE`` words of the documents; their terms are the benchmark's words, weighted by tf-idf over
 all passages of the corpus. A distributed randomised SVD (one pass A'AW over all passages, then a small decomposition on
 the driver, bounded by the benchmark's vocabulary times ``RANK``) gives latent directions. Every document is then searched
-in overlapping windows sized to the items; windows whose cosine with an item reaches ``least_cosine`` are candidates, and
-so is, whatever its cosine, each window that shares ``likely`` of an item's words in any order: no window without them can
-hold the item, so the projection loses nothing. Word-level longest common subsequences decide: an item is contained when
-the window holds ``sure`` of its words in order, or ``likely`` of them and ``sure`` of its answer, the last quarter of the
+in overlapping windows sized to the items. A stretch of the text is searched for the items of which it has ``likely`` of
+the words, in any order (no window of the others can hold theirs). Of those, windows whose cosine with the item reaches
+``least_cosine`` are candidates, and so is, whatever its cosine, each window that itself shares ``likely`` of the item's
+words, so the projection loses nothing. Word-level longest common subsequences decide: an item is contained when the
+window holds ``sure`` of its words in order, or ``likely`` of them and ``sure`` of its answer, the last quarter of the
 item.
 
 The benchmark is a stated query set and fits on the driver; documents are only ever met in tasks. Words are lower-cased
@@ -18,7 +19,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -119,24 +119,8 @@ class Model:
         starts = np.arange(0, max(1, n_words - size + size // 3), size // 3)
         return starts, np.minimum(starts + size + size // 3, n_words)
 
-    def latent_candidates(self, ids: np.ndarray, least_cosine: float) -> Iterator[tuple[int, int, int]]:
-        """Item, start and end of the windows whose cosine with the item reaches the least."""
-        at = np.flatnonzero(self.informative[ids])
-        if not len(at):
-            return
-        sums = np.zeros((len(at) + 1, self.vectors.shape[1]), np.float32)
-        np.cumsum(self.vectors[ids[at]], axis=0, out=sums[1:])
-        for size, members in self.groups.items():
-            starts, ends = self.windows(size, len(ids))
-            a, b = np.searchsorted(at, starts), np.searchsorted(at, ends)
-            full = np.flatnonzero(b > a)
-            v = sums[b[full]] - sums[a[full]]
-            cosine = (v @ self.latent[members].T) / np.maximum(np.linalg.norm(v, axis=1), 1e-9)[:, None]
-            for w, m in zip(*np.nonzero(cosine >= least_cosine), strict=True):
-                yield members[m], starts[full[w]], ends[full[w]]
-
-    def sharing_candidates(self, ids: np.ndarray, likely: float) -> Iterator[tuple[int, int, int]]:
-        """Item, start and end of all windows that share ``likely`` of the item's words, each as often as both have it."""
+    def candidates(self, ids: np.ndarray, least_cosine: float, likely: float, by_words: bool = True) -> Iterator[tuple[int, int, int]]:
+        """Item, start and end of the windows to be compared, stretch by stretch: by cosine first, then by shared words."""
         if not len(ids) or not self.items:
             return
         longest = max(self.groups)
@@ -147,11 +131,23 @@ class Model:
             part = ids[s : s + step + longest]
             there = np.bincount(part, minlength=len(self.vectors))
             most = np.add.reduceat(np.minimum(there[self.item_terms], self.item_counts), self.item_starts[:-1])
-            for k in np.flatnonzero(most >= self.lengths * likely - 1e-9):
-                terms, counts = (x[self.item_starts[k] : self.item_starts[k + 1]] for x in (self.item_terms, self.item_counts))
+            possible = np.flatnonzero(most >= self.lengths * likely - 1e-9)
+            if not len(possible):
+                continue
+            at = np.flatnonzero(self.informative[part])
+            sums = np.zeros((len(at) + 1, self.vectors.shape[1]), np.float32)
+            np.cumsum(self.vectors[part[at]], axis=0, out=sums[1:])
+            here = {}
+            for k in possible.tolist():
                 starts, ends = windows[self.size_of[k]]
                 lo, hi = np.searchsorted(starts, (s, s + step))
-                starts, ends = starts[lo:hi], ends[lo:hi]
+                here[k] = starts[lo:hi], ends[lo:hi]
+                a, b = (np.searchsorted(at, x - s) for x in here[k])
+                v = sums[b] - sums[a]
+                cosine = (v @ self.latent[k]) / np.maximum(np.linalg.norm(v, axis=1), 1e-9)
+                yield from ((k, here[k][0][w], here[k][1][w]) for w in np.flatnonzero(cosine >= least_cosine))
+            for k, (starts, ends) in here.items() if by_words else ():
+                terms, counts = (x[self.item_starts[k] : self.item_starts[k + 1]] for x in (self.item_terms, self.item_counts))
                 near = np.minimum(np.searchsorted(terms, part), len(terms) - 1)
                 at = np.flatnonzero(terms[near] == part)
                 sums = np.zeros((len(at) + 1, len(terms)), np.int32)
@@ -159,13 +155,13 @@ class Model:
                 np.cumsum(sums, axis=0, out=sums)
                 held = sums[np.searchsorted(at, ends - s)] - sums[np.searchsorted(at, starts - s)]
                 for w in np.flatnonzero(np.minimum(held, counts).sum(1) >= self.lengths[k] * likely - 1e-9):
-                    yield int(k), starts[w], ends[w]
+                    yield k, starts[w], ends[w]
 
     def search(self, ids: np.ndarray, least_cosine: float, likely: float, sure: float) -> dict[int, float]:
         """item_id -> share of its words, for the items that the text of these terms holds."""
         found: dict[int, float] = {}
         seen: set[tuple[int, int, int]] = set()
-        for candidate in chain(self.latent_candidates(ids, least_cosine), self.sharing_candidates(ids, likely)):
+        for candidate in self.candidates(ids, least_cosine, likely):
             item = self.items[candidate[0]]
             if candidate not in seen and found.get(item.item_id, 0) < 1:
                 seen.add(candidate)

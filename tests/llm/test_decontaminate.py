@@ -101,6 +101,6 @@ def test_same_as_every_window_with_more_items_than_the_rank(spark):
     ids = {k: model.vocabulary.of(text) for k, text in docs}
     want = {k: held(model, x) for k, x in ids.items()}
     assert sum(map(len, want.values())) > 150
-    latent = sum(len({model.items[c[0]].item_id for c in model.latent_candidates(x, 0.5)} & set(want[k])) for k, x in ids.items())
+    latent = sum(len({model.items[c[0]].item_id for c in model.candidates(x, 0.5, 0.6, by_words=False)} & set(want[k])) for k, x in ids.items())
     print(f"the cosine alone reaches {latent} of {sum(map(len, want.values()))} held items")
     assert by_doc(df, bench) == want

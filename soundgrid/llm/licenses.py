@@ -2,8 +2,8 @@
 
 Paragraphs are runs of lines with words. They are looked at in overlapping windows of ``WINDOW`` words, so a notice that is
 wrapped over lines or stands within a long line counts, and each line is looked at by itself too. Hashed word unigrams and bigrams feed a multinomial logistic regression over the licence families and
-an unknown class. It is trained on variants of the templates and a bounded sample of the corpus's own paragraphs as
-unknown (``max_unknown`` lines); its probabilities are calibrated by a temperature fitted on a held-out fifth. A window
+an unknown class. It is trained on variants of the templates and a bounded sample of the corpus's own lines as unknown (a
+window of each of about ``max_unknown`` distinct lines, those of the least hashes); its probabilities are calibrated by a temperature fitted on a held-out fifth. A window
 counts for each family whose probability against unknown is at least ``least_probability`` when it holds ``least_overlap``
 of the word bigrams of one of that family's templates, without the words of a family that fits better.
 
@@ -77,12 +77,22 @@ def _variants(rnd: random.Random, filler: list[str], each: int = 40) -> list[tup
     return out
 
 
+def _sample(docs: DataFrame, most: int) -> list[str]:
+    """A window of words of each of the distinct lines with the least hashes; a hash limit keeps all others off the driver."""
+    lines = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line")).where(F.trim("line") != "")
+    place = F.shiftrightunsigned(F.xxhash64("line"), 1)
+    n = lines.agg(F.approx_count_distinct("line", 0.05).alias("n")).first().n
+    limit = min(1.0, 2.0 * most / max(n, 1))
+    words = F.split(F.trim("line"), r"\s+")
+    start = F.pmod(F.xxhash64("line", F.lit(1)), F.greatest(F.size(words) - WINDOW, F.lit(0)) + 1).cast("int") + 1
+    some = lines.where(place <= int(limit * ((1 << 63) - 1))).distinct().orderBy(place, "line").limit(most)
+    return [r.w for r in some.select(F.array_join(F.slice(words, start, WINDOW), " ").alias("w")).collect()]
+
+
 def fit(docs: DataFrame, max_unknown: int = 4_000, epochs: int = 6, seed: int = 0) -> np.ndarray:
     """Weights, (BUCKETS + 1) x families, divided by the temperature; the last row is the bias."""
-    lines = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line")).where(F.col("line") != "")
-    sample = lines.orderBy(F.xxhash64("line"), "line").limit(max_unknown)  # bounded by max_unknown lines
     rnd = random.Random(seed)
-    unknown = [w for w in (tokens(r.line)[:WINDOW] for r in sample.collect()) if w and max(_overlap(w, f) for f in TEMPLATES) < 0.3]
+    unknown = [w for w in map(tokens, _sample(docs, max_unknown)) if w and max(_overlap(w, f) for f in TEMPLATES) < 0.3]
     filler = sorted({w for ws in unknown for w in ws})
     near = [tokens(t) for t in ("she lost her driving license", "the license plate was new", "a copy of the work", "general public", "version 2.0 of the file", "all rights", "free software for any purpose", "released in 2.0")]
     rows = _variants(rnd, filler) + [(w, len(TEMPLATES)) for w in unknown + near * 20]

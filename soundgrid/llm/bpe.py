@@ -23,11 +23,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, blocks_for, text_of, written
+from .common import arrow_rows, blocks_for, pack_arrays, text_of, unpack_arrays, written
 
 CHUNK = 200_000  # words placed at once
 LONG_WORD = 256  # characters from which a word is decoded by its digest
@@ -151,19 +150,6 @@ def frequent(table: DataFrame, most: int) -> DataFrame:
     return table.where(octave >= least)
 
 
-def _packed(*arrays: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(len(a).to_bytes(8, "little") + a for a in arrays))
-
-
-def _unpacked(raw: bytes) -> list[bytes]:
-    data, out, at = zstandard.ZstdDecompressor().decompress(raw), [], 0
-    while at < len(data):
-        n = int.from_bytes(data[at : at + 8], "little")
-        out.append(data[at + 8 : at + 8 + n])
-        at += 8 + n
-    return out
-
-
 def _lines(raw: bytes) -> pa.Array:
     return pc.split_pattern(pa.array([raw], pa.binary()).cast(pa.string()), "\n").flatten()
 
@@ -172,7 +158,7 @@ def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.array([len(x) for x in lists], np.int64), np.array([i for x in lists for i in x], np.int32)
 
 
-def encode(docs: DataFrame, path: str, hot_words: int = 131_072, block_chars: int = 16_000_000) -> DataFrame:
+def encode(docs: DataFrame, path: str, hot_words: int = 131_072, block_chars: int = 8_000_000) -> DataFrame:
     """doc_id, ids (array of int), decoded (string) of every whole text of docs."""
     spark, docs = docs.sparkSession, text_of(docs)
     table = word_table(docs, path)
@@ -184,22 +170,25 @@ def encode(docs: DataFrame, path: str, hot_words: int = 131_072, block_chars: in
     blocked = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks_for(docs, "text", block_chars))).cast("int"))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, set[str]] = {}
+        """The words without a number of each block."""
+        seen: dict[int, set[bytes]] = {}
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
             for block, words in seen.items():
-                yield pa.RecordBatch.from_pydict({"block": pa.array([block] * len(words), pa.int32()), "word": pa.array(words, pa.string())})
-
-        for block, text in arrow_rows(batches, "block", "text"):
-            words = seen.setdefault(block, set())
-            size -= len(words)
-            words |= set(split_words(text, path)).difference(rank.value)
-            size += len(words)
-            if size > 300_000:
-                yield from out()
-                seen.clear()
-                size = 0
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block] * len(words), pa.int32()), "word": pa.array(words, pa.binary()).cast(pa.string())})
+
+        for batch in batches:
+            for block, raw in zip(batch["block"].to_pylist(), batch["pack"], strict=True):
+                if found := unpack_arrays(raw.as_py())[3]:
+                    words = seen.setdefault(block, set())
+                    size -= len(words)
+                    words.update(found.split(b"\n"))
+                    size += len(words)
+                if size > 300_000:
+                    yield from out()
+                    seen.clear()
+                    size = 0
         yield from out()
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +201,7 @@ def encode(docs: DataFrame, path: str, hot_words: int = 131_072, block_chars: in
             for block, rows in held.items():
                 codes = np.concatenate([r[1] for r in rows])
                 lens = np.array([len(r[1]) for r in rows], np.int64)
-                pack = _packed(lens.tobytes(), (codes & 0xFFFF).astype(np.uint16).tobytes(), (codes >> 16).astype(np.uint8).tobytes(), "\n".join([w for r in rows for w in r[2]]).encode())
+                pack = pack_arrays(lens.tobytes(), (codes & 0xFFFF).astype(np.uint16).tobytes(), (codes >> 16).astype(np.uint8).tobytes(), "\n".join([w for r in rows for w in r[2]]).encode())
                 yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "doc_ids": pa.array([[r[0] for r in rows]], pa.list_(pa.int64())), "pack": pa.array([pack], pa.binary())})
 
         for block, doc_id, text in arrow_rows(batches, "block", "doc_id", "text"):
@@ -220,7 +209,7 @@ def encode(docs: DataFrame, path: str, hot_words: int = 131_072, block_chars: in
             codes = np.fromiter(map(of, words, repeat(n)), np.int32, len(words))
             held.setdefault(block, []).append((doc_id, codes, [words[k] for k in np.flatnonzero(codes == n)]))
             size += len(words)
-            if size > 6_000_000:
+            if size > 3_000_000:
                 yield from out()
                 held.clear()
                 size = 0
@@ -234,7 +223,7 @@ def encode(docs: DataFrame, path: str, hot_words: int = 131_072, block_chars: in
         def out() -> Iterator[pa.RecordBatch]:
             for block, rows in held.items():
                 lens, flat = _flat([r[1] for r in rows])
-                pack = _packed("\n".join([r[0] for r in rows]).encode(), lens.tobytes(), flat.tobytes(), "\n".join([r[2] for r in rows]).encode())
+                pack = pack_arrays("\n".join([r[0] for r in rows]).encode(), lens.tobytes(), flat.tobytes(), "\n".join([r[2] for r in rows]).encode())
                 yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "pack": pa.array([pack], pa.binary())})
 
         for block, word, ids, decoded in arrow_rows(batches, "block", "word", "ids", "decoded"):
@@ -251,7 +240,7 @@ def encode(docs: DataFrame, path: str, hot_words: int = 131_072, block_chars: in
         lens, flat, texts = known.value
         n, own, texts, parts = len(lens), [pa.array([], pa.string())], [texts], [(lens, flat)]
         for raw in right["pack"].to_pylist():
-            words, more, ids, decoded = _unpacked(raw)
+            words, more, ids, decoded = unpack_arrays(raw)
             own.append(_lines(words))
             texts.append(_lines(decoded))
             parts.append((np.frombuffer(more, np.int64), np.frombuffer(ids, np.int32)))
@@ -259,7 +248,7 @@ def encode(docs: DataFrame, path: str, hot_words: int = 131_072, block_chars: in
         starts, own, pieces = np.cumsum(lens) - lens, pa.concat_arrays(own), pa.concat_arrays(texts)
         doc_ids, sizes, values, decoded = [], [np.zeros(1, np.int64)], [np.empty(0, np.int32)], [pa.array([], pa.string())]
         for these, raw in zip(left["doc_ids"].to_pylist(), left["pack"].to_pylist(), strict=True):
-            counts, low, high, words = _unpacked(raw)
+            counts, low, high, words = unpack_arrays(raw)
             codes = np.frombuffer(low, np.uint16).astype(np.int32) | np.frombuffer(high, np.uint8).astype(np.int32) << 16
             if words:
                 codes[codes == n] = pc.index_in(_lines(words), value_set=own).to_numpy() + n
@@ -279,9 +268,10 @@ def encode(docs: DataFrame, path: str, hot_words: int = 131_072, block_chars: in
         ids_out = pa.ListArray.from_arrays(pa.array(np.concatenate(sizes), pa.int32()), pa.array(np.concatenate(values), pa.int32()))
         return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": ids_out, "decoded": pa.chunked_array(decoded)})
 
-    needed = blocked.select("block", "text").mapInArrow(rare, "block int, word string").join(table.select("word", "ids", "decoded"), "word")
+    # dealt by block once: the words to look up and the places that they go to come from the same shuffle
+    codes = blocked.mapInArrow(coded, "block int, doc_ids array<long>, pack binary").repartition("block")
+    needed = codes.mapInArrow(rare, "block int, word string").join(table.select("word", "ids", "decoded"), "word")
     needed = needed.select("block", "word", "ids", "decoded").mapInArrow(packed, "block int, pack binary")
-    codes = blocked.mapInArrow(coded, "block int, doc_ids array<long>, pack binary")
     return codes.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(place, "doc_id long, ids array<int>, decoded string")
 
 

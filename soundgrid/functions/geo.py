@@ -111,3 +111,18 @@ def smooth_name(r: Column) -> Column:
 
 def corridor_name(lon, lat) -> Column:
     return F.format_string("auto_%.2f%s_%.2fN", F.abs(_c(lon)), F.when(_c(lon) >= 0, "E").otherwise("W"), F.abs(_c(lat)))
+
+
+def mode_label(category, direction) -> Column:
+    """boundary, waypoint or strait, else the category's name; ? if there is none."""
+    c = _c(category)
+    return F.when(c == "AUTO", "boundary").when(c == "WAYPOINT", "waypoint").when(_c(direction).isin("U", "V"), "strait").when(c != "", F.lower(c)).otherwise("?")
+
+
+def anchor(heading) -> Column:
+    return F.concat(F.lit("#"), F.replace(F.regexp_replace(F.lower(_c(heading)), r"(?U)[^\w\- ]", ""), F.lit(" "), F.lit("-")))
+
+
+def log_depth(depth) -> Column:
+    """log10 of positive depths, else null."""
+    return F.when(_c(depth) > 0, F.log10(_c(depth)))

@@ -115,3 +115,15 @@ def apply_regions(cells: DataFrame, regions: list[dict]) -> DataFrame:
     out = cells.join(region_cells(cells, regions), ["j", "i"], "left")
     dry = F.col("ord").isNotNull()
     return out.withColumns({"mask": F.when(dry, 0).otherwise(F.col("mask")).cast("tinyint"), "depth": F.when(~dry, F.col("depth")), "wet_fraction": F.when(dry, 0.0).otherwise(F.col("wet_fraction"))}).drop("ord")
+
+
+def bridge_summary(bridges: DataFrame) -> DataFrame:
+    """n_bridges, n_three_or_more: land bridges, and those between three components or more."""
+    return bridges.agg(F.count(F.lit(1)).alias("n_bridges"), F.count_if(F.col("n_components") >= 3).alias("n_three_or_more"))
+
+
+def region_summary(cells: DataFrame, regions: list[dict]) -> DataFrame:
+    """ord, n_masked: the cells that each region makes land; a cell that an earlier region took is not counted again."""
+    spark = cells.sparkSession
+    every = spark.createDataFrame([(k,) for k in range(len(regions))], "ord int")
+    return every.join(region_cells(cells, regions).groupBy("ord").agg(F.count(F.lit(1)).alias("n")), "ord", "left").select("ord", F.coalesce("n", F.lit(0)).alias("n_masked"))

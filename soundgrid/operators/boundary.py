@@ -66,16 +66,17 @@ def bfs(cells: DataFrame, seeds: DataFrame, width: int) -> DataFrame:
     """j, i, dist, scale: steps over wet cells from the seeds (j, i, pos, scale), up to width.
 
     A cell takes the scale of the neighbour that is first in the queue; queue order is seeds by pos, then the order in
-    which cells were found, looking at -j, +j, -i, +i.
+    which cells were found, looking at -j, +j, -i, +i. So a cell's place in the queue is the seed's pos and the looks
+    that led to it, one after the other.
     """
     wet = cells.where("mask = 1").select("j", "i")
-    front = written(seeds.join(wet, ["j", "i"]).groupBy("j", "i").agg(F.min("pos").alias("pos"), F.max(F.struct("pos", "scale")).alias("s")).select("j", "i", F.col("pos").cast("long").alias("pos"), F.col("s.scale").alias("scale"), F.lit(0).alias("dist")), "bfs")
+    front = written(seeds.join(wet, ["j", "i"]).groupBy("j", "i").agg(F.min(F.array(F.col("pos").cast("int"))).alias("pos"), F.max(F.struct("pos", "scale")).alias("s")).select("j", "i", "pos", F.col("s.scale").alias("scale"), F.lit(0).alias("dist")), "bfs")
     found = front
     steps = F.explode(F.array(*[F.struct(F.lit(k).alias("d"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, (a, b) in enumerate(((-1, 0), (1, 0), (0, -1), (0, 1)))]))
     for dist in range(1, width + 1):
         to = front.select("pos", "scale", steps.alias("t"), "j", "i").select(F.struct("pos", "t.d").alias("o"), "scale", (F.col("j") + F.col("t.a")).alias("j"), (F.col("i") + F.col("t.b")).alias("i"))
         new = to.join(wet, ["j", "i"]).join(found.select("j", "i"), ["j", "i"], "left_anti").groupBy("j", "i").agg(F.min(F.struct("o", "scale")).alias("m"))
-        front = written(new.select("j", "i", (F.col("m.o.pos") * 4 + F.col("m.o.d")).alias("pos"), F.col("m.scale").alias("scale"), F.lit(dist).alias("dist")), "bfs")
+        front = written(new.select("j", "i", F.concat("m.o.pos", F.array("m.o.d")).alias("pos"), F.col("m.scale").alias("scale"), F.lit(dist).alias("dist")), "bfs")
         if front.isEmpty():
             break
         found = found.unionByName(front)
@@ -101,7 +102,9 @@ def match_scale(edge: DataFrame, outer: DataFrame, dlon: float, dlat: float, max
 def nudge(cells: DataFrame, outer: DataFrame, dlon: float, dlat: float, width: int = 10, shape: str = "cosine", min_depth: float = 2.0, max_scale: float = 3.0) -> DataFrame:
     """cells with depth drawn to the outer model's near the open edges, and pinned where it became deeper."""
     edge = boundary_cells(cells).join(cells.select("j", "i", "depth"), ["j", "i"])
-    scaled = match_scale(edge, outer, dlon, dlat, max_scale)
+    scaled = match_scale(edge, outer, dlon, dlat, max_scale).where("depth > 0 and scale is not null")
+    # what goes inland is the ratio that the edge cell itself is given, so no less than min_depth allows
+    scaled = scaled.withColumn("scale", F.greatest(F.lit(min_depth), F.col("depth") * F.col("scale")) / F.col("depth"))
     order = F.element_at(F.create_map(*[F.lit(x) for kv in (("W", 0), ("E", 1), ("S", 2), ("N", 3)) for x in kv]), F.col("side")) * 1_000_000 + F.col("seq")
     found = bfs(cells, scaled.select("j", "i", order.alias("pos"), "scale"), width)
     out = cells.join(found, ["j", "i"], "left")
@@ -109,3 +112,9 @@ def nudge(cells: DataFrame, outer: DataFrame, dlon: float, dlat: float, width: i
     target = F.greatest(F.lit(min_depth), F.col("depth") * (w * F.col("scale") + 1.0 - w))
     changed = F.col("dist").isNotNull() & (F.abs(target - F.col("depth")) >= 1e-6)
     return out.withColumns({"pinned": F.coalesce(changed & (target > F.col("depth")), F.lit(False)), "depth": F.when(changed, target).otherwise(F.col("depth"))}).drop("dist", "scale")
+
+
+def csv_cells(points: DataFrame, cells: DataFrame) -> DataFrame:
+    """j, i, depth: the wet cells that are nearest to points (seq, lon, lat) among all cells, each once."""
+    near = spatial.nearest_cell(points.select("seq", "lon", "lat"), cells.select("j", "i", "lon", "lat"), "seq").select("j", "i").distinct()
+    return cells.where("mask = 1").join(near, ["j", "i"]).select("j", "i", "depth")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..tables import remove, written
@@ -35,21 +35,45 @@ def resolve(keys: list, fixes: list[dict]) -> list[dict]:
     return [known[k] if isinstance(k, str) else k for k in keys]
 
 
+def _value(f: dict) -> float | None:
+    """A fix's value; depth is another name of it."""
+    v = f.get("value", f.get("depth"))
+    return None if v is None else float(v)
+
+
+def table(spark: SparkSession, fixes: list[dict], applied_only: bool = False) -> DataFrame:
+    """ord, lon, lat, action, value of a list of fixes in its order; fields that begin with _ are notes and are left out."""
+    known = [{k: v for k, v in f.items() if not k.startswith("_")} for f in fixes]
+    rows = [(n, float(f["lon"]), float(f["lat"]), f.get("action", "set_depth"), _value(f)) for n, f in enumerate(known) if f.get("applied", True) or not applied_only]
+    return spark.createDataFrame(rows, "ord int, lon double, lat double, action string, value double")
+
+
 def located(fixes: DataFrame, cells: DataFrame) -> DataFrame:
     """fixes (ord, lon, lat, action, value) with the nearest cell's j, i and distance_deg."""
     return spatial.nearest_cell(fixes, cells.select("j", "i", "lon", "lat"), "ord").withColumn("distance_deg", F.sqrt("d2")).drop("d2")
 
 
+def applied_log(fixes: DataFrame, cells: DataFrame) -> DataFrame:
+    """ord, action, requested and actual place, row, col, distance_deg and value (null unless it sets a depth) of every fix."""
+    at = located(fixes, cells).join(cells.select("j", "i", F.col("lon").alias("actual_lon"), F.col("lat").alias("actual_lat")), ["j", "i"])
+    value = F.when(F.col("action").isin("set_depth", "open_cell"), F.coalesce("value", F.lit(10.0)))
+    return at.select("ord", "action", F.col("lon").alias("requested_lon"), F.col("lat").alias("requested_lat"), "actual_lon", "actual_lat", "distance_deg", F.col("j").alias("row"), F.col("i").alias("col"), value.alias("value"))
+
+
 def apply_absolute(cells: DataFrame, fixes: DataFrame) -> DataFrame:
-    """cells after set_depth, open_cell, close_cell and mask_cell; of several on a cell the last by ord holds."""
-    last = located(fixes, cells).groupBy("j", "i").agg(F.max(F.struct("ord", "action", "value")).alias("f"))
+    """cells after set_depth, open_cell, close_cell and mask_cell; of several on a cell the last by ord holds.
+
+    A cell that was closed before it is opened has lost its wet fraction.
+    """
+    closes = F.col("action").isin("close_cell", "mask_cell")
+    last = located(fixes, cells).groupBy("j", "i").agg(F.max(F.struct("ord", "action", "value")).alias("f"), F.max(closes).alias("was_closed"))
     out = cells.join(last, ["j", "i"], "left")
     opened, closed = F.col("f.action").isin("set_depth", "open_cell"), F.col("f.action").isin("close_cell", "mask_cell")
     return out.withColumns({
         "depth": F.when(opened, F.coalesce("f.value", F.lit(10.0))).when(~F.coalesce(closed, F.lit(False)), F.col("depth")),
         "mask": F.when(opened, 1).when(closed, 0).otherwise(F.col("mask")).cast("tinyint"),
-        "wet_fraction": F.when(opened, F.greatest("wet_fraction", F.lit(0.01))).when(closed, 0.0).otherwise(F.col("wet_fraction")),
-    }).drop("f")
+        "wet_fraction": F.when(opened, F.when(F.col("was_closed"), 0.01).otherwise(F.greatest("wet_fraction", F.lit(0.01)))).when(closed, 0.0).otherwise(F.col("wet_fraction")),
+    }).drop("f", "was_closed")
 
 
 def neighbour_mean(cells: DataFrame) -> DataFrame:
@@ -97,7 +121,9 @@ def apply(cells: DataFrame, fixes: DataFrame) -> DataFrame:
         else:
             out = out.withColumn("blend", F.lit(None).cast("double"))
         action, opened, closed = F.col("action"), F.col("action").isin("set_depth", "open_cell"), F.col("action").isin("close_cell", "mask_cell")
-        depth = F.when(opened, F.coalesce("value", F.lit(10.0))).when(action == "deepen_by", F.greatest(F.col("depth") + F.col("value"), F.lit(0.0))).when((action == "blend_cell") & F.col("blend").isNotNull(), F.col("blend")).otherwise(F.col("depth"))
+        deeper = F.when(F.col("depth").isNotNull(), F.greatest(F.col("depth") + F.coalesce("value", F.lit(0.0)), F.lit(0.0)))  # land has no depth to start from
+        depth = F.when(opened, F.coalesce("value", F.lit(10.0))).when(action == "deepen_by", deeper).when(closed, None).when((action == "blend_cell") & F.col("blend").isNotNull(), F.col("blend")).otherwise(F.col("depth"))
+        opened = opened | (action == "deepen_by")
         changed = {"depth": depth, "mask": F.when(opened, 1).when(closed, 0).otherwise(F.col("mask")).cast("tinyint")}
         if "wet_fraction" in cells.columns:
             changed["wet_fraction"] = F.when(opened, F.greatest("wet_fraction", F.lit(0.01))).when(closed, 0.0).otherwise(F.col("wet_fraction"))

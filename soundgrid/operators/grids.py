@@ -130,6 +130,28 @@ def perimeter(grid: DataFrame) -> DataFrame:
     return grid.where((F.col("j") == 0) | (F.col("j") == ny) | (F.col("i") == 0) | (F.col("i") == nx)).select(seq.alias("seq"), "lon", "lat")
 
 
+def resolution(cells: DataFrame) -> DataFrame:
+    """degrees: the smaller of the mean steps along the middle row and the middle column."""
+    top = cells.agg(F.max("j").alias("j"), F.max("i").alias("i")).first()
+    ends = lambda c, n: F.abs(F.max_by(c, n) - F.min_by(c, n)) / F.nullif(F.count(F.lit(1)) - 1, F.lit(0))
+    row = cells.where(F.col("j") == (top.j + 1) // 2).agg(ends("lon", "i").alias("x"))
+    column = cells.where(F.col("i") == (top.i + 1) // 2).agg(ends("lat", "j").alias("y"))
+    return row.crossJoin(column).select(F.least("x", "y").alias("degrees"))  # one row each
+
+
+def summary(cells: DataFrame) -> DataFrame:
+    """nx, ny, bounds, and the cell size in km along both axes at the middle latitude."""
+    one = cells.agg((F.max("i") + 1).alias("nx"), (F.max("j") + 1).alias("ny"), *[f(c).alias(f"{c}_{n}") for c in ("lon", "lat") for n, f in (("min", F.min), ("max", F.max))])
+    km = lambda c, n: (F.col(f"{c}_max") - F.col(f"{c}_min")) / F.nullif(F.col(n) - 1, F.lit(0)) * geo.KM_PER_DEG
+    middle = F.cos(F.radians((F.col("lat_min") + F.col("lat_max")) / 2))
+    return one.withColumns({"dx_km": km("lon", "nx") * middle, "dy_km": km("lat", "ny")}).withColumn("square", F.abs(F.col("dx_km") - F.col("dy_km")) < 0.05 * F.col("dy_km"))
+
+
+def extents(x: float, y: float, width_km: float, height_km: float) -> dict:
+    """x_min, x_max, y_min, y_max in metres around a projected centre."""
+    return {"x_min": x - width_km * 500, "x_max": x + width_km * 500, "y_min": y - height_km * 500, "y_max": y + height_km * 500}
+
+
 def build(spark: SparkSession, grid: dict) -> DataFrame:
     """The grid of a configuration's grid section."""
     kind = grid.get("type", "spherical")

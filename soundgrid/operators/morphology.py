@@ -21,15 +21,23 @@ def stations(waypoints: DataFrame) -> DataFrame:
 
 
 def cast_rays(points: DataFrame, cells: DataFrame, sample_m: float, max_half_width_m: float, radius_deg: float) -> DataFrame:
-    """branch, seq, offset_m, depth: samples across the channel, left negative, until the first one without depth."""
+    """branch, seq, offset_m, depth: samples across the channel, left negative, each side until its first one on land or beyond the cells.
+
+    Distances to cells are taken with longitudes shortened by the cosine of the mean latitude. The centre always counts,
+    with depth 0 if it is dry.
+    """
     n = int(max_half_width_m / sample_m) + 2
-    rays = points.select("branch", "seq", "lon", "lat", "bearing", F.explode(F.array(F.lit(-1), F.lit(1))).alias("side")).select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
+    lon_scale = cells.agg(F.cos(F.radians(F.avg("lat"))).alias("c")).first().c or 1.0
+    side = F.explode(F.array(F.lit(-1), F.lit(1))).alias("side")
+    rays = points.select("branch", "seq", "lon", "lat", "bearing", side).select("*", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("k")).where("k > 0 or side = 1")
     lon, lat = geo.destination("lon", "lat", F.col("bearing") + F.col("side") * 90.0, F.col("k") * sample_m)
     at = rays.select("branch", "seq", "side", "k", lon.alias("lon"), lat.alias("lat")).withColumn("pid", F.concat_ws(":", "branch", "seq", "side", "k"))
-    near = spatial.nearest_cell(at.select("pid", "lon", "lat"), cells.select("j", "i", "lon", "lat"), "pid", radius_deg).select("pid", "j", "i")
+    near = spatial.nearest_cell(at.select("pid", "lon", "lat"), cells.select("j", "i", "lon", "lat"), "pid", radius_deg, lon_scale).select("pid", "j", "i")
     depth = at.join(near, "pid", "left").join(cells.select("j", "i", "depth"), ["j", "i"], "left")
-    gone = F.sum(F.col("depth").isNull().cast("int")).over(Window.partitionBy("branch", "seq", "side").orderBy("k"))
-    return depth.withColumn("gone", gone).where("gone = 0 and (k > 0 or side = 1)").select("branch", "seq", (F.col("side") * F.col("k") * sample_m).alias("offset_m"), "depth")
+    ends = (F.col("depth").isNull() & (F.col("k") > 0)).cast("int")
+    gone = F.sum(ends).over(Window.partitionBy("branch", "seq", "side").orderBy("k"))
+    kept = depth.withColumn("gone", gone).where("gone = 0")
+    return kept.select("branch", "seq", (F.col("side") * F.col("k") * sample_m).alias("offset_m"), F.greatest(F.coalesce("depth", F.lit(0.0)), F.lit(0.0)).alias("depth"))
 
 
 def sections(samples: DataFrame) -> DataFrame:
@@ -53,3 +61,12 @@ def compute(waypoints: DataFrame, cells: DataFrame, sample_m: float = 50.0, max_
 
 def branch_volumes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("branch").agg(F.count(F.lit(1)).alias("n_stations"), F.sum("volume_m3").alias("volume_m3"), F.max("s_m").alias("length_m"))
+
+
+def csv_rows(rows: DataFrame) -> DataFrame:
+    """The table of stations as text: kilometres, and millions of cubic metres."""
+    shown = lambda form, c, by=1.0: F.format_string(form, F.col(c) / by)
+    return rows.select(
+        "branch", (F.row_number().over(Window.partitionBy("branch").orderBy("seq"))).alias("station"), shown("%.6f", "lon").alias("lon"), shown("%.6f", "lat").alias("lat"), shown("%.3f", "s_m", 1000.0).alias("s_km"),
+        shown("%.1f", "width_m").alias("width_m"), shown("%.1f", "area_m2").alias("area_m2"), shown("%.1f", "dx_m").alias("dx_m"), shown("%.6f", "volume_m3", 1e6).alias("volume_Mm3"), shown("%.6f", "cumvol_m3", 1e6).alias("cumvol_Mm3"),
+    )

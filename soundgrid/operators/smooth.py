@@ -109,3 +109,12 @@ def histogram(cells: DataFrame, bins: int = 59) -> DataFrame:
     top = s.agg((F.max("x") * 1.05).alias("top"))
     b = F.least(F.floor(F.col("x") / (F.col("top") / bins)), F.lit(bins - 1)).cast("int")
     return s.crossJoin(F.broadcast(top)).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def verdict(cells: DataFrame, targets: list[float]) -> DataFrame:
+    """target, max_rx0, status (OK or VIOLATED) for each target, the largest first."""
+    from .regrid import rx0
+
+    listed = cells.sparkSession.createDataFrame([(float(t),) for t in sorted(set(targets), reverse=True)], "target double")
+    worst = rx0(cells).agg(F.coalesce(F.max("rx0"), F.lit(0.0)).alias("max_rx0"))  # one row
+    return listed.crossJoin(worst).withColumn("status", F.when(F.col("max_rx0") <= F.col("target") + 1e-6, "OK").otherwise("VIOLATED"))

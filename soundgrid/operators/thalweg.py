@@ -123,3 +123,109 @@ def auto_corridors(cells: DataFrame, min_basin_cells: int = 20, min_length: int
         centre = wet.join(own, ["j", "i"]).agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat")).first()
         rows.append((n, size, round(centre.lon, 4), round(centre.lat, 4), *ends[0], *ends[1]))
     return spark.createDataFrame(rows, "corridor int, n_cells int, lon double, lat double, begin_j int, begin_i int, end_j int, end_i int")
+
+
+def nearest_on_axis(points: DataFrame, axis: DataFrame, column: str, key: str, name: str) -> DataFrame:
+    """points with the index (name) of the nearest value of an axis (value, index), the first on ties.
+
+    Values beyond the ends meet the end; then no value is farther than the axis' largest step, which sets the bins.
+    """
+    span = axis.agg(F.min("value").alias("lo"), F.max("value").alias("hi")).crossJoin(axis.select((F.lead("value").over(Window.orderBy("value")) - F.col("value")).alias("d")).agg(F.max("d").alias("d"))).first()
+    size = span.d or 1.0
+    at = geo.clamp(F.col(column), span.lo, span.hi)
+    near = F.explode(F.array(*[F.lit(k) for k in (-1, 0, 1)]))
+    p = points.select(key, at.alias("x"), near.alias("b")).select(key, "x", (F.floor(F.col("x") / size) + F.col("b")).alias("bin"))
+    a = axis.withColumn("bin", F.floor(F.col("value") / size))
+    best = p.join(a, "bin").groupBy(key).agg(F.min(F.struct(F.abs(F.col("value") - F.col("x")).alias("d"), "index")).alias("m"))
+    return points.join(best.select(key, F.col("m.index").alias(name)), key, "left")
+
+
+def on_axes(points: DataFrame, fine: DataFrame, key: str = "pid") -> DataFrame:
+    """points with j and i of the nearest row and the nearest column of a regular raster, each by itself."""
+    for column, name in (("lat", "j"), ("lon", "i")):
+        axis = fine.groupBy(F.col(name).alias("index")).agg(F.min(column).alias("value"))
+        points = nearest_on_axis(points, axis, column, key, name)
+    return points
+
+
+def wet_starts(points: DataFrame, fine: DataFrame, reach: int = 2) -> DataFrame:
+    """edge, segment, j, i, depth: the deepest cell of each wet run of the points (edge_no, seq, lon, lat) of a boundary.
+
+    A run ends at a dry cell or where the next cell is more than reach rows or columns away. Runs are numbered in a
+    boundary segment; a segment with one run lends it its own name.
+    """
+    p = on_axes(points.withColumn("pid", F.concat_ws(":", "edge_no", "seq")), fine)
+    p = p.join(fine.select("j", "i", "depth"), ["j", "i"])
+    w = Window.partitionBy("edge_no").orderBy("seq")
+    apart = F.lag("depth").over(w).isNull() | (F.abs(F.col("j") - F.lag("j").over(w)) > reach) | (F.abs(F.col("i") - F.lag("i").over(w)) > reach)
+    runs = p.withColumn("new", apart.cast("int")).where("depth is not null").withColumn("run", F.sum("new").over(w))
+    best = runs.groupBy("edge_no", "run").agg(F.max(F.struct("depth", (-F.col("seq")).alias("o"), "j", "i")).alias("m"))
+    n = F.row_number().over(Window.partitionBy("edge_no").orderBy("run")) - 1
+    several = F.count(F.lit(1)).over(Window.partitionBy("edge_no")) > 1
+    best = best.withColumns({"segment": n, "several": several})
+    edge = F.concat(F.lit("bdy"), F.col("edge_no").cast("string"), F.when(F.col("several"), F.concat(F.lit("_"), F.col("segment").cast("string"))).otherwise(""))
+    return best.select(edge.alias("edge"), "segment", F.col("m.j").alias("j"), F.col("m.i").alias("i"), F.col("m.depth").alias("depth"))
+
+
+def deepest_in_box(points: DataFrame, fine: DataFrame, domain: tuple[float, float, float, float], radius: int = 20, key: str = "pid") -> DataFrame:
+    """key, j, i, depth: the deepest wet cell within radius rows and columns of each point's, those in the domain (lon0, lon1, lat0, lat1) first."""
+    at = on_axes(points, fine, key).select(key, F.col("j").alias("cj"), F.col("i").alias("ci"))
+    size = 2 * radius + 1
+    bins = lambda c: F.explode(F.sequence(F.floor((F.col(c) - radius) / size), F.floor((F.col(c) + radius) / size)))
+    boxes = at.withColumn("bj", bins("cj")).withColumn("bi", bins("ci"))
+    wet = fine.where("depth is not null").withColumns({"bj": F.floor(F.col("j") / size), "bi": F.floor(F.col("i") / size)})
+    pairs = boxes.join(wet, ["bj", "bi"]).where((F.abs(F.col("j") - F.col("cj")) <= radius) & (F.abs(F.col("i") - F.col("ci")) <= radius))
+    inside = F.col("lon").between(domain[0], domain[1]) & F.col("lat").between(domain[2], domain[3])
+    best = pairs.groupBy(key).agg(F.max(F.struct(inside.alias("inside"), "depth", (-F.col("j")).alias("oj"), (-F.col("i")).alias("oi"))).alias("m"))
+    return best.select(key, (-F.col("m.oj")).alias("j"), (-F.col("m.oi")).alias("i"), F.col("m.depth").alias("depth"))
+
+
+def crossing(routes: DataFrame, min_sill: float, max_detour: float) -> DataFrame:
+    """routes (n, sill_depth, n_inside, length_km, direct_km) that cross the domain: long and deep enough, without a detour."""
+    return routes.where((F.col("n") >= 5) & (F.col("sill_depth") >= min_sill) & (F.col("n_inside") >= 2) & ((F.col("direct_km") <= 0) | (F.col("length_km") <= max_detour * F.col("direct_km"))))
+
+
+def distinct_sills(routes: DataFrame, tolerance: float = 2.0) -> DataFrame:
+    """routes (edge_a, edge_b, ord, sill_depth) in order, without those whose sill is within the tolerance of one kept for the same two edges.
+
+    Which one is kept depends on the order, so the sills of a pair of edges (few: starts on two edges) are folded.
+    """
+    pair = routes.withColumns({"lo": F.least("edge_a", "edge_b"), "hi": F.greatest("edge_a", "edge_b")})
+    listed = pair.groupBy("lo", "hi").agg(F.array_sort(F.collect_list(F.struct("ord", "sill_depth"))).alias("all"))
+    far = lambda kept, x: ~F.exists(kept, lambda k: F.abs(k.sill_depth - x.sill_depth) < tolerance)
+    kept = F.aggregate("all", F.slice("all", 1, 0), lambda acc, x: F.when(far(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
+    stay = listed.select("lo", "hi", F.explode(F.transform(kept, lambda x: x.ord)).alias("ord"))
+    return pair.join(stay, ["lo", "hi", "ord"], "left_semi").drop("lo", "hi")
+
+
+def without_manual(corridors: DataFrame, cells: DataFrame, waypoints: list[dict], near: float) -> DataFrame:
+    """corridors (corridor, lon, lat) of which no cell (corridor, lon, lat) lies in a waypoint's bbox, nor, of waypoints without one, the centre near a stop."""
+    boxes = [w["bbox"] for w in waypoints if w.get("bbox")]
+    stops = [p for w in waypoints if not w.get("bbox") for p in [w.get("begin"), w.get("end"), *(w.get("via") or [])] if p]
+    hit = F.lit(False)
+    for x0, x1, y0, y1 in boxes:
+        hit = hit | (F.col("lon").between(x0, x1) & F.col("lat").between(y0, y1))
+    close = F.lit(False)
+    for x, y in stops:
+        close = close | ((F.abs(F.col("lon") - x) < near) & (F.abs(F.col("lat") - y) < near))
+    return corridors.where(~close).join(cells.where(hit).select("corridor").distinct(), "corridor", "left_anti")
+
+
+def sill_point(points: DataFrame, sills: DataFrame) -> DataFrame:
+    """points with is_sill: 1 at the first point nearest in distance to its path's sill, else 0."""
+    both = points.join(sills.select("name", "sill_dist_km"), "name", "left")
+    best = both.where("sill_dist_km is not null").groupBy("name").agg(F.min(F.struct(F.abs(F.col("dist_km") - F.col("sill_dist_km")).alias("d"), "seq")).alias("m")).select("name", F.col("m.seq").alias("at"))
+    return points.join(best, "name", "left").withColumn("is_sill", F.coalesce((F.col("seq") == F.col("at")).cast("int"), F.lit(0))).drop("at")
+
+
+def csv_rows(points: DataFrame, sills: DataFrame) -> DataFrame:
+    """The table of a path's points (name, seq, lon, lat, dist_km, depth, coarse_depth) as text."""
+    shown = lambda form, c: F.format_string(form, c)
+    n = F.row_number().over(Window.partitionBy("name").orderBy("seq")) - 1
+    return sill_point(points, sills).select("name", n.alias("index"), shown("%.6f", "lon").alias("lon"), shown("%.6f", "lat").alias("lat"), shown("%.3f", "dist_km").alias("dist_km"), shown("%.2f", "depth").alias("fine_depth"), F.when(F.col("coarse_depth").isNull(), "").otherwise(shown("%.2f", "coarse_depth")).alias("coarse_depth"), "is_sill")
+
+
+def summary(records: DataFrame) -> DataFrame:
+    """n_paths, n_failed, max_deficit, mean_deficit, n_coarse_deeper of records (sill_deficit_m, failed)."""
+    ok, d = ~F.col("failed"), F.col("sill_deficit_m")
+    return records.agg(F.count_if(ok).alias("n_paths"), F.count_if(~ok).alias("n_failed"), F.max(F.when(ok, d)).alias("max_deficit"), F.avg(F.when(ok, d)).alias("mean_deficit"), F.count_if(ok & (d < 0)).alias("n_coarse_deeper"))

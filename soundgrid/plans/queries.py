@@ -349,17 +349,6 @@ def _fixes(s: SparkSession, d: str, *actions: str) -> DataFrame:
     return suppliers(s, d).select(F.col("pid").cast("int").alias("ord"), "lon", "lat", action.alias("action"), (F.col("pid") % 40 + 1.5).alias("value"))
 
 
-@query("apply_fixes_absolute", f"{PTS}, n AS (SELECT pid, min_by(c.id, ({D2}, c.id)) AS id FROM p CROSS JOIN c GROUP BY pid), l AS (SELECT id, max(pid) AS pid FROM n GROUP BY id) SELECT c.j, c.i, {e6('CASE WHEN pid % 3 = 2 THEN NULL WHEN pid IS NOT NULL THEN pid % 40 + 1.5::DOUBLE ELSE depth END', 'depth')}, CASE WHEN pid % 3 = 2 THEN 0 WHEN pid IS NOT NULL THEN 1 ELSE mask END AS mask, {e6('CASE WHEN pid % 3 = 2 THEN 0 WHEN pid IS NOT NULL THEN greatest(wet_fraction, 0.01::DOUBLE) ELSE wet_fraction END', 'wet_fraction')} FROM c LEFT JOIN l ON c.id = l.id")
-def apply_fixes_absolute(s, d):
-    out = fixes.apply_absolute(fixture.coarse(s, d), _fixes(s, d, "set_depth", "open_cell", "close_cell"))
-    return r6(out, "depth", "wet_fraction").select("j", "i", "depth", F.col("mask").cast("int").alias("mask"), "wet_fraction")
-
-
-@query("apply_fixes_sequential")
-def apply_fixes_sequential(s, d):
-    return fixes.apply(fixture.coarse(s, d), _fixes(s, d, "set_depth", "deepen_by", "mask_cell", "blend_cell")).select("j", "i", "depth", F.col("mask").cast("int").alias("mask"))
-
-
 @query("blend_cell", f"SELECT CAST(a.j + y.range AS INT) AS j, CAST(a.i + x.range AS INT) AS i, {e6('avg(a.depth)', 'blend')} FROM c a CROSS JOIN range(-1, 2) x CROSS JOIN range(-1, 2) y WHERE a.mask = 1 AND (x.range <> 0 OR y.range <> 0) GROUP BY 1, 2")
 def blend_cell(s, d):
     return r6(fixes.neighbour_mean(fixture.coarse(s, d)), "blend")
@@ -575,13 +564,12 @@ def cross_sections(s, d):
 
 @query("morphology")
 def compute_morphology(s, d):
-    cells = fixture.fine(s, d).where("depth is not null")
-    return r6(morphology.compute(_channel(s, d), cells, 500.0, 6000.0, 0.03), "volume_m3", "cumvol_m3", "area_m2", "s_m").select("branch", "seq", "s_m", "area_m2", "volume_m3", "cumvol_m3")
+    return r6(morphology.compute(_channel(s, d), fixture.fine(s, d), 500.0, 6000.0, 0.03), "volume_m3", "cumvol_m3", "area_m2", "s_m").select("branch", "seq", "s_m", "area_m2", "volume_m3", "cumvol_m3")
 
 
 @query("branch_volumes")
 def branch_volumes(s, d):
-    return r6(morphology.branch_volumes(morphology.compute(_channel(s, d), fixture.fine(s, d).where("depth is not null"), 500.0, 6000.0, 0.03)), "volume_m3", "length_m")
+    return r6(morphology.branch_volumes(morphology.compute(_channel(s, d), fixture.fine(s, d), 500.0, 6000.0, 0.03)), "volume_m3", "length_m")
 
 
 # --- comparison and output

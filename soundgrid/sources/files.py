@@ -55,3 +55,22 @@ def check_shape(cells: DataFrame, ny: int, nx: int) -> DataFrame:
     if (got.j, got.i) != (ny - 1, nx - 1):
         raise ValueError(f"cells of {(got.j or -1) + 1} x {(got.i or -1) + 1}, not {ny} x {nx}")
     return cells
+
+
+def depth_raster(spark: SparkSession, path: str, column: str | None = None) -> DataFrame:
+    """lon, lat, depth of a written raster: the named column, else depth, depth_fixes, depth_raw, else the first with depth in its name."""
+    raw = spark.read.parquet(path)
+    named = [c for c in raw.columns if "depth" in c.lower()]
+    choice = column or next((c for c in ("depth", "depth_fixes", "depth_raw") if c in raw.columns), named[0] if named else None)
+    if choice is None:
+        raise ValueError(f"no depth column in {raw.columns}")
+    keys = [c for c in ("j", "i") if c in raw.columns]
+    return raw.select(*keys, F.col(_one_of(raw, LON)).alias("lon"), F.col(_one_of(raw, LAT)).alias("lat"), F.col(choice).cast("double").alias("depth"))
+
+
+def write_csv(rows: DataFrame, path: str) -> bool:
+    """Rows as CSV files with a header; nothing is written, and False returned, if there are none."""
+    if rows.isEmpty():
+        return False
+    rows.write.mode("overwrite").option("header", True).csv(path)
+    return True

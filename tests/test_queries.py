@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from soundgrid.plans import queries as grid
+from soundgrid.plans import records  # noqa: F401  (registers more of them)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -43,4 +44,7 @@ def test_same_as_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(grid.QUERIES) - set(grid.ORACLES)))
 def test_runs(spark, name):
-    assert grid.QUERIES[name](spark, SF).count() >= 0
+    """What has no SQL gives rows with numbers in them; auto_corridors finds none on this raster."""
+    got = grid.QUERIES[name](spark, SF).collect()
+    assert (len(got) > 0) == (name != "auto_corridors")
+    assert all(any(v is not None for v in r) for r in got)

@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if where:
         return where
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="soundgrid-"))
         atexit.register(shutil.rmtree, _OWN_DIR[0], ignore_errors=True)

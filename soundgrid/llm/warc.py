@@ -85,14 +85,16 @@ class Output:
 
 
 def inflated(source, size: int = CHUNK) -> Iterator[bytes]:
-    """Pieces of a gzip stream of one or more members."""
+    """Pieces, of that size at most, of a gzip stream of one or more members."""
     z = zlib.decompressobj(GZIP)
     while data := source.read(size):
-        while data:
+        more = True
+        while data or more:
             if z.eof:
                 z = zlib.decompressobj(GZIP)
-            yield z.decompress(data)
-            data = z.unused_data
+            piece = z.decompress(data, size)
+            yield piece
+            data, more = (z.unused_data, False) if z.eof else (z.unconsumed_tail, len(piece) == size)
     if not z.eof:
         raise ValueError("the gzip stream ends early")
 

@@ -48,3 +48,15 @@ def test_damaged_archives_are_told(spark):
     for bad in (whole[:-9], gzip.compress(warc.record(1, "u", b"abc", 1, False)[:-1])):
         with pytest.raises(ValueError):
             list(warc.records(warc.inflated(io.BytesIO(bad))))
+
+
+def test_pieces_are_bounded():
+    import gzip
+    import io
+
+    from soundgrid.llm import warc
+
+    data = b"a" * 5_000_000 + b"tail" * 10
+    for raw in (gzip.compress(data), gzip.compress(data[:7]) + gzip.compress(b"") + gzip.compress(data[7:])):
+        pieces = list(warc.inflated(io.BytesIO(raw), 1000))
+        assert b"".join(pieces) == data and max(map(len, pieces)) <= 1000

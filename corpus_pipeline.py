@@ -50,7 +50,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", good_quality), ("lines", line_dedup), ("near_duplicates", near_dedup), ("benchmark", decontaminated), ("bpe", encoded)]
-#: The classifier, the latent search and the tokenizer can't be expressed in SQL; tests/test_pipeline.py holds the last three stages against brute force.
+#: The classifier, the latent search and the tokenizer can't be expressed in SQL; tests/llm/test_pipeline.py holds the last three stages against brute force.
 ORACLE_SQL = None
 
 

@@ -10,7 +10,7 @@ SMALL_SIDE = 10_000
 
 
 def _small(df: DataFrame) -> bool:
-    return len(df.limit(SMALL_SIDE + 1).collect()) <= SMALL_SIDE
+    return df.limit(SMALL_SIDE + 1).count() <= SMALL_SIDE
 
 
 def nearest_cell(points: DataFrame, cells: DataFrame, key: str = "pid", max_deg: float | None = None, lon_scale: float = 1.0) -> DataFrame:

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, remove, text_of, written
 
 PASSAGE, RANK = 32, 96
+HELD_TERMS = 25_000  # terms whose passages are summed at once; more would not stay in the cache
 SEGMENT = 512  # words whose windows are compared with the items' words at once
 _ENDS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -215,12 +216,12 @@ def _range(table: DataFrame, weights: np.ndarray, start: np.ndarray) -> np.ndarr
                 return
             first = np.flatnonzero(np.diff(where, prepend=-1))
             y = np.add.reduceat(rows[terms], first, axis=0)
-            y = np.repeat(y, np.diff(np.append(first, len(terms))), axis=0)
+            passage = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(terms))))
             order = np.argsort(terms.astype(small), kind="stable")
             sorted_terms = terms[order]
             starts = np.flatnonzero(np.diff(sorted_terms, prepend=-1))
             at = sorted_terms[starts]
-            out[at] += w[at][:, None] * np.add.reduceat(y[order], starts, axis=0)
+            out[at] += w[at][:, None] * np.add.reduceat(y[passage[order]], starts, axis=0)
 
         for (raw,) in arrow_rows(batches, "ids"):
             ids = np.frombuffer(raw, np.int32)
@@ -228,7 +229,7 @@ def _range(table: DataFrame, weights: np.ndarray, start: np.ndarray) -> np.ndarr
             held.append((terms, where + base))
             base += len(ids) // PASSAGE + 1
             size += len(terms)
-            if size > 200_000:
+            if size > HELD_TERMS:
                 add()
                 held, size = [], 0
         if held:

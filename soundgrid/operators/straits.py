@@ -49,8 +49,8 @@ def sections(faces: DataFrame, fine: DataFrame, dlon: float, dlat: float, fine_d
 
 
 def split_connected(pdf: pd.DataFrame, axis: str) -> bool:
-    """Whether a window's halves, split across the axis, share a four-neighbour component at the split."""
-    g = pdf.pivot(index="fj", columns="fi", values="wet").to_numpy(dtype=bool)
+    """Whether a window's halves, split across the axis, share a four-neighbour component at the split; holes in the raster are dry."""
+    g = pdf.pivot(index="fj", columns="fi", values="wet").eq(True).to_numpy(dtype=bool)
     g = g if axis == "U" else g.T
     at = g.shape[1] // 2
     if at == 0 or not g[:, :at].any() or not g[:, at:].any():

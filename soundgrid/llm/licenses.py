@@ -82,10 +82,10 @@ def _sample(docs: DataFrame, most: int) -> list[str]:
     lines = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line")).where(F.trim("line") != "")
     place = F.shiftrightunsigned(F.xxhash64("line"), 1)
     n = lines.agg(F.approx_count_distinct("line", 0.05).alias("n")).first().n
-    limit = min(1.0, 2.0 * most / max(n, 1))
+    limit = min((1 << 63) - 1, (2 * most << 63) // max(n, 1))  # in whole numbers: a float would round up to 2**63
     words = F.split(F.trim("line"), r"\s+")
     start = F.pmod(F.xxhash64("line", F.lit(1)), F.greatest(F.size(words) - WINDOW, F.lit(0)) + 1).cast("int") + 1
-    some = lines.where(place <= int(limit * ((1 << 63) - 1))).distinct().orderBy(place, "line").limit(most)
+    some = lines.where(place <= limit).distinct().orderBy(place, "line").limit(most)
     return [r.w for r in some.select(F.array_join(F.slice(words, start, WINDOW), " ").alias("w")).collect()]
 
 

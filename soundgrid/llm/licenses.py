@@ -92,7 +92,7 @@ def _sample(docs: DataFrame, most: int) -> list[str]:
 def fit(docs: DataFrame, max_unknown: int = 4_000, epochs: int = 6, seed: int = 0) -> np.ndarray:
     """Weights, (BUCKETS + 1) x families, divided by the temperature; the last row is the bias."""
     rnd = random.Random(seed)
-    unknown = [w for w in map(tokens, _sample(docs, max_unknown)) if w and max(_overlap(w, f) for f in TEMPLATES) < 0.3]
+    unknown = [w for w in map(tokens, _sample(docs, max_unknown)) if w and max(_overlap(w, f) for f in TEMPLATES) < 0.1]  # nor a notice that the window cuts off
     filler = sorted({w for ws in unknown for w in ws})
     near = [tokens(t) for t in ("she lost her driving license", "the license plate was new", "a copy of the work", "general public", "version 2.0 of the file", "all rights", "free software for any purpose", "released in 2.0")]
     rows = _variants(rnd, filler) + [(w, len(TEMPLATES)) for w in unknown + near * 20]

@@ -1,11 +1,15 @@
 """Licence scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-Paragraphs are runs of lines with words. They are looked at in overlapping windows of ``WINDOW`` words, so a notice that is
-wrapped over lines or stands within a long line counts, and each line is looked at by itself too. Hashed word unigrams and bigrams feed a multinomial logistic regression over the licence families and
-an unknown class. It is trained on variants of the templates and a bounded sample of the corpus's own lines as unknown (a
-window of each of about ``max_unknown`` distinct lines, those of the least hashes); its probabilities are calibrated by a temperature fitted on a held-out fifth. A window
-counts for each family whose probability against unknown is at least ``least_probability`` when it holds ``least_overlap``
-of the word bigrams of one of that family's templates, without the words of a family that fits better.
+Paragraphs are runs of lines with words. They are looked at in overlapping windows of each length in ``WINDOWS``, so a
+notice that is wrapped over lines or stands within a long line counts (the short windows keep a short notice from drowning
+in the words about it), and each line is looked at by itself too. Hashed word unigrams and bigrams feed a multinomial
+logistic regression over the licence families and an unknown class. It is trained on variants of the templates and a bounded
+sample of the corpus's own lines as unknown (a window of each of about ``max_unknown`` distinct lines, those of the least
+hashes, and a short piece of that); its probabilities are calibrated by a temperature fitted on a held-out fifth. A window
+proposes each family whose probability against unknown is at least ``least_probability``. The proposal counts when the
+window, with ``MARGIN`` words of its paragraph on both sides, holds ``least_overlap`` of the word bigrams of one of that
+family's templates, without the words that fit another family better. A span is where the notice begins; what several
+windows find there is given once, with the highest probability.
 
 A null or empty text has no licences. Repeated rows and null ids are kept, each row on its own. Other columns of the
 input are ignored.
@@ -38,13 +42,17 @@ TEMPLATES = {
     "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "CC-BY-ND": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    "CC-BY-NC-SA": ["Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
+    "CC-BY-NC-ND": ["Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."],
     "CC0": ["To the extent possible under law, the author has waived all copyright and related rights to this work.", "Released under CC0 1.0 Universal."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
     "Proprietary": ["All rights reserved. No part of this work may be reproduced without permission.", "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited."],
 }
 FAMILIES = [*TEMPLATES, "unknown"]
-BUCKETS, WINDOW, STRIDE = 1 << 15, 40, 20
-_TOKEN = re.compile(r"[a-z0-9]+(?:[.\-'][a-z0-9]+)*")
+BUCKETS, WINDOWS = 1 << 15, (40, 16)  # windows begin every half a window
+WINDOW = WINDOWS[0]
+_TOKEN = re.compile(r"[a-z0-9]+(?:[.'][a-z0-9]+)*")
 _HASHES = WordHashes()
 SPANS = "array<struct<line:int,word:int,family:string,probability:double,overlap:double>>"
 
@@ -94,6 +102,8 @@ def fit(docs: DataFrame, max_unknown: int = 4_000, epochs: int = 6, seed: int =
     rnd = random.Random(seed)
     unknown = [w for w in map(tokens, _sample(docs, max_unknown)) if w and max(_overlap(w, f) for f in TEMPLATES) < 0.1]  # nor a notice that the window cuts off
     filler = sorted({w for ws in unknown for w in ws})
+    at = [rnd.randint(0, max(0, len(w) - WINDOWS[1])) for w in unknown]
+    unknown += [w[k : k + WINDOWS[1]] for w, k in zip(unknown, at, strict=True) if len(w) > WINDOWS[1]]
     near = [tokens(t) for t in ("she lost her driving license", "the license plate was new", "a copy of the work", "general public", "version 2.0 of the file", "all rights", "free software for any purpose", "released in 2.0")]
     rows = _variants(rnd, filler) + [(w, len(TEMPLATES)) for w in unknown + near * 20]
     rnd.shuffle(rows)
@@ -124,6 +134,7 @@ def _pairs(words: list[str]) -> set[tuple[str, str]]:
 
 
 _TEMPLATE_PAIRS = {f: [_pairs(tokens(t)) for t in texts] for f, texts in TEMPLATES.items()}
+MARGIN = max(len(t) for texts in _TEMPLATE_PAIRS.values() for t in texts) + 1
 
 
 def _overlap(words: list[str], family: str) -> float:
@@ -131,59 +142,69 @@ def _overlap(words: list[str], family: str) -> float:
     return max(len(own & t) / len(t) for t in _TEMPLATE_PAIRS[family])
 
 
-def _confirmed(words: list[str], families: dict[str, float], least: float) -> list[tuple[str, float]]:
-    """Families and overlaps, the best first (of equal overlaps that of the higher score); each takes its words from the others."""
-    pairs, out, left = list(zip(words, words[1:], strict=False)), [], dict(families)
+def _confirmed(words: list[str], scores: dict[str, float], least: float) -> list[tuple[str, float, int]]:
+    """Families, overlaps and the word where each begins, the best first (of equal overlaps that of the higher score); each takes its words from the others."""
+    pairs, out, left = list(zip(words, words[1:], strict=False)), [], dict(scores)
     while left:
         own = set(pairs)
         share, _, family, t = max(((len(own & t) / len(t), z, f, t) for f, z in left.items() for t in _TEMPLATE_PAIRS[f]), key=lambda x: x[:3])
         if share < least:
             break
-        out.append((family, share))
         del left[family]
-        runs = [{p for p in pairs[k : k + len(t)] if p in t} for k in range(len(pairs))]
-        at = max(range(len(runs)), key=lambda k: len(runs[k]))
+        runs = [len({p for p in pairs[k : k + len(t)] if p in t}) if pairs[k] in t else 0 for k in range(len(pairs))]
+        at = max(range(len(runs)), key=runs.__getitem__)
         pairs[at : at + len(t)] = [None] * len(pairs[at : at + len(t)])
+        out.append((family, share, at))
     return out
 
 
-def spans(text: str, w: np.ndarray, least_probability: float, least_overlap: float) -> list[dict]:
-    """Licence spans of a text: line and word where the window begins, family, probability, overlap."""
+def _windows(lines: list[list[str]]) -> np.ndarray:
+    """Distinct windows as rows of begin, end and their paragraph's begin and end, counted in words of the text."""
+    first = np.cumsum([0] + [len(line) for line in lines])
+    runs, since = [], None
+    for k, line in enumerate(lines):
+        since = k if line and since is None else since
+        if since is not None and (k + 1 == len(lines) or not lines[k + 1]):
+            x, y = first[since], first[k + 1]
+            runs += [(a, b, x, y) for a, b in {(x, y), *zip(first[since : k + 1], first[since + 1 : k + 2], strict=True)}]
+            since = None
     out = []
+    for a, b, x, y in runs:
+        for size in WINDOWS:
+            starts = np.arange(a, max(a + 1, b - size // 2), size // 2)
+            out.append(np.stack([starts, np.minimum(b, starts + size), np.full_like(starts, x), np.full_like(starts, y)], 1))
+            if b - a <= WINDOWS[-1]:
+                break
+    return np.unique(np.concatenate(out), axis=0)
+
+
+def spans(text: str, w: np.ndarray, least_probability: float, least_overlap: float) -> list[dict]:
+    """Licence spans of a text: line and word where the notice begins, family, probability, overlap."""
     lines = [tokens(x) for x in text.split("\n")]
     words = [x for line in lines for x in line]
     if not words:
-        return out
+        return []
     one, two = _grams(words)
     a, b = (np.concatenate([np.zeros((1, w.shape[1]), np.float32), np.cumsum(w[x], 0, dtype=np.float64)]) for x in (one, two))
-    starts, ends, first = [], [], np.cumsum([0] + [len(line) for line in lines])  # first: where each line begins
-    runs, since = [], None
-    for k, line in enumerate(lines):
-        if line:
-            runs.append((first[k], first[k + 1]))
-            since = k if since is None else since
-        if since is not None and (k + 1 == len(lines) or not lines[k + 1]):
-            if since < k:
-                runs.append((first[since], first[k + 1]))
-            since = None
-    for x, y in runs:
-        for s in range(x, max(x + 1, y - STRIDE), STRIDE):
-            starts.append(s)
-            ends.append(min(y, s + WINDOW))
-    starts, ends = np.array(starts), np.array(ends)
-    n = 2 * (ends - starts)
-    z = (a[ends] - a[starts] + b[ends - 1] - b[starts] + w[-1]) / np.sqrt(n)[:, None]
+    windows = _windows(lines)
+    starts, ends = windows[:, 0], windows[:, 1]
+    z = (a[ends] - a[starts] + b[ends - 1] - b[starts] + w[-1]) / np.sqrt(2 * (ends - starts))[:, None]
     p = 1 / (1 + np.exp(np.clip(z[:, -1:] - z[:, :-1], -500, 500)))  # against unknown
-    seen: set[tuple[int, int]] = set()
+    best: dict[tuple[int, str], tuple[float, float]] = {}
     for k in np.flatnonzero((p >= least_probability).any(1)):
-        if (place := (int(starts[k]), int(ends[k]))) in seen:  # a line of its own is a paragraph too
-            continue
-        seen.add(place)
-        these = {FAMILIES[f]: float(z[k, f]) for f in np.flatnonzero(p[k] >= least_probability)}
-        line = int(np.searchsorted(first, starts[k], side="right")) - 1
-        for family, share in _confirmed(words[starts[k] : ends[k]], these, least_overlap):
-            out.append({"line": line, "word": int(starts[k] - first[line]), "family": family, "probability": float(p[k, FAMILIES.index(family)]), "overlap": share})
-    return sorted(out, key=lambda x: (x["line"], x["word"]))
+        x = max(windows[k, 2], starts[k] - MARGIN)
+        found = _confirmed(words[x : min(windows[k, 3], ends[k] + MARGIN)], dict(zip(TEMPLATES, map(float, z[k]), strict=False)), least_overlap)
+        for family, share, at in found:
+            probability = float(p[k, FAMILIES.index(family)])
+            if probability >= least_probability:
+                key = (int(x) + at, family)
+                best[key] = max(best.get(key, (0.0, 0.0)), (probability, share))
+    first = np.cumsum([0] + [len(line) for line in lines])
+    out = []
+    for (at, family), (probability, share) in sorted(best.items()):
+        line = int(np.searchsorted(first, at, side="right")) - 1
+        out.append({"line": line, "word": at - int(first[line]), "family": family, "probability": probability, "overlap": share})
+    return out
 
 
 def scan(docs: DataFrame, weights: np.ndarray, least_probability: float = 0.5, least_overlap: float = 0.6) -> DataFrame:

@@ -40,9 +40,21 @@ def test_wrapped_and_dual_notices(spark):
         ("Licensed under the GNU General Public\nLicense, version 2.", ["GPL"]),
         ("Licensed under the GNU Lesser General Public License, version 3.", ["LGPL"]),
         ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC"]),
+        ("This work is licensed under a Creative Commons Attribution-\nNonCommercial 4.0 International License.", ["CC-BY-NC"]),
+        (" ".join(f"zq{n}" for n in range(33)) + " This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", ["CC-BY-SA"]),
+        ("Licensed under CC BY-NC-SA 4.0.", ["CC-BY-NC-SA"]),
         ("my driving\nlicense is lost\nand the public was here", []),
     ]
     docs = spark.createDataFrame([(k, "a first line\n\n" + t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")
     got = {r.doc_id: (r.families, r.spans) for r in lic.scan(docs, w).collect()}
     assert {k: got[k][0] for k in got} == {k: f for k, (_, f) in enumerate(cases)}
     assert [(s.line, s.word) for s in got[0][1]] == [(2, 0)]
+    assert [(s.line, s.word) for s in got[8][1]] == [(2, 33)]
+
+
+def test_very_long_text(spark):
+    df = spark.createDataFrame(corpus()[0], "doc_id long, text string, families string")
+    w = lic.fit(df, max_unknown=300)
+    text = " ".join(f"w{n % 977}" for n in range(200_000)) + " Released under the MIT License. " + "x" * 300_000
+    found = lic.spans(text, w, 0.5, 0.6)
+    assert [(s["line"], s["word"], s["family"]) for s in found] == [(0, 200_000, "MIT")]

@@ -299,7 +299,23 @@ def phantom_fallback(s, d):
     return r6(basins.phantom_fallback(fixture.coarse(s, d), 0.7, 2), "wet_fraction").select("j", "i", "wet_fraction")
 
 
-@query("phantom_islands")
+# flooding from runs of land instead of labels; a component is named by its least run
+_PHANTOM = """rs AS (SELECT j, i, i - row_number() OVER (PARTITION BY j ORDER BY i) AS run FROM f WHERE depth IS NULL),
+rr AS MATERIALIZED (SELECT j, run, min(i) AS i0, max(i) AS i1, j * 96 + min(i) AS id FROM rs GROUP BY j, run),
+ed AS MATERIALIZED (SELECT a.id AS x, b.id AS y FROM rr a JOIN rr b ON abs(a.j - b.j) = 1 AND a.i0 <= b.i1 AND b.i0 <= a.i1),
+fl AS (SELECT id AS root, id FROM rr UNION SELECT fl.root, ed.y FROM fl JOIN ed ON fl.id = ed.x),
+lb AS (SELECT id, min(root) AS label FROM fl GROUP BY id),
+ln AS (SELECT rr.j, rr.run, lb.label, sum(i1 - i0 + 1) OVER (PARTITION BY lb.label) AS n FROM rr JOIN lb ON rr.id = lb.id),
+hit AS (SELECT c.id, c.j, c.i, ln.label, ln.n FROM c JOIN rs ON rs.j // 4 = c.j AND rs.i // 4 = c.i JOIN ln ON ln.j = rs.j AND ln.run = rs.run WHERE c.mask = 1 AND c.wet_fraction < 0.8),
+cd AS (SELECT id, j, i, count(*) AS n_fine FROM hit GROUP BY ALL HAVING max(n) < 50),
+tw AS MATERIALIZED (SELECT DISTINCT a.id AS x, b.id AS y FROM hit a JOIN hit b ON a.label = b.label JOIN cd p ON p.id = a.id JOIN cd q ON q.id = b.id),
+cl AS (SELECT id AS root, id FROM cd UNION SELECT cl.root, tw.y FROM cl JOIN tw ON cl.id = tw.x),
+cm AS (SELECT cd.*, (SELECT min(root) FROM cl WHERE cl.id = cd.id) AS cluster FROM cd),
+cs AS (SELECT j, i, n_fine, cluster, count(*) OVER w AS cluster_size, CAST(sum(n_fine) OVER w AS BIGINT) AS cluster_fine FROM cm WINDOW w AS (PARTITION BY cluster))
+SELECT * FROM cs WHERE cluster_size <= 5"""
+
+
+@query("phantom_islands", _PHANTOM, True)
 def phantom_islands(s, d):
     return basins.phantom_islands(fixture.coarse(s, d), fixture.fine(s, d), 0.05, 0.8, 50, 5)
 
@@ -322,21 +338,40 @@ def strait_sections(s, d):
     return r6(out, "width_km", "area_fine").select("direction", "j", "i", "width_km", "sill_fine", "area_fine")
 
 
+_UD = _U.replace("AS y FROM", "AS y, (a.depth + b.depth) / 2 AS sill_coarse FROM")
+_VD = _V.replace("AS y FROM", "AS y, (a.depth + b.depth) / 2 AS sill_coarse FROM")
+# across: the line that a cell is on, along: its place on the way from one coarse cell to the other
+_STRAITS = f"""x AS ({_UD} UNION ALL {_VD}),
+w AS MATERIALIZED (SELECT x.*, f.depth, CASE WHEN direction = 'U' THEN f.i ELSE f.j END AS along, CASE WHEN direction = 'U' THEN f.j ELSE f.i END AS across, round(CASE WHEN direction = 'U' THEN abs(f.lon - x.x) ELSE abs(f.lat - x.y) END, 9) AS off FROM x JOIN f
+ ON abs(f.lon - x.x) <= CASE WHEN direction = 'U' THEN 0.1 ELSE 0.05 END + 1e-9 AND abs(f.lat - x.y) <= CASE WHEN direction = 'U' THEN 0.05 ELSE 0.1 END + 1e-9),
+mid AS MATERIALIZED (SELECT direction, j, i, min(along) + count(DISTINCT along) // 2 AS m, min_by(along, (off, along)) AS line FROM w GROUP BY ALL),
+fl AS (SELECT w.direction, w.j, w.i, along, across FROM w JOIN mid USING (direction, j, i) WHERE depth IS NOT NULL AND along = m - 1
+ UNION SELECT w.direction, w.j, w.i, w.along, w.across FROM fl JOIN w ON w.direction = fl.direction AND w.j = fl.j AND w.i = fl.i AND abs(w.along - fl.along) + abs(w.across - fl.across) = 1 WHERE w.depth IS NOT NULL),
+cn AS (SELECT DISTINCT direction, j, i FROM fl JOIN mid USING (direction, j, i) WHERE along = m),
+z AS (SELECT w.direction, w.j, w.i, w.x AS lon, w.y AS lat, sill_coarse, count(depth) AS n, coalesce(max(depth), 0) AS sill, coalesce(sum(depth), 0) AS total FROM w JOIN mid ON w.direction = mid.direction AND w.j = mid.j AND w.i = mid.i AND w.along = mid.line GROUP BY ALL),
+y AS (SELECT z.*, cn.j IS NOT NULL AS connected, {KM} * CASE WHEN z.direction = 'U' THEN 1 ELSE cos(radians(lat)) END AS km, {KM} * CASE WHEN z.direction = 'U' THEN cos(radians(lat)) ELSE 1 END AS km_along FROM z LEFT JOIN cn ON z.direction = cn.direction AND z.j = cn.j AND z.i = cn.i),
+v AS (SELECT *, n * 0.025 * km AS width, total * 25 * km AS fine_area, sill_coarse * 100 * km AS coarse_area, sill / sill_coarse AS sr FROM y),
+u AS (SELECT *, fine_area / coarse_area AS ar, CASE WHEN NOT connected THEN 'BLOCKED' WHEN sr < 0.7 THEN 'SILL_DEFICIT' WHEN fine_area / coarse_area < 0.5 THEN 'AREA_DEFICIT' ELSE 'OK' END AS category FROM v),
+st AS (SELECT direction, j, i, lon, lat, round_even(width, 2) AS width_km, round_even(sill, 1) AS sill_fine, round_even(fine_area, 0) AS area_fine, connected, round_even(sill_coarse, 1) AS sill_coarse, round_even(coarse_area, 0) AS area_coarse, round_even(sr, 3) AS sill_ratio, round_even(ar, 3) AS area_ratio, category
+ FROM u WHERE category <> 'OK' OR width < 0.2 * km_along)"""
+
+
 def _straits(s, d):
     return straits.find(fixture.coarse(s, d), fixture.fine(s, d), 0.1, 0.1, 0.025, 0.025, 0.6)
 
 
-@query("straits")
+@query("straits", f"{_STRAITS} SELECT * FROM st", True)
 def find_straits(s, d):
     return _straits(s, d)
 
 
-@query("straits_topn")
+@query("straits_topn", f"""{_STRAITS}, rk AS (SELECT *, CAST(list_position(['BLOCKED', 'SILL_DEFICIT', 'AREA_DEFICIT', 'OK'], category) AS BIGINT) AS rank, round_even(sill_coarse * (1 - sill_ratio), 6) AS sill_deficit FROM st)
+SELECT * FROM rk ORDER BY rank, sill_deficit DESC, area_ratio, direction, j, i LIMIT 10""", True)
 def straits_topn(s, d):
     return straits.ranked(_straits(s, d), 10)
 
 
-@query("strait_summary")
+@query("strait_summary", f"{_STRAITS} SELECT count(*) AS n, " + ", ".join(f"count(*) FILTER (category = '{x}') AS n_{x.lower()}" for x in straits.RANK) + " FROM st", True)
 def strait_summary(s, d):
     return straits.summary(_straits(s, d))
 
@@ -427,7 +462,13 @@ def csv_segments(s, d):
     return boundary.csv_segments(suppliers(s, d).withColumnRenamed("pid", "seq"), 1.5).select("seq", "segment")
 
 
-@query("boundary_starts")
+@query("boundary_starts", """u AS (SELECT 'W' AS edge, j AS along, i AS perp, j, i, depth FROM c WHERE mask = 1 UNION ALL SELECT 'E', j, 23 - i, j, i, depth FROM c WHERE mask = 1
+ UNION ALL SELECT 'S', i, j, j, i, depth FROM c WHERE mask = 1 UNION ALL SELECT 'N', i, 23 - j, j, i, depth FROM c WHERE mask = 1),
+ft AS (SELECT * FROM u WHERE perp <= 20 QUALIFY row_number() OVER (PARTITION BY edge, along ORDER BY perp) = 1),
+br AS (SELECT *, along - lag(along) OVER (PARTITION BY edge, perp ORDER BY along) IS DISTINCT FROM 1 AS fresh, count(*) OVER (PARTITION BY edge, perp) AS hits FROM ft),
+rn AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY edge, perp ORDER BY along) AS run FROM br WHERE hits >= 3),
+dp AS (SELECT edge, perp, run, count(*) AS n_cells, arg_max((j, i, depth), (depth, -along)) AS d FROM rn GROUP BY edge, perp, run HAVING count(*) >= 3)
+SELECT edge, perp, CAST(row_number() OVER (PARTITION BY edge, perp ORDER BY run) AS INT) AS segment, n_cells, d[1] AS j, d[2] AS i, d[3] AS depth FROM dp""")
 def boundary_starts(s, d):
     return boundary.boundary_starts(fixture.coarse(s, d), 20, 3)
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import written
+from ..tables import remove, written
 
 
 def envelope(cells: DataFrame, r: float, rounds: int = 10_000) -> DataFrame:
@@ -22,6 +22,7 @@ def envelope(cells: DataFrame, r: float, rounds: int = 10_000) -> DataFrame:
         near = now.select("depth", steps.alias("t"), "j", "i").groupBy((F.col("j") + F.col("t.a")).alias("j"), (F.col("i") + F.col("t.b")).alias("i")).agg(F.max("depth").alias("m"))
         after = written(now.join(near, ["j", "i"], "left").select("j", "i", F.greatest("depth", F.col("m") / k).alias("depth"), (F.coalesce(F.col("m") / k, F.lit(0.0)) > F.col("depth") + 1e-9).alias("moved")), "envelope")
         moved = after.where("moved").isEmpty()
+        remove(now)
         now = after.drop("moved")
         if moved:
             break

@@ -536,7 +536,9 @@ def suggest_fixes(s, d):
     return thalweg.suggest_fixes(paths(s, d), fixture.coarse(s, d))
 
 
-@query("articulation")
+# each cell is left out in turn: is a neighbour out of reach of its first one?
+@query("articulation", f"""{comp_sql(0.3).rsplit("lab(id", 1)[0]}fl(v, id) AS (SELECT s, min(t) FROM e GROUP BY s UNION SELECT fl.v, e.t FROM fl JOIN e ON e.s = fl.id WHERE e.t <> fl.v)
+SELECT j, i FROM w WHERE id IN (SELECT e.s FROM e LEFT JOIN fl ON fl.v = e.s AND fl.id = e.t WHERE fl.id IS NULL)""", True)
 def articulation(s, d):
     return graph.articulation_points(fixture.coarse(s, d).where("mask = 1").select("j", "i", "id"))
 
@@ -639,7 +641,16 @@ def mask_counts(s, d):
     return _compared(s, d).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("final_dataset")
+@query("final_dataset", f"""{PTS}, n AS (SELECT pid, min_by(c.id, ({D2}, c.id)) AS id FROM p CROSS JOIN c GROUP BY pid), fx AS (SELECT id, max(pid) AS pid FROM n GROUP BY id),
+w AS MATERIALIZED (SELECT c.id, j, i, CASE WHEN pid IS NULL THEN depth ELSE pid % 40 + 1.5::DOUBLE END AS depth FROM c LEFT JOIN fx ON c.id = fx.id WHERE CASE WHEN pid IS NULL THEN mask = 1 ELSE pid % 2 = 0 END),
+e AS MATERIALIZED (SELECT a.id AS s, b.id AS t FROM w a JOIN w b ON (a.j = b.j AND abs(a.i - b.i) = 1) OR (a.i = b.i AND abs(a.j - b.j) = 1)),
+lab(id, l) AS (SELECT id, id FROM w UNION SELECT e.t, lab.l FROM lab JOIN e ON e.s = lab.id WHERE lab.l < e.t),
+comp AS MATERIALIZED (SELECT id, min(l) AS label FROM lab GROUP BY id){_RANKS},
+x AS MATERIALIZED (SELECT w.id, w.depth FROM w JOIN comp ON w.id = comp.id JOIN r ON r.label = comp.label WHERE basin_rank = 1),
+en(id, v) AS (SELECT id, depth FROM x UNION SELECT e.t, en.v / 1.5::DOUBLE FROM en JOIN e ON e.s = en.id JOIN x ON x.id = e.t WHERE en.v / 1.5::DOUBLE > x.depth),
+sm AS (SELECT c.j, c.i, c.depth AS raw, c.wet_fraction, x.depth AS fixed, comp.label, (SELECT max(v) FROM en WHERE en.id = c.id) AS depth FROM c LEFT JOIN x ON c.id = x.id LEFT JOIN comp ON c.id = comp.id),
+l AS (SELECT *, lead(j) OVER a AS ej, lead(depth) OVER a AS ed, lead(j) OVER b AS nj, lead(depth) OVER b AS nd FROM sm WINDOW a AS (PARTITION BY j ORDER BY i), b AS (PARTITION BY i ORDER BY j))
+SELECT j, i, CASE WHEN fixed IS NULL THEN 0 ELSE 1 END AS mask, CAST(label AS BIGINT) AS label, {e6('depth', 'depth_rx0_0p20')}, {e6(_FACE.format(n='e'), 'depth_u')}, {e6(_FACE.format(n='n'), 'depth_v')}, {e6('raw', 'depth_raw')}, {e6('wet_fraction', 'wet_fraction')}, {e6('fixed', 'depth_fixes')} FROM l""", True)
 def final_dataset(s, d):
     raw = fixture.coarse(s, d)
     fixed = basins.mask_isolated(fixes.apply_absolute(raw, _fixes(s, d, "set_depth", "mask_cell")), 1)

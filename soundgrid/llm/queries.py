@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, bwt_dedup, decontaminate, fingerprint, hyperminhash, licenses, lines, quality, token_shards, warc
+from . import bpe, bwt_dedup, decontaminate, fingerprint, hard_negatives, hyperminhash, licenses, lines, quality, token_shards, warc
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -88,9 +88,27 @@ def op10_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("body", 256).alias("kept_sha256"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.expr("IF(vec_id % 7 = 0, (CAST(label AS BIGINT) + 1) % 10, label)")
+    return hard_negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.expr("vec_id % 50 = 0"), label)
+
+
+OP13_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT * FROM v WHERE vec_id % 50 = 0),
+s AS (SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, CAST(list_inner_product(a.q, v.q) AS BIGINT) AS score FROM a JOIN v ON a.vec_id <> v.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT anchor_id, positive_id, s.vec_id AS negative_id, positive_score, score AS negative_score,
+        CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, s.vec_id) AS INT) AS rank
+      FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT * FROM n WHERE rank <= 3
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_warc": op2_warc, "op3_lines": op3_lines, "op4_decontaminate": op4_decontaminate, "op5_hyperminhash": op5_hyperminhash, "op6_token_shards": op6_token_shards, "op7_licenses": op7_licenses, "op8_fingerprint": op8_fingerprint, "op9_quality": op9_quality, "op10_bwt": op10_bwt}
+    return {"op1_bpe": op1_bpe, "op2_warc": op2_warc, "op3_lines": op3_lines, "op4_decontaminate": op4_decontaminate, "op5_hyperminhash": op5_hyperminhash, "op6_token_shards": op6_token_shards, "op7_licenses": op7_licenses, "op8_fingerprint": op8_fingerprint, "op9_quality": op9_quality, "op10_bwt": op10_bwt, "op13_hard_negatives": op13_hard_negatives}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op3_lines": OP3_SQL}
+    return {"op2_warc": OP2_SQL, "op3_lines": OP3_SQL, "op13_hard_negatives": OP13_SQL}

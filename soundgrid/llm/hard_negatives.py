@@ -7,7 +7,7 @@ takes an anchor's rows of equal label, a window of negatives its rows of other l
 Rows and anchors are dealt over the cells of a grid, a group of rows by a group of anchors. A pass goes over all cells;
 each gives, for every window that is still open, a histogram of the next digit of what lies in the window's undecided
 interval. The summed histograms locate the digit that holds the kth row; that digit's range is the next interval. When
-an interval is down to one score, the digits of vec_id follow. A window closes once at most ``FEW`` rows can be among
+an interval is down to one score, the digits of vec_id follow. A window closes once at most ``few`` rows can be among
 its first k, or when its interval is one score and one vec_id. A last pass gathers those rows only, and they are ranked.
 A cell leaves out of its histogram the digits after the one in which its own rows reach the kth: none of them can matter.
 
@@ -21,6 +21,7 @@ without positives, or a positive without negatives, has no rows in the result. O
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,17 @@ from pyspark.sql import functions as F
 from .common import remove, written
 
 SCALE = 256
-#: Rows and anchors of a cell of the grid at most, on average; scores that a task holds at once.
-ROWS, ANCHORS, AT_ONCE = 65_536, 16_384, 2_000_000
-#: Bits of a digit; rows of a window that are gathered without another digit.
-DIGIT, FEW = 8, 64
+
+
+class Sizes(NamedTuple):
+    """Rows and anchors of a cell of the grid (on average, at most), scores that a task holds at once, bits of a digit, and rows of a window that are gathered without another digit."""
+
+    rows: int = 65_536
+    anchors: int = 16_384
+    at_once: int = 2_000_000
+    digit: int = 8
+    few: int = 64
+
 
 STATE = ("w", "anchor", "label", "q", "lo", "hi", "top", "id_lo", "id_hi", "above", "open")
 
@@ -65,11 +73,11 @@ def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
 class Cell:
     """A group of rows and the windows of a group of anchors."""
 
-    def __init__(self, rows: pa.Table, windows: pa.Table, dims: int, longest: int, same: bool):
+    def __init__(self, rows: pa.Table, windows: pa.Table, dims: int, longest: int, same: bool, sizes: Sizes):
         self.kind = np.float32 if longest < 2**24 else np.float64 if longest < 2**53 else np.int64  # in which sums are exact
         self.row, self.ids, self.labels = (rows[c].to_numpy() for c in ("_row", "vec_id", "label"))
         self.vectors = _matrix(rows["q"], dims).astype(self.kind).T if rows.num_rows else np.zeros((dims, 0), self.kind)
-        self.windows, self.dims, self.same = windows, dims, same
+        self.windows, self.dims, self.same, self.sizes = windows, dims, same, sizes
         self.none = -np.inf if self.kind != np.int64 else np.iinfo(np.int64).min
 
     def scored(self, order: bool) -> Iterator[tuple[dict, np.ndarray]]:
@@ -80,7 +88,7 @@ class Cell:
         labels, vectors = self.windows["label"].to_numpy(), self.windows["q"]
         by = np.argsort(which, kind="stable")
         starts = np.searchsorted(which[by], np.arange(len(found) + 1))
-        step = max(1, AT_ONCE // max(1, len(self.ids)))
+        step = max(1, self.sizes.at_once // max(1, len(self.ids)))
         for at in range(0, len(found), step):
             own = first[at : at + step]
             s = _matrix(vectors.take(pa.array(own)), self.dims).astype(self.kind) @ self.vectors
@@ -91,7 +99,6 @@ class Cell:
                 counts = ~counts
             s[~counts] = self.none
             if order:
-                ids = None
                 ties = fields["lo"] == fields["hi"]
                 raw = s if ties[by[starts[at] : starts[min(at + step, len(found))]]].any() else None
                 s = np.sort(s, axis=1) if raw is not None else (s.sort(axis=1), s)[1]
@@ -108,12 +115,12 @@ class Cell:
             if x["lo"] == x["hi"]:
                 ids = np.sort(self.ids[s == x["lo"]])
                 ids = ids[np.searchsorted(ids, x["id_lo"]) : np.searchsorted(ids, x["id_hi"], "right")]
-                shift = max(0, (x["id_hi"] - x["id_lo"]).bit_length() - DIGIT)
+                shift = max(0, (x["id_hi"] - x["id_lo"]).bit_length() - self.sizes.digit)
                 bucket = (ids - x["id_lo"]) >> shift
                 bucket = bucket[: np.searchsorted(bucket, bucket[need - 1], "right")] if len(bucket) > need else bucket
             else:
                 end, start = np.searchsorted(s, x["hi"], "right"), np.searchsorted(s, x["lo"])
-                shift = max(0, (x["hi"] - x["lo"]).bit_length() - DIGIT)
+                shift = max(0, (x["hi"] - x["lo"]).bit_length() - self.sizes.digit)
                 if end - start > need:
                     last = (x["hi"] - int(s[end - need])) >> shift
                     start = max(start, np.searchsorted(s, x["hi"] - ((last + 1) << shift) + 1))
@@ -141,23 +148,24 @@ class Cell:
 class Grid:
     """The rows dealt over cells, and what bounds their scores."""
 
-    def __init__(self, rows: DataFrame, anchor: Column):
+    def __init__(self, rows: DataFrame, anchor: Column, sizes: Sizes):
+        self.sizes = sizes
         top = rows.select("*", F.aggregate("q", F.lit(0).cast("long"), lambda acc, v: acc + v.cast("long") * v).alias("length"))
         s = top.agg(F.count(F.lit(1)).alias("n"), F.count_if(anchor).alias("anchors"), F.max("length").alias("longest"), F.max(F.size("q")).alias("dims"), F.max(F.array_max(F.transform("q", F.abs))).alias("most"), F.min("vec_id").alias("id_lo"), F.max("vec_id").alias("id_hi")).first()
         self.longest, self.dims, self.id_lo, self.id_hi = s.longest or 0, s.dims or 0, s.id_lo or 0, s.id_hi or 0
         tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism
-        self.across = max(-(-s.n // ROWS), min(tasks, -(-s.n // 1024)), 1)
-        self.along = max(-(-s.anchors // ANCHORS), 1)
+        self.across = max(-(-s.n // sizes.rows), min(tasks, -(-s.n // 1024)), 1)
+        self.along = max(-(-s.anchors // sizes.anchors), 1)
         self.rows = rows.withColumn("q", F.col("q").cast("array<smallint>")) if (s.most or 0) < 2**15 else rows
         self.anchors = self.rows.where(anchor)
 
     def over_cells(self, windows: DataFrame, same: bool, k: int, what: Callable, schema: str) -> DataFrame:
-        dims, longest = self.dims, self.longest
+        dims, longest, sizes = self.dims, self.longest, self.sizes
         r, a = F.pmod(F.xxhash64("_row"), F.lit(self.across)).alias("r"), F.pmod(F.xxhash64("anchor"), F.lit(self.along)).alias("a")
         left = self.rows.select("*", r, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.along - 1).cast("long"))).alias("a"))
         right = windows.select("*", a, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.across - 1).cast("long"))).alias("r"))
         both = left.groupBy("r", "a").cogroup(right.groupBy("r", "a"))
-        return both.applyInArrow(lambda x, y: what(Cell(x, y, dims, longest, same), k), schema)
+        return both.applyInArrow(lambda x, y: what(Cell(x, y, dims, longest, same, sizes), k), schema)
 
     def first(self, windows: DataFrame, same: bool, k: int) -> DataFrame:
         """w, score, vec_id, rank: the first k rows of each window."""
@@ -166,7 +174,7 @@ class Grid:
             counts = self.over_cells(state.where("open"), same, k, Cell.histogram, "w long, bucket long, n long").groupBy("w", "bucket").agg(F.sum("n").alias("n"))
             upto = F.sum("n").over(Window.partitionBy("w").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
             located = counts.withColumn("before", upto - F.col("n")).join(state.select("w", "above"), "w").where((F.col("above") + F.col("before") < k) & (F.col("above") + F.col("before") + F.col("n") >= k)).drop("above")
-            after = written(state.join(located, "w", "left").select(*_narrowed()), "windows")
+            after = written(state.join(located, "w", "left").select(*_narrowed(self.sizes)), "windows")
             remove(state)
             state = after
         hits = self.over_cells(state, same, k, Cell.gather, "w long, score long, vec_id long")
@@ -174,10 +182,10 @@ class Grid:
         return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _narrowed() -> list[Column]:
+def _narrowed(sizes: Sizes) -> list[Column]:
     """The state after a pass: a located digit becomes the interval; a window without one has fewer than k rows and closes."""
     found, tie = F.col("bucket").isNotNull() & F.col("open"), F.expr("lo = hi")
-    shift = f"greatest(length(bin(IF(lo = hi, id_hi - id_lo, hi - lo))) - {DIGIT}, 0)"
+    shift = f"greatest(length(bin(IF(lo = hi, id_hi - id_lo, hi - lo))) - {sizes.digit}, 0)"
     hi, id_lo = F.expr(f"hi - shiftleft(bucket, {shift})"), F.expr(f"id_lo + shiftleft(bucket, {shift})")
     wide = F.expr(f"shiftleft(1L, {shift}) - 1")
     new = {
@@ -186,19 +194,19 @@ def _narrowed() -> list[Column]:
         "id_lo": F.when(found & tie, id_lo).otherwise(F.col("id_lo")),
         "id_hi": F.when(found & tie, F.least("id_hi", id_lo + wide)).otherwise(F.col("id_hi")),
         "above": F.when(found, F.col("above") + F.col("before")).otherwise(F.col("above")),
-        "open": found & (F.col("above") + F.col("before") + F.col("n") > FEW) & ~(tie & (wide == 0)),
+        "open": found & (F.col("above") + F.col("before") + F.col("n") > sizes.few) & ~(tie & (wide == 0)),
     }
     return [new[c].alias(c) if c in new else F.col(c) for c in STATE]
 
 
-def mine(embeddings: DataFrame, anchor: Column, label: Column, positives: int = 5, negatives: int = 3, least: int = 50, most: int = 95) -> DataFrame:
+def mine(embeddings: DataFrame, anchor: Column, label: Column, positives: int = 5, negatives: int = 3, least: int = 50, most: int = 95, sizes: Sizes = Sizes()) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score.
 
     anchor and label are expressions over vec_id and label; least and most are the bounds of a negative's score, in
     percent of the positive's.
     """
     rows = prepared(embeddings, label)
-    grid = Grid(rows, anchor)
+    grid = Grid(rows, anchor, sizes)
     bound = {"id_lo": F.lit(grid.id_lo), "id_hi": F.lit(grid.id_hi), "above": F.lit(0)}
     longs = lambda **x: [c.cast("long").alias(n) for n, c in (x | bound).items()]
     start = grid.anchors.select(F.col("_row").alias("w"), F.col("_row").alias("anchor"), "label", "q", *longs(lo=F.lit(-grid.longest), hi=F.lit(grid.longest), top=F.lit(grid.longest)), F.lit(True).alias("open"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, bwt_dedup, decontaminate, fingerprint, hard_negatives, hyperminhash, licenses, lines, quality, token_shards, warc
+from . import bpe, bwt_dedup, decontaminate, divergence, fingerprint, hard_negatives, hyperminhash, language_id, licenses, lines, quality, token_shards, warc
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -88,6 +88,35 @@ def op10_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("body", 256).alias("kept_sha256"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_docs(spark, sf_dir), min_docs=10)
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+t AS (SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 10),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+x AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT *, 1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER w + 2 * count(*) OVER w) AS p FROM x WINDOW w AS (PARTITION BY lang, source)),
+y AS (SELECT lang, term, sum(n) AS n FROM x GROUP BY ALL),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER w + 2 * count(*) OVER w) AS q FROM y WINDOW w AS (PARTITION BY lang)),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b USING (lang) LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source WHERE a.source <> b.source
+      UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank
+FROM o QUALIFY part = 'pair' OR rank <= 10
+"""
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    out = language_id.predicted(docs.select("doc_id", "text"), language_id.fit(docs))
+    return out.select("doc_id", quality.held_out(F.col("doc_id").cast("string")).alias("held_out"), "lang_pred", "score")
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.expr("IF(vec_id % 7 = 0, (CAST(label AS BIGINT) + 1) % 10, label)")
     return hard_negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.expr("vec_id % 50 = 0"), label)
@@ -107,8 +136,8 @@ SELECT * FROM n WHERE rank <= 3
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_warc": op2_warc, "op3_lines": op3_lines, "op4_decontaminate": op4_decontaminate, "op5_hyperminhash": op5_hyperminhash, "op6_token_shards": op6_token_shards, "op7_licenses": op7_licenses, "op8_fingerprint": op8_fingerprint, "op9_quality": op9_quality, "op10_bwt": op10_bwt, "op13_hard_negatives": op13_hard_negatives}
+    return {"op1_bpe": op1_bpe, "op2_warc": op2_warc, "op3_lines": op3_lines, "op4_decontaminate": op4_decontaminate, "op5_hyperminhash": op5_hyperminhash, "op6_token_shards": op6_token_shards, "op7_licenses": op7_licenses, "op8_fingerprint": op8_fingerprint, "op9_quality": op9_quality, "op10_bwt": op10_bwt, "op11_divergence": op11_divergence, "op12_language_id": op12_language_id, "op13_hard_negatives": op13_hard_negatives}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op3_lines": OP3_SQL, "op13_hard_negatives": OP13_SQL}
+    return {"op2_warc": OP2_SQL, "op3_lines": OP3_SQL, "op11_divergence": OP11_SQL, "op13_hard_negatives": OP13_SQL}

@@ -25,10 +25,10 @@ def brute(rows, every=50, k=5, n=3, least=50, most=95):
     return sorted(out)
 
 
-def mined(spark, rows, schema=SCHEMA):
-    df = spark.createDataFrame([(i, x and [v if v is None else float(v) for v in x], y, "q", "r") for i, x, y in rows], schema)
+def mined(spark, table, **sizes):
+    df = spark.createDataFrame([(i, x and [v if v is None else float(v) for v in x], y, "q", "r") for i, x, y in table], SCHEMA)
     label = F.expr("IF(vec_id % 7 = 0, (CAST(label AS BIGINT) + 1) % 10, label)")
-    out = hard_negatives.mine(df, F.expr("vec_id % 50 = 0"), label)
+    out = hard_negatives.mine(df, F.expr("vec_id % 50 = 0"), label, sizes=hard_negatives.Sizes(**sizes))
     assert out.columns == ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
     return sorted(tuple(r) for r in out.collect())
 
@@ -45,13 +45,11 @@ def test_against_brute_force(spark, scale):
     assert len(want) > 20 and mined(spark, rows) == want
 
 
-def test_digits_of_score_and_id(spark, monkeypatch):
+def test_digits_of_score_and_id(spark):
     """Few values, so that scores tie; no window closes early."""
-    monkeypatch.setattr(hard_negatives, "FEW", 0)
-    monkeypatch.setattr(hard_negatives, "DIGIT", 3)
     rows = vectors(400, 2, 1, 2, [0.5, 0.75, 1.0])
     rows = [(k * 10 - 1000, x, y) for k, x, y in rows]
-    assert mined(spark, rows) == brute(rows) != []
+    assert mined(spark, rows, few=0, digit=3) == brute(rows) != []
 
 
 def test_hot_copies_and_repeated_rows(spark):
@@ -62,12 +60,9 @@ def test_hot_copies_and_repeated_rows(spark):
     assert mined(spark, rows) == brute(rows) != []
 
 
-def test_many_cells(spark, monkeypatch):
-    monkeypatch.setattr(hard_negatives, "ROWS", 50)
-    monkeypatch.setattr(hard_negatives, "ANCHORS", 2)
-    monkeypatch.setattr(hard_negatives, "AT_ONCE", 60)
+def test_many_cells(spark):
     rows = vectors(300, 4, 0.3, 4)
-    assert mined(spark, rows) == brute(rows) != []
+    assert mined(spark, rows, rows=50, anchors=2, at_once=60) == brute(rows) != []
 
 
 def test_rows_that_take_no_part(spark):

@@ -2,8 +2,8 @@
 
 The kernel is the blended spectrum of presence: of two texts, the number of distinct n-grams of ``ORDERS`` code points
 that both have, over the root of the product of what each has with itself. N-grams are taken of the whole text, lower-
-cased, with each run of other characters than letters made one blank and a blank at both ends; those count that the
-landmarks have in common (``Space``). Landmarks are training texts. Nyström's map turns kernel values against them into
+cased, with each run of other characters than letters made one blank and a blank at both ends; the blank itself is none, and
+those count that the landmarks have in common (``Space``). Landmarks are training texts. Nyström's map turns kernel values against them into
 features, and kernel ridge regression of each language against the rest is solved on these; the normal equations are
 summed over tasks. Features, map and weights are linear in the n-grams that a text has, so a batch of texts is scored by
 one sparse matrix product with the weights of all n-grams for all languages.
@@ -61,14 +61,14 @@ def codes(text: str | None) -> np.ndarray:
 
 
 def grams(own: np.ndarray) -> Iterator[np.ndarray]:
-    """64-bit hashes of a text's n-grams, piece by piece; with repeats."""
+    """64-bit hashes of a text's n-grams but for the blank, piece by piece; with repeats."""
     for at in range(0, max(0, len(own) - 1), AT_ONCE):
         piece = own[at : at + AT_ONCE + ORDERS - 1].astype(np.uint64)
         h = np.zeros(len(piece) + 1, np.uint64)
         for n in range(min(ORDERS, len(piece))):
             h = (h[:-1] + piece[n:] + np.uint64(1)) * _STEP
             h ^= h >> np.uint64(29)
-            yield h[:AT_ONCE]
+            yield h[:AT_ONCE] if n else h[:AT_ONCE][piece[:AT_ONCE] != 32]
 
 
 def distinct(text: str | None) -> np.ndarray:

@@ -97,6 +97,17 @@ def supergrid(points: DataFrame) -> DataFrame:
     return points.select(F.expr("cast(sj div 2 as int)").alias("j"), F.expr("cast(si div 2 as int)").alias("i"), kind.alias("kind"), "lon", "lat")
 
 
+def curvilinear(points: DataFrame) -> DataFrame:
+    """The cells of a supergrid's points (sj, si, lon, lat): j, i, centre (its T point) and four corners (its Q points)."""
+    split = supergrid(points)
+    out = split.where("kind = 'T'").select("j", "i", "lon", "lat")
+    q = split.where("kind = 'Q'")
+    for dj, di in ((0, 0), (0, 1), (1, 0), (1, 1)):
+        corner = q.select((F.col("j") - dj).alias("j"), (F.col("i") - di).alias("i"), F.col("lon").alias(f"lon{dj}{di}"), F.col("lat").alias(f"lat{dj}{di}"))
+        out = out.join(corner, ["j", "i"])
+    return out
+
+
 def axis_angle(grid: DataFrame) -> DataFrame:
     """grid with the local angle of its i axis."""
     dlat = F.col("lat01") - F.col("lat00")
@@ -167,7 +178,8 @@ def build(spark: SparkSession, grid: dict) -> DataFrame:
         pole = geo.pole_from_center(grid["lon_center"], grid["lat_center"]) if "lon_center" in grid else tuple(need("pole_lon", "pole_lat"))
         return rotated_pole(spark, *pole, *need("rlon_min", "rlon_max", "rlat_min", "rlat_max", "drot"), grid.get("axis_rotation", 0.0))
     if kind in ("supergrid", "curvilinear"):
-        return supergrid(spark.read.parquet(need("file")[0]))
+        points = spark.read.parquet(need("file")[0])
+        return curvilinear(points.withColumnsRenamed({grid.get("x_var", "lon"): "lon", grid.get("y_var", "lat"): "lat"}))
     raise ValueError(f"unknown grid type {kind}")
 
 

@@ -46,8 +46,8 @@ def area(corners: list[tuple[Column, Column]]) -> Column:
     return F.abs(total) / 2
 
 
-def weights(fine: DataFrame, grid: DataFrame, fine_dlon: float, fine_dlat: float) -> DataFrame:
-    """j, i, sj, si, w: the part of each target cell that lies in each raster cell.
+def weights(fine: DataFrame, grid: DataFrame, fine_dlon: float, fine_dlat: float, *keep: str) -> DataFrame:
+    """j, i, sj, si, w: the part of each target cell that lies in each raster cell; and columns of the raster to keep.
 
     fine has j, i, lon, lat (centres of fine_dlon by fine_dlat degrees); grid has j, i and corners lon00 to lat11. Cells
     meet in bins of longitude and latitude about as large as a target cell: a raster cell is in the bin of its centre, a
@@ -66,25 +66,32 @@ def weights(fine: DataFrame, grid: DataFrame, fine_dlon: float, fine_dlat: float
     size = max(size or 0.0, fine_dlon, fine_dlat)
     bins = lambda a, d: F.explode(F.sequence(F.floor((F.col(f"{a}lo") - d / 2) / size), F.floor((F.col(f"{a}hi") + d / 2) / size)))
     q = q.withColumn("bx", bins("x", fine_dlon)).withColumn("by", bins("y", fine_dlat))
-    f = fine.select(F.col("j").alias("sj"), F.col("i").alias("si"), "lon", "lat", F.floor(F.col("lon") / size).alias("bx"), F.floor(F.col("lat") / size).alias("by"))
+    f = fine.select(F.col("j").alias("sj"), F.col("i").alias("si"), *keep, "lon", "lat", F.floor(F.col("lon") / size).alias("bx"), F.floor(F.col("lat") / size).alias("by"))
     lon, lat = F.col("lon"), F.col("lat")
     f = f.select("*", (lon - fine_dlon / 2).alias("x0"), (lon + fine_dlon / 2).alias("x1"), sine(lat - fine_dlat / 2).alias("s0"), sine(lat + fine_dlat / 2).alias("s1"))
     near = (F.col("x1") > F.col("xlo")) & (F.col("x0") < F.col("xhi")) & (lat + fine_dlat / 2 > F.col("ylo")) & (lat - fine_dlat / 2 < F.col("yhi"))
     corners = [(f"x{c}", f"s{c}") for c in CORNERS]
     pairs = with_overlap(q.join(f, ["bx", "by"]).where(near), corners, "x0", "x1", "s0", "s1")
-    return pairs.select("j", "i", "sj", "si", F.try_divide("overlap", "size").alias("w")).where("w > 1e-12")
+    return pairs.select("j", "i", "sj", "si", *keep, F.try_divide("overlap", "size").alias("w")).where("w > 1e-12")
+
+
+def _means(pairs: DataFrame, grid: DataFrame) -> DataFrame:
+    wet = F.when(F.col("depth").isNotNull(), F.col("w")).otherwise(0.0)
+    sums = pairs.groupBy("j", "i").agg(F.sum(wet).alias("wet_fraction"), F.sum(F.col("w") * F.coalesce("depth", F.lit(0.0))).alias("total"))
+    # written, or the join's inference of filters goes through all that the overlaps are made of
+    sums = written(sums.select("j", "i", "wet_fraction", F.try_divide("total", "wet_fraction").alias("depth")), "means")
+    return grid.join(sums, ["j", "i"], "left")
 
 
 def apply(weights: DataFrame, fine: DataFrame, grid: DataFrame) -> DataFrame:
     """grid with wet_fraction and depth (mean of the wet part); both null where no raster cell reaches a target cell."""
-    wet = F.col("depth").isNotNull()
-    sums = weights.join(fine.select(F.col("j").alias("sj"), F.col("i").alias("si"), "depth"), ["sj", "si"]).groupBy("j", "i").agg(F.sum(F.when(wet, F.col("w")).otherwise(0.0)).alias("wet_fraction"), F.sum(F.col("w") * F.coalesce("depth", F.lit(0.0))).alias("total"))
-    return grid.join(sums.select("j", "i", "wet_fraction", F.try_divide("total", "wet_fraction").alias("depth")), ["j", "i"], "left")
+    return _means(weights.join(fine.select(F.col("j").alias("sj"), F.col("i").alias("si"), "depth"), ["sj", "si"]), grid)
 
 
 def regrid(fine: DataFrame, grid: DataFrame, fine_dlon: float, fine_dlat: float) -> DataFrame:
+    """As apply() of weights(), in one go: depths come along with the pairs, and are summed before they are shuffled."""
     grid = written(grid, "grid")  # a generated grid's corners are long expressions, which take the optimizer long in joins
-    return apply(weights(fine, grid, fine_dlon, fine_dlat), fine, grid)
+    return _means(weights(fine, grid, fine_dlon, fine_dlat, "depth"), grid)
 
 
 def grid_key(cells: DataFrame) -> str:

@@ -34,7 +34,7 @@ from .quality import held_out
 ORDERS = 4
 #: N-grams that are told apart at most, slots of the table that finds them, code points handled at once.
 GRAMS, SLOT_BITS, AT_ONCE = 65_536, 20, 1 << 18
-LONG, SHARDS = 20_000, 8
+LONG, SHARDS, PARTS = 20_000, 8, 64
 RIDGE, SHARPNESS = 1e-4, 6.0
 UNKNOWN = "und"
 _STEP, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -134,9 +134,11 @@ def _sample(docs: DataFrame, max_train: int, max_langs: int) -> tuple[list[str],
     can = docs.select("doc_id", "text", "lang").where("doc_id IS NOT NULL AND lang IS NOT NULL").where(~held_out(F.col("doc_id").cast("string")) & F.col("text").rlike(r"\p{L}"))
     langs = [r.lang for r in can.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()]
     each = max(1, max_train // max(1, len(langs)))
-    order = Window.partitionBy("lang").orderBy("length", F.xxhash64("doc_id"), "doc_id")
+    order = ["length", F.xxhash64("doc_id"), "doc_id"]
     rows = can.where(F.col("lang").isin(langs)).groupBy("doc_id", "lang").agg(F.min(F.greatest(F.length("text"), F.lit(LONG))).alias("length"))
-    rows = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= each).drop("length")
+    for part in ([F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(PARTS))], []):  # the first of each part of a language, then of those the first of all
+        rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang", *part).orderBy(*order))).where(F.col("rank") <= each)
+    rows = rows.drop("length")
     # bounded by max_train rows of three values, and one more for each language
     texts = can.join(F.broadcast(rows), ["doc_id", "lang"]).groupBy("doc_id", "lang", "rank").agg(F.min("text").alias("text"))
     return langs, written(texts, "language-sample")

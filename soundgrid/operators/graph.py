@@ -1,9 +1,8 @@
-"""Graphs over cell tables: components, spanning trees, paths and articulation points."""
+"""Graphs over cell tables: components and articulation points."""
 
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -67,62 +66,6 @@ def label_runs(cells: DataFrame) -> DataFrame:
     return cells.join(labels, ["j", "run"]).drop("run")
 
 
-class _Forest(dict):
-    def top(self, x):
-        while (up := self.setdefault(x, x)) != x:
-            self[x] = self.setdefault(up, up)
-            x = up
-        return x
-
-
-def bottleneck_tree(pdf: pd.DataFrame) -> dict[int, list[tuple[int, float]]]:
-    """Maximum spanning forest of the rows a, b, w as adjacency lists."""
-    forest, tree = _Forest(), defaultdict(list)
-    for a, b, w in pdf.sort_values(["w", "a", "b"], ascending=[False, True, True])[["a", "b", "w"]].itertuples(index=False):
-        x, y = forest.top(a), forest.top(b)
-        if x != y:
-            forest[x] = y
-            tree[a].append((b, w))
-            tree[b].append((a, w))
-    return tree
-
-
-def tree_path(tree: dict, start: int, end: int) -> list[int]:
-    """The only path of a tree, or none."""
-    before, queue = {start: None}, [start]
-    for x in queue:
-        if x == end:
-            out = []
-            while x is not None:
-                out.append(x)
-                x = before[x]
-            return out[::-1]
-        for y, _ in tree.get(x, ()):
-            if y not in before:
-                before[y] = x
-                queue.append(y)
-    return []
-
-
-def deepest_paths(cells: DataFrame, stops: DataFrame, by: str = "name") -> DataFrame:
-    """by, seq, id: per stop pair (by, a, b), the path whose shallowest edge is deepest, over eight neighbours.
-
-    Each pair's own cells (cells has the column by) make one group: windows of a raster, as large as a waypoint's box.
-    """
-    steps = [(0, 1), (1, 0), (1, 1), (1, -1)]
-    rows = cells.join(F.broadcast(stops), by)
-
-    def path(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = {(j, i): (k, d) for j, i, k, d in pdf[["j", "i", "id", "depth"]].itertuples(index=False)}
-        edges = [(k, *at[(j + dj, i + di)][:1], min(d, at[(j + dj, i + di)][1])) for (j, i), (k, d) in at.items() for dj, di in steps if (j + dj, i + di) in at]
-        tree = bottleneck_tree(pd.DataFrame(edges, columns=["a", "b", "w"]))
-        ids = tree_path(tree, int(pdf["a"].iloc[0]), int(pdf["b"].iloc[0]))
-        return pd.DataFrame({by: pdf[by].iloc[0], "seq": range(len(ids)), "id": ids})
-
-    kind = cells.schema[by].dataType.simpleString()
-    return rows.groupBy(by).applyInPandas(path, f"{by} {kind}, seq int, id long")
-
-
 def articulation(pdf: pd.DataFrame) -> pd.DataFrame:
     """The cells j, i whose removal splits their four-neighbour component; none in components of under three cells."""
     at = set(zip(pdf["j"], pdf["i"], strict=True))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from . import basins, graph, spatial
+from ..tables import written
+from . import basins, deepest, graph, spatial
 
 
 def snap(stops: DataFrame, fine: DataFrame) -> DataFrame:
@@ -22,10 +23,10 @@ def waypoint_paths(fine: DataFrame, stops: DataFrame, margin: float = 1.0) -> Da
     box = stops.groupBy("name").agg((F.min("lon") - margin).alias("lon0"), (F.max("lon") + margin).alias("lon1"), (F.min("lat") - margin).alias("lat0"), (F.max("lat") + margin).alias("lat1"))
     wet = fine.where("depth is not null")
     w = Window.partitionBy("name").orderBy("seq")
-    legs = snap(stops, fine).withColumn("b", F.lead("id").over(w)).where("b is not null").select(F.concat_ws("#", "name", "seq").alias("leg"), "name", "seq", F.col("id").alias("a"), "b")
-    cells = spatial.range_join(box, wet, max(margin, 0.1)).select("name", "j", "i", "id", "depth").join(F.broadcast(legs.select("leg", "name")), "name").select("leg", "j", "i", "id", "depth")
-    paths = graph.deepest_paths(cells, legs.select("leg", "a", "b"), "leg").join(legs.select("leg", "name", F.col("seq").alias("leg_seq")), "leg")
+    legs = written(snap(stops, fine).withColumn("b", F.lead("id").over(w)).where("b is not null").select(F.concat_ws("#", "name", "seq").alias("leg"), "name", "seq", F.col("id").alias("a"), "b"), "route-legs")
+    cells = spatial.range_join(box, wet, max(margin, 0.1)).select("name", "j", "i", "id", "depth")
     first_leg = F.min("leg_seq").over(Window.partitionBy("name"))
+    paths = deepest.paths(cells, legs, "name", "leg").join(legs.select("leg", "name", F.col("seq").alias("leg_seq")), "leg")
     paths = paths.withColumn("first", first_leg).where("seq > 0 or leg_seq = first")  # a leg's first cell ends the leg before
     order = F.row_number().over(Window.partitionBy("name").orderBy("leg_seq", "seq"))
     return paths.select("name", (order - 1).alias("seq"), "id").join(wet.select("id", "lon", "lat", "depth"), "id").select("name", "seq", "id", "lon", "lat", "depth")

@@ -4,8 +4,9 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 
-from soundgrid.operators import graph, straits
+from soundgrid.operators import deepest, graph, straits
 
 FOUR = ((-1, 0), (1, 0), (0, -1), (0, 1))
 
@@ -49,7 +50,8 @@ def test_tree_path_is_as_deep_as_any():
             best[a, b] = best[b, a] = w
         for k in range(n):
             best = np.maximum(best, np.minimum(best[:, k : k + 1], best[k : k + 1]))
-        path = graph.tree_path(graph.bottleneck_tree(pd.DataFrame(rows, columns=["a", "b", "w"])), 0, n - 1)
+        _, tree = deepest.forest(pd.DataFrame([(*r, *r[:2]) for r in rows], columns=["u", "v", "w", "ka", "kb"]))
+        path = deepest.walk(tree, 0, n - 1)
         assert bool(path) == bool(best[0, n - 1])
         if path:
             assert path[0] == 0 and path[-1] == n - 1
@@ -68,3 +70,28 @@ def test_split_windows_with_holes():
             starts = [c for c in wet if c[k] == cut - 1]
             want = any(x[k] == cut for s in starts for x in reached(wet, s))
             assert straits.split_connected(pdf, axis) == want
+
+
+@pytest.mark.parametrize("tile", [2, 3, 256])
+def test_paths_by_tiles_are_those_of_the_whole_forest(spark, tile):
+    """Many levels of tiles or a single one; several legs of a graph, and two graphs of the same ids."""
+    rnd = random.Random(6)
+    cells, legs, want = [], [], {}
+    for name in ("a", "b"):
+        ny, nx = rnd.randint(9, 14), rnd.randint(9, 14)
+        at = {(j, i): (j * 100 + i, float(rnd.randint(1, 5))) for j in range(3, 3 + ny) for i in range(5, 5 + nx) if rnd.random() < 0.75}
+        cells += [(name, j, i, k, d) for (j, i), (k, d) in at.items()]
+        steps = [(k, at[j + a, i + b][0], min(d, at[j + a, i + b][1])) for (j, i), (k, d) in at.items() for a, b in ((0, 1), (1, 0), (1, 1), (1, -1)) if (j + a, i + b) in at]
+        _, tree = deepest.forest(pd.DataFrame([(u, v, w, u, v) for u, v, w in steps], columns=["u", "v", "w", "ka", "kb"]))
+        ids = [k for k, _ in at.values()]
+        for n in range(8):
+            a, b = rnd.choice(ids), rnd.choice(ids)
+            b = a if n == 7 else b
+            legs.append((f"{name}{n}", name, a, b))
+            want[f"{name}{n}"] = deepest.walk(tree, a, b)
+    cells.append(cells[0])
+    df = spark.createDataFrame(cells, "graph string, j int, i int, id long, depth double")
+    got = deepest.paths(df, spark.createDataFrame(legs, "leg string, graph string, a long, b long"), tile=tile).collect()
+    found = {k: [r.id for r in sorted((r for r in got if r.leg == k), key=lambda r: r.seq)] for k in want}
+    assert found == want and sum(len(p) > 3 for p in want.values()) > 5
+    assert all(sorted(r.seq for r in got if r.leg == k) == list(range(len(p))) for k, p in want.items())

@@ -490,7 +490,18 @@ def nudge_scale(s, d):
     return r6(boundary.match_scale(edge, _outer(s, d), 0.1, 0.1), "scale").select("side", "j", "i", "scale")
 
 
-@query("nudge_apply")
+# the queue's order as text: the seed's place, then a digit for each look
+@query("nudge_apply", f"""{_EDGE}, {_OUT}, n AS (SELECT side, e.seq, e.j, e.i, e.lat, e.depth, min_by(o.j * 8 + o.i, ((o.lon - e.lon) * (o.lon - e.lon) + (o.lat - e.lat) * (o.lat - e.lat), o.j, o.i)) AS oid FROM edge e CROSS JOIN o GROUP BY ALL),
+gr AS (SELECT side, oid, avg(lat) AS lat, sum(depth * CASE WHEN side IN ('N', 'S') THEN 0.1 * abs(cos(radians(lat))) ELSE 0.1 END) AS inner_area FROM n GROUP BY side, oid),
+sc AS (SELECT n.side, n.seq, n.j, n.i, n.depth, greatest(1.0 / 3, least(3, o.depth * CASE WHEN n.side IN ('N', 'S') THEN 0.1 * abs(cos(radians(gr.lat))) ELSE 0.1 END / inner_area)) AS scale FROM n JOIN gr ON n.side = gr.side AND n.oid = gr.oid JOIN o ON o.j * 8 + o.i = n.oid),
+sd AS MATERIALIZED (SELECT j * 24 + i AS id, lpad(CAST(CASE side WHEN 'W' THEN 0 WHEN 'E' THEN 1 WHEN 'S' THEN 2 ELSE 3 END * 1000000 + seq AS VARCHAR), 9, '0') AS pos, greatest(2.0::DOUBLE, depth * scale) / depth AS scale FROM sc WHERE depth > 0),
+w AS MATERIALIZED (SELECT id, j, i FROM c WHERE mask = 1),
+nb AS MATERIALIZED (SELECT a.id AS x, b.id AS y, CASE WHEN b.j < a.j THEN '0' WHEN b.j > a.j THEN '1' WHEN b.i < a.i THEN '2' ELSE '3' END AS look FROM w a JOIN w b ON (a.j = b.j AND abs(a.i - b.i) = 1) OR (a.i = b.i AND abs(a.j - b.j) = 1)),
+bf(id, d) AS (SELECT id, 0 FROM sd UNION SELECT y, d + 1 FROM bf JOIN nb ON x = id WHERE d < 5),
+ds AS MATERIALIZED (SELECT id, min(d) AS d FROM bf GROUP BY id),
+lv(d, id, pos, scale) AS (SELECT 0, id, pos, scale FROM sd UNION ALL SELECT lv.d + 1, y, min(pos || look), arg_min(scale, pos || look) FROM lv JOIN nb ON nb.x = lv.id JOIN ds ON ds.id = nb.y AND ds.d = lv.d + 1 GROUP BY lv.d, y),
+tg AS (SELECT c.j, c.i, c.depth, CASE WHEN scale IS NOT NULL THEN greatest(2.0::DOUBLE, c.depth * ((1 + cos(pi() * d / 5)) / 2 * scale + 1 - (1 + cos(pi() * d / 5)) / 2)) END AS target FROM c LEFT JOIN lv ON lv.id = c.id)
+SELECT j, i, {e6('CASE WHEN abs(target - depth) >= 1e-6 THEN target ELSE depth END', 'depth')}, coalesce(target - depth >= 1e-6, false) AS pinned FROM tg""", True)
 def nudge_apply(s, d):
     return r6(boundary.nudge(fixture.coarse(s, d), _outer(s, d), 0.1, 0.1, 5), "depth").select("j", "i", "depth", "pinned")
 
@@ -605,12 +616,28 @@ def cross_sections(s, d):
     return r6(morphology.sections(smp), "width_m", "area_m2").select("seq", "width_m", "area_m2")
 
 
-@query("morphology")
+_RAYS = f"""w AS (SELECT CASE WHEN range < 8 THEN 'main' ELSE 'side' END AS branch, CAST(range AS INT) AS seq, 0.15::DOUBLE + range * 0.031::DOUBLE AS lon, 50.2::DOUBLE + range * 0.043::DOUBLE AS lat FROM range(14)),
+l AS (SELECT *, lag(lon) OVER q AS lon0, lag(lat) OVER q AS lat0, lead(lon) OVER q AS lon1, lead(lat) OVER q AS lat1 FROM w WINDOW q AS (PARTITION BY branch ORDER BY seq)),
+az AS (SELECT *, coalesce(lon0, lon) AS xa, coalesce(lat0, lat) AS ya, coalesce(lon1, lon) AS xb, coalesce(lat1, lat) AS yb, coalesce({_HAV.format(lat0='lat0', lon0='lon0', lat1='lat', lon1='lon')}, 0) AS back, coalesce({_HAV.format(lat0='lat', lon0='lon', lat1='lat1', lon1='lon1')}, 0) AS onward FROM l),
+sta AS (SELECT branch, seq, radians(lon) AS x, radians(lat) AS y, (back + onward) / 2 AS dx_m, sum(back) OVER (PARTITION BY branch ORDER BY seq) AS s_m, atan2(sin(radians(xb - xa)) * cos(radians(yb)), cos(radians(ya)) * sin(radians(yb)) - sin(radians(ya)) * cos(radians(yb)) * cos(radians(xb - xa))) AS azimuth FROM az),
+ry AS (SELECT branch, seq, side, k, x, y, azimuth + side * radians(90::DOUBLE) AS b, k * 500.0::DOUBLE / 6371000 AS a, asin(least(1, greatest(-1, sin(y) * cos(k * 500.0::DOUBLE / 6371000) + cos(y) * sin(k * 500.0::DOUBLE / 6371000) * cos(azimuth + side * radians(90::DOUBLE))))) AS t
+ FROM sta, (SELECT unnest([-1, 1]) AS side), (SELECT range AS k FROM range(15)) WHERE k > 0 OR side = 1),
+pt AS MATERIALIZED (SELECT branch, seq, side, k, degrees(t) AS lat, degrees(x + atan2(sin(b) * sin(a) * cos(y), cos(a) - sin(y) * sin(t))) AS lon FROM ry),
+sc AS (SELECT cos(radians(avg(lat))) AS s FROM f),
+nf AS (SELECT branch, seq, side, k, min_by(f.j * 96 + f.i, (pow((f.lon - pt.lon) * s, 2) + pow(f.lat - pt.lat, 2), f.j, f.i)) AS id FROM pt JOIN f ON abs(f.lat - pt.lat) <= 0.03 AND abs(f.lon - pt.lon) <= 0.06 JOIN sc ON pow((f.lon - pt.lon) * s, 2) + pow(f.lat - pt.lat, 2) <= 0.0009 GROUP BY ALL),
+dp AS (SELECT pt.*, f.depth FROM pt LEFT JOIN nf USING (branch, seq, side, k) LEFT JOIN f ON f.j * 96 + f.i = nf.id),
+kp AS (SELECT branch, seq, side * k * 500.0::DOUBLE AS offs, greatest(coalesce(depth, 0), 0) AS depth FROM dp QUALIFY sum(CASE WHEN depth IS NULL AND k > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY branch, seq, side ORDER BY k) = 0),
+tz AS (SELECT *, (depth + lag(depth) OVER o) / 2 * (offs - lag(offs) OVER o) AS part FROM kp WINDOW o AS (PARTITION BY branch, seq ORDER BY offs)),
+ar AS (SELECT branch, seq, sum(coalesce(part, 0)) AS area_m2 FROM tz GROUP BY branch, seq),
+vo AS (SELECT sta.branch, sta.seq, s_m, area_m2, coalesce(area_m2 * dx_m, 0) AS volume_m3 FROM sta LEFT JOIN ar USING (branch, seq))"""
+
+
+@query("morphology", f"{_RAYS} SELECT branch, seq, {e6('s_m', 's_m')}, {e6('area_m2', 'area_m2')}, {e6('volume_m3', 'volume_m3')}, {e6('sum(volume_m3) OVER (PARTITION BY branch ORDER BY seq)', 'cumvol_m3')} FROM vo")
 def compute_morphology(s, d):
     return r6(morphology.compute(_channel(s, d), fixture.fine(s, d), 500.0, 6000.0, 0.03), "volume_m3", "cumvol_m3", "area_m2", "s_m").select("branch", "seq", "s_m", "area_m2", "volume_m3", "cumvol_m3")
 
 
-@query("branch_volumes")
+@query("branch_volumes", f"{_RAYS} SELECT branch, count(*) AS n_stations, {e6('sum(volume_m3)', 'volume_m3')}, {e6('max(s_m)', 'length_m')} FROM vo GROUP BY branch")
 def branch_volumes(s, d):
     return r6(morphology.branch_volumes(morphology.compute(_channel(s, d), fixture.fine(s, d), 500.0, 6000.0, 0.03)), "volume_m3", "length_m")
 

@@ -17,7 +17,8 @@ def _around(cells: DataFrame, steps: list[tuple[int, int]], *keep: str) -> DataF
 
 
 def labelled(cells: DataFrame) -> DataFrame:
-    """cells with label: the smallest id of a wet cell's basin, null on land."""
+    """cells with label: the smallest id of a wet cell's basin, null on land; an earlier label goes."""
+    cells = cells.drop("label")
     wet = graph.label_cells(cells.where("mask = 1").select("j", "i", "id")).select("j", "i", "label")
     return cells.join(wet, ["j", "i"], "left")
 

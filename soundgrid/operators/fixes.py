@@ -139,29 +139,76 @@ def number_keys(records: DataFrame) -> DataFrame:
     return records.withColumn("key", F.concat(prefix[F.col("category")], F.lpad(n.cast("string"), 3, "0")))
 
 
+def suggested(straits: DataFrame, bridges: DataFrame) -> DataFrame:
+    """key, category, ord, lon, lat, action, value, comment: what straits (found by straits.find, in the order of ord) and land bridges (j, i, lon, lat, ord, wet_fraction, n_components, estimated_depth) ask for."""
+    c = F.col("category")
+    value = F.when(c == "AREA_DEFICIT", F.bround(F.col("sill_fine") * 0.9, 1)).otherwise(F.col("sill_fine"))
+    why = F.when(c == "BLOCKED", "no wet path in the raster").when(c == "SILL_DEFICIT", F.format_string("sill ratio %.2f", "sill_ratio")).otherwise(F.format_string("area ratio %.2f", "area_ratio"))
+    narrow = straits.where(c.isin("BLOCKED", "SILL_DEFICIT", "AREA_DEFICIT")).select("category", "ord", "lon", "lat", F.when(c == "BLOCKED", "open_cell").otherwise("set_depth").alias("action"), value.alias("value"), why.alias("why"))
+    joined = F.format_string("wet fraction %.2f, joins %d basins", "wet_fraction", "n_components")
+    land = bridges.select(F.lit("LAND_BRIDGE").alias("category"), "ord", "lon", "lat", F.lit("open_cell").alias("action"), F.col("estimated_depth").alias("value"), joined.alias("why"))
+    both = number_keys(narrow.unionByName(land))
+    return both.select("key", "category", "ord", "lon", "lat", "action", "value", F.concat_ws(": ", "category", "why").alias("comment"))
+
+
+def matched(old: DataFrame, new: DataFrame, tolerance: float = 0.05) -> DataFrame:
+    """o, n: places (ord, lon, lat) of old fixes and the new ones that they take, as if each old one in turn took the nearest that is left, closer than the tolerance (sum of both differences; the first on ties).
+
+    Pairs within the tolerance meet in bins. In a round, an old fix takes its nearest if no earlier one can still ask for
+    it; both then leave. The earliest one left can always take, so it ends; rounds are as many as the longest chain of
+    fixes that wait for each other.
+    """
+    bins = lambda c: F.floor(F.col(c) / tolerance)
+    around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
+    o = old.select(F.col("ord").alias("o"), F.col("lon").alias("x"), F.col("lat").alias("y"), around.alias("s"), bins("lon").alias("bx"), bins("lat").alias("by")).select("o", "x", "y", (F.col("bx") + F.col("s.a")).alias("bx"), (F.col("by") + F.col("s.b")).alias("by"))
+    n = new.select(F.col("ord").alias("n"), "lon", "lat", bins("lon").alias("bx"), bins("lat").alias("by"))
+    d = F.abs(F.col("x") - F.col("lon")) + F.abs(F.col("y") - F.col("lat"))
+    left, out = written(o.join(n, ["bx", "by"]).select("o", "n", d.alias("d")).where(F.col("d") < tolerance), "fix-pairs"), None
+    while not left.isEmpty():
+        best = left.groupBy("o").agg(F.min(F.struct("d", "n")).alias("m")).select("o", F.col("m.n").alias("n"))
+        first = left.groupBy("n").agg(F.min("o").alias("o"))
+        taken = written(best.join(first, ["o", "n"]).select("o", "n"), "fix-matches")
+        out = taken if out is None else out.unionByName(taken)
+        rest = written(left.join(taken.select("o"), "o", "left_anti").join(taken.select("n"), "n", "left_anti").select("o", "n", "d"), "fix-pairs")
+        remove(left)
+        left = rest
+    return out if out is not None else left.select("o", "n")
+
+
 def merge(old: DataFrame, new: DataFrame, tolerance: float = 0.05) -> DataFrame:
-    """Upsert of fixes (key, ord, lon, lat, action, value, applied): key, lon, lat, action, value, applied, ord.
+    """Upsert of fixes (key, ord, lon, lat, action, value, applied, comment): key, lon, lat, action, value, applied, comment, ord.
 
-    Old fixes take, in their order, the nearest unused new one closer than the tolerance (sum of both differences) and
-    keep key and applied; unmatched old ones stay if applied; unmatched new ones are added under free keys. The lists
-    are edited by hand, so the order-dependent matching is done on the driver.
+    A matched old fix keeps key, place in the list and applied, and takes the rest from the new one. An unmatched old one
+    stays if it is applied. Unmatched new ones follow; one whose key is taken is numbered after the largest of its prefix.
+    """
+    what = ["lon", "lat", "action", "value", "comment"]
+    pairs = written(matched(old, new, tolerance), "matches")
+    both = old.select(F.col("ord").alias("o"), "key", "applied").join(pairs, "o").join(new.select(F.col("ord").alias("n"), *what), "n")
+    alone = old.withColumnRenamed("ord", "o").join(pairs, "o", "left_anti").where("applied")
+    kept = written(both.select("key", "o", *what, "applied").unionByName(alone.select("key", "o", *what, "applied")), "kept-fixes")
+    fresh = new.withColumnRenamed("ord", "n").join(pairs, "n", "left_anti")
+    split = r"^(.*?)(\d*)$"
+    prefix, number = (lambda c: F.regexp_extract(c, split, 1)), (lambda c: F.coalesce(F.regexp_extract(c, split, 2).try_cast("long"), F.lit(0)))
+    top = kept.select("key").unionByName(fresh.select("key")).groupBy(prefix("key").alias("prefix")).agg(F.max(number("key")).alias("top"))
+    fresh = fresh.join(kept.select("key", F.lit(True).alias("taken")), "key", "left").withColumn("prefix", prefix("key")).join(top, "prefix")
+    n = F.row_number().over(Window.partitionBy("prefix", F.col("taken").isNull()).orderBy("n"))
+    numbered = F.concat("prefix", F.lpad((F.col("top") + n).cast("string"), 3, "0"))
+    fresh = fresh.withColumn("number", numbered).select(F.when(F.col("taken").isNull(), F.col("key")).otherwise(F.col("number")).alias("key"), "n", *what, F.lit(False).alias("applied"))
+    listed = kept.withColumns({"late": F.lit(0), "at": F.col("o").cast("long")}).drop("o").unionByName(fresh.withColumns({"late": F.lit(1), "at": F.col("n").cast("long")}).drop("n"))
+    return listed.withColumn("ord", (F.row_number().over(Window.orderBy("late", "at")) - 1).cast("int")).select("key", *what[:4], "applied", "comment", "ord")
+
+
+def merge_groups(old: DataFrame, new: DataFrame, tolerance: float = 0.05) -> DataFrame:
+    """grp, ord, lon, lat, action, value, applied, comment of groups of fixes (tw_*, phantom_islands), old and new.
+
+    A group that is found anew keeps only its applied flag; of the phantom islands, cells found again also keep the
+    action, which may have been edited. A group that isn't found again stays as it is.
     """
-    spark, kind = old.sparkSession, "key string, lon double, lat double, action string, value double, applied boolean, ord int"
-    fresh, used, out = new.orderBy("ord").collect(), set(), []
-    for o in old.orderBy("ord").collect():
-        near = sorted((abs(o.lon - n.lon) + abs(o.lat - n.lat), k) for k, n in enumerate(fresh) if k not in used)
-        if near and near[0][0] < tolerance:
-            k = near[0][1]
-            used.add(k)
-            out.append((o.key, fresh[k].lon, fresh[k].lat, fresh[k].action, fresh[k].value, o.applied))
-        elif o.applied:
-            out.append((o.key, o.lon, o.lat, o.action, o.value, o.applied))
-    taken = {x[0] for x in out}
-    for k, n in enumerate(fresh):
-        if k not in used:
-            key = n.key
-            while key in taken:
-                key = f"{key.rstrip('0123456789')}{int(key[len(key.rstrip('0123456789')):] or 0) + 1:03d}"
-            taken.add(key)
-            out.append((key, n.lon, n.lat, n.action, n.value, False))
-    return spark.createDataFrame([(*x, k) for k, x in enumerate(out)], kind)
+    columns = ["grp", "ord", "lon", "lat", "action", "value", "applied", "comment"]
+    flags = old.groupBy("grp").agg(F.max("applied").alias("was"))
+    again = new.join(flags, "grp", "left").withColumn("applied", F.coalesce("was", F.lit(False)))
+    islands = F.col("grp") == "phantom_islands"
+    pairs = matched(old.where(islands), new.where(islands), tolerance)
+    edited = old.where(islands).select(F.col("ord").alias("o"), F.col("action").alias("edited")).join(pairs, "o").select(F.lit("phantom_islands").alias("grp"), F.col("n").alias("ord"), "edited")
+    again = again.join(edited, ["grp", "ord"], "left").withColumn("action", F.coalesce("edited", "action")).select(columns)
+    return again.unionByName(old.join(new.select("grp").distinct(), "grp", "left_anti").select(columns))

@@ -52,7 +52,7 @@ def fix_merge(s, d):
 @query(
     "fix_suggestions",
     f"""{_STRAITS}, sg AS (SELECT category, row_number() OVER (ORDER BY direction, j, i) AS ord, lon, lat, CASE WHEN category = 'BLOCKED' THEN 'open_cell' ELSE 'set_depth' END AS action, CASE WHEN category = 'AREA_DEFICIT' THEN round_even(sill_fine * 0.9, 1) ELSE sill_fine END AS value,
-  CASE WHEN category = 'BLOCKED' THEN 'no wet path in the raster' WHEN category = 'SILL_DEFICIT' THEN printf('sill ratio %.2f', sill_ratio) ELSE printf('area ratio %.2f', area_ratio) END AS why FROM st WHERE category <> 'OK')
+  CASE WHEN category = 'BLOCKED' THEN 'no wet path in the raster' WHEN category = 'SILL_DEFICIT' THEN printf('sill ratio %.2f', round_even(sill_ratio, 2)) ELSE printf('area ratio %.2f', round_even(area_ratio, 2)) END AS why FROM st WHERE category <> 'OK')
 SELECT CASE category WHEN 'BLOCKED' THEN 'b' WHEN 'SILL_DEFICIT' THEN 's' ELSE 'a' END || lpad(CAST(row_number() OVER (PARTITION BY category ORDER BY ord) AS VARCHAR), 3, '0') AS key, category, {e6('lon', 'lon')}, {e6('lat', 'lat')}, action, CAST(value AS DOUBLE) AS value, category || ': ' || why AS comment FROM sg""",
     True,
 )

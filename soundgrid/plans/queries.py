@@ -132,13 +132,21 @@ def cgrid_faces(s, d):
 GRID_COLUMNS = ["lon", "lat", "lon00", "lat00", "lon11", "lat11"]
 
 
-def _grid_sql(nx: int, ny: int, lon: str, lat: str) -> str:
-    """lon, lat: expressions of the corner's column x and row y."""
+#: Generated grids get finer with the customers: k doublings of nothing, but k times as many cells along each side.
+KK = "kk AS (SELECT greatest(1, count(*) // 375) AS k FROM customer)"
+
+
+def finer(s: SparkSession, d: str) -> int:
+    return max(1, s.read.parquet(f"{d}/customer.parquet").count() // 375)
+
+
+def _grid_sql(nx: str, ny: str, lon: str, lat: str) -> str:
+    """nx, ny: expressions of k; lon, lat: expressions of the corner's column x and row y, and k."""
     at = lambda e, a, b: "(" + e.replace("{x}", f"(i + {b})").replace("{y}", f"(j + {a})") + ")"
     mean = lambda e: " + ".join(at(e, a, b) for a in (0, 1) for b in (0, 1))
     return (
-        f"SELECT CAST(j AS INT) AS j, CAST(i AS INT) AS i, {e6(f'({mean(lon)}) / 4', 'lon')}, {e6(f'({mean(lat)}) / 4', 'lat')}, {e6(at(lon, 0, 0), 'lon00')}, {e6(at(lat, 0, 0), 'lat00')}, {e6(at(lon, 1, 1), 'lon11')}, {e6(at(lat, 1, 1), 'lat11')} "
-        f"FROM (SELECT b.range AS j, a.range AS i FROM range({nx}) a CROSS JOIN range({ny}) b)"
+        f"{KK} SELECT CAST(j AS INT) AS j, CAST(i AS INT) AS i, {e6(f'({mean(lon)}) / 4', 'lon')}, {e6(f'({mean(lat)}) / 4', 'lat')}, {e6(at(lon, 0, 0), 'lon00')}, {e6(at(lat, 0, 0), 'lat00')}, {e6(at(lon, 1, 1), 'lon11')}, {e6(at(lat, 1, 1), 'lat11')} "
+        f"FROM (SELECT unnest(range(CAST({nx} AS BIGINT))) AS i, k FROM kk) CROSS JOIN (SELECT unnest(range(CAST({ny} AS BIGINT))) AS j FROM kk)"
     )
 
 
@@ -146,43 +154,43 @@ def _grid(df: DataFrame) -> DataFrame:
     return r6(df, *GRID_COLUMNS).select("j", "i", *GRID_COLUMNS)
 
 
-@query("grid_spherical_t", _grid_sql(21, 17, "-1.05::DOUBLE + {x} * 0.1::DOUBLE", "49.95::DOUBLE + {y} * 0.1::DOUBLE"))
+@query("grid_spherical_t", _grid_sql("5 * k + 1", "4 * k + 1", "-1 + ({x} - 0.5::DOUBLE) * (0.4::DOUBLE / k)", "50 + ({y} - 0.5::DOUBLE) * (0.4::DOUBLE / k)"))
 def grid_spherical_t(s, d):
-    return _grid(grids.spherical(s, -1, 1, 50, 51.6, 0.1, 0.1))
+    return _grid(grids.spherical(s, -1, 1, 50, 51.6, 0.4 / finer(s, d), 0.4 / finer(s, d)))
 
 
-@query("grid_spherical_interfaces", _grid_sql(20, 16, "-1::DOUBLE + {x} * 0.1::DOUBLE", "50::DOUBLE + {y} * 0.1::DOUBLE"))
+@query("grid_spherical_interfaces", _grid_sql("5 * k", "4 * k", "-1 + {x} * (0.4::DOUBLE / k)", "50 + {y} * (0.4::DOUBLE / k)"))
 def grid_spherical_interfaces(s, d):
-    return _grid(grids.spherical(s, -1, 1, 50, 51.6, 0.1, 0.1, interfaces=True))
+    return _grid(grids.spherical(s, -1, 1, 50, 51.6, 0.4 / finer(s, d), 0.4 / finer(s, d), interfaces=True))
 
 
-_RX, _RY = "((-1.05::DOUBLE + {x} * 0.1::DOUBLE) * cos(radians(50.8::DOUBLE)))", "(49.95::DOUBLE + {y} * 0.1::DOUBLE - 50.8)"
+_RX, _RY = "((-1 + ({x} - 0.5::DOUBLE) * (0.4::DOUBLE / k)) * cos(radians(50.8::DOUBLE)))", "((50 + ({y} - 0.5::DOUBLE) * (0.4::DOUBLE / k)) - 50.8::DOUBLE)"
 
 
-@query("grid_rotated", _grid_sql(21, 17, f"({_RX} * cos(radians(20::DOUBLE)) - {_RY} * sin(radians(20::DOUBLE))) / cos(radians(50.8::DOUBLE))", f"50.8::DOUBLE + {_RX} * sin(radians(20::DOUBLE)) + {_RY} * cos(radians(20::DOUBLE))"))
+@query("grid_rotated", _grid_sql("5 * k + 1", "4 * k + 1", f"({_RX} * cos(radians(20::DOUBLE)) - {_RY} * sin(radians(20::DOUBLE))) / cos(radians(50.8::DOUBLE))", f"50.8::DOUBLE + {_RX} * sin(radians(20::DOUBLE)) + {_RY} * cos(radians(20::DOUBLE))"))
 def grid_rotated(s, d):
-    return _grid(grids.spherical(s, -1, 1, 50, 51.6, 0.1, 0.1, rotation=20))
+    return _grid(grids.spherical(s, -1, 1, 50, 51.6, 0.4 / finer(s, d), 0.4 / finer(s, d), rotation=20))
 
 
-@query("grid_cartesian", _grid_sql(10, 8, "500::DOUBLE + ({x} * 100 - 500) * cos(radians(30::DOUBLE)) - ({y} * 50 - 200) * sin(radians(30::DOUBLE))", "200::DOUBLE + ({x} * 100 - 500) * sin(radians(30::DOUBLE)) + ({y} * 50 - 200) * cos(radians(30::DOUBLE))"))
+@query("grid_cartesian", _grid_sql("2 * k", "2 * k", "500::DOUBLE + ({x} * 500.0::DOUBLE / k - 500) * cos(radians(30::DOUBLE)) - ({y} * 200.0::DOUBLE / k - 200) * sin(radians(30::DOUBLE))", "200::DOUBLE + ({x} * 500.0::DOUBLE / k - 500) * sin(radians(30::DOUBLE)) + ({y} * 200.0::DOUBLE / k - 200) * cos(radians(30::DOUBLE))"))
 def grid_cartesian(s, d):
-    return _grid(grids.cartesian(s, 0, 1000, 0, 400, 100, 50, rotation=30))
+    return _grid(grids.cartesian(s, 0, 1000, 0, 400, 500 / finer(s, d), 200 / finer(s, d), rotation=30))
 
 
-_T, _P = "radians(-2::DOUBLE + {x} * 0.25::DOUBLE)", "radians(-1.5::DOUBLE + {y} * 0.25::DOUBLE)"
+_T, _P = "radians(-2 + {x} * 1.0::DOUBLE / k)", "radians(-1.5::DOUBLE + {y} * 1.0::DOUBLE / k)"
 _PL = "radians(35::DOUBLE)"
 _PLAT = f"degrees(asin(greatest(-1, least(1, sin({_P}) * sin({_PL}) + cos({_P}) * cos({_T}) * cos({_PL})))))"
 _PLON = f"degrees(atan2(cos({_P}) * sin({_T}), sin({_PL}) * cos({_P}) * cos({_T}) - cos({_PL}) * sin({_P}))) - 178 + 180"
 
 
-@query("grid_rotated_pole", _grid_sql(16, 12, _PLON, _PLAT))
+@query("grid_rotated_pole", _grid_sql("4 * k", "3 * k", _PLON, _PLAT))
 def grid_rotated_pole(s, d):
-    return _grid(grids.rotated_pole(s, *geo.pole_from_center(2, 55), -2, 2, -1.5, 1.5, 0.25))
+    return _grid(grids.rotated_pole(s, *geo.pole_from_center(2, 55), -2, 2, -1.5, 1.5, 1.0 / finer(s, d)))
 
 
-@query("axis_angle", "SELECT CAST(b.range AS INT) AS j, CAST(a.range AS INT) AS i, round_even(CASE WHEN true THEN degrees(atan2(0.1::DOUBLE * cos(radians(50.8::DOUBLE)) * sin(radians(20::DOUBLE)), 0.1::DOUBLE * cos(radians(20::DOUBLE)) * cos(radians(50.8::DOUBLE + ((-1::DOUBLE + a.range * 0.1::DOUBLE) * cos(radians(50.8::DOUBLE))) * sin(radians(20::DOUBLE)) + (b.range * 0.1::DOUBLE - 0.8::DOUBLE) * cos(radians(20::DOUBLE)))))) END, 6) AS angle FROM range(21) a CROSS JOIN range(17) b")
+@query("axis_angle", f"{KK} SELECT CAST(j AS INT) AS j, CAST(i AS INT) AS i, {e6('degrees(atan2((0.4::DOUBLE / k) * cos(radians(50.8::DOUBLE)) * sin(radians(20::DOUBLE)), (0.4::DOUBLE / k) * cos(radians(20::DOUBLE)) * cos(radians(50.8::DOUBLE + (-1 + i * (0.4::DOUBLE / k)) * cos(radians(50.8::DOUBLE)) * sin(radians(20::DOUBLE)) + (j * (0.4::DOUBLE / k) - 0.8::DOUBLE) * cos(radians(20::DOUBLE))))))', 'angle')} FROM (SELECT unnest(range(5 * k + 1)) AS i, k FROM kk) CROSS JOIN (SELECT unnest(range(4 * k + 1)) AS j FROM kk)")
 def axis_angle(s, d):
-    return r6(grids.axis_angle(grids.spherical(s, -1, 1, 50, 51.6, 0.1, 0.1, rotation=20)), "angle").select("j", "i", "angle")
+    return r6(grids.axis_angle(grids.spherical(s, -1, 1, 50, 51.6, 0.4 / finer(s, d), 0.4 / finer(s, d), rotation=20)), "angle").select("j", "i", "angle")
 
 
 @query("cell_sizes", f"l AS (SELECT j, i, lon, lat, lag(lon) OVER a AS lw, lead(lon) OVER a AS le, lag(lat) OVER b AS ls, lead(lat) OVER b AS ln FROM c WINDOW a AS (PARTITION BY j ORDER BY i), b AS (PARTITION BY i ORDER BY j)) SELECT j, i, {e6('abs(CASE WHEN lw IS NULL THEN le - lon WHEN le IS NULL THEN lon - lw ELSE (le - lw) / 2 END)', 'dlon')}, {e6('abs(CASE WHEN ls IS NULL THEN ln - lat WHEN ln IS NULL THEN lat - ls ELSE (ln - ls) / 2 END)', 'dlat')} FROM l")
@@ -190,10 +198,12 @@ def cell_sizes(s, d):
     return r6(grids.cell_sizes(fixture.coarse(s, d)), "dlon", "dlat").select("j", "i", "dlon", "dlat")
 
 
-@query("supergrid_split", f"SELECT CAST(sj // 2 AS INT) AS j, CAST(si // 2 AS INT) AS i, CASE WHEN sj % 2 = 1 AND si % 2 = 1 THEN 'T' WHEN sj % 2 = 1 THEN 'U' WHEN si % 2 = 1 THEN 'V' ELSE 'Q' END AS kind, {e6('0.05::DOUBLE * si', 'lon')}, {e6('50 + 0.05::DOUBLE * sj', 'lat')} FROM (SELECT a.range AS sj, b.range AS si FROM range(49) a CROSS JOIN range(33) b)")
+@query("supergrid_split", f"{KK} SELECT CAST(sj // 2 AS INT) AS j, CAST(si // 2 AS INT) AS i, CASE WHEN sj % 2 = 1 AND si % 2 = 1 THEN 'T' WHEN sj % 2 = 1 THEN 'U' WHEN si % 2 = 1 THEN 'V' ELSE 'Q' END AS kind, {e6('0.2::DOUBLE / k * si', 'lon')}, {e6('50 + 0.2::DOUBLE / k * sj', 'lat')} FROM (SELECT unnest(range(12 * k + 1)) AS sj, k FROM kk) CROSS JOIN (SELECT unnest(range(8 * k + 1)) AS si FROM kk)")
 def supergrid_split(s, d):
-    pts = s.range(49 * 33).select(F.expr("cast(id div 33 as int)").alias("sj"), F.expr("cast(id % 33 as int)").alias("si"))
-    return r6(grids.supergrid(pts.withColumns({"lon": F.col("si") * 0.05, "lat": 50 + F.col("sj") * 0.05})), "lon", "lat")
+    k = finer(s, d)
+    nx = 8 * k + 1
+    pts = s.range((12 * k + 1) * nx).select(F.expr(f"cast(id div {nx} as int)").alias("sj"), F.expr(f"cast(id % {nx} as int)").alias("si"))
+    return r6(grids.supergrid(pts.withColumns({"lon": F.col("si") * (0.2 / k), "lat": 50 + F.col("sj") * (0.2 / k)})), "lon", "lat")
 
 
 # --- joins in space
@@ -600,10 +610,11 @@ def taper(s, d):
 
 
 def _channel(s: SparkSession, d: str) -> DataFrame:
-    return s.range(14).select(F.when(F.col("id") < 8, "main").otherwise("side").alias("branch"), F.col("id").cast("int").alias("seq"), (0.15 + F.col("id") * 0.031).alias("lon"), (50.2 + F.col("id") * 0.043).alias("lat"))
+    n = 14 + s.read.parquet(f"{d}/supplier.parquet").count() // 100
+    return s.range(n).select(F.when(F.col("id") < 8, "main").otherwise("side").alias("branch"), F.col("id").cast("int").alias("seq"), (0.15 + F.col("id") * 0.031).alias("lon"), (50.2 + F.col("id") * 0.043).alias("lat"))
 
 
-@query("stations", f"""w AS (SELECT CASE WHEN range < 8 THEN 'main' ELSE 'side' END AS branch, CAST(range AS INT) AS seq, 0.15::DOUBLE + range * 0.031::DOUBLE AS lon, 50.2::DOUBLE + range * 0.043::DOUBLE AS lat FROM range(14)),
+@query("stations", f"""w AS (SELECT CASE WHEN range < 8 THEN 'main' ELSE 'side' END AS branch, CAST(range AS INT) AS seq, 0.15::DOUBLE + range * 0.031::DOUBLE AS lon, 50.2::DOUBLE + range * 0.043::DOUBLE AS lat FROM (SELECT unnest(range(14 + count(*) // 100)) AS range FROM supplier)),
 l AS (SELECT *, lag(lon) OVER q AS lon0, lag(lat) OVER q AS lat0 FROM w WINDOW q AS (PARTITION BY branch ORDER BY seq)), h AS (SELECT branch, seq, coalesce({_HAV.format(lat0='lat0', lon0='lon0', lat1='lat', lon1='lon')}, 0) AS back FROM l)
 SELECT branch, seq, {e6('sum(back) OVER q', 's_m')}, {e6('(back + coalesce(lead(back) OVER q, 0)) / 2', 'dx_m')} FROM h WINDOW q AS (PARTITION BY branch ORDER BY seq)""")
 def stations(s, d):
@@ -616,7 +627,7 @@ def cross_sections(s, d):
     return r6(morphology.sections(smp), "width_m", "area_m2").select("seq", "width_m", "area_m2")
 
 
-_RAYS = f"""w AS (SELECT CASE WHEN range < 8 THEN 'main' ELSE 'side' END AS branch, CAST(range AS INT) AS seq, 0.15::DOUBLE + range * 0.031::DOUBLE AS lon, 50.2::DOUBLE + range * 0.043::DOUBLE AS lat FROM range(14)),
+_RAYS = f"""w AS (SELECT CASE WHEN range < 8 THEN 'main' ELSE 'side' END AS branch, CAST(range AS INT) AS seq, 0.15::DOUBLE + range * 0.031::DOUBLE AS lon, 50.2::DOUBLE + range * 0.043::DOUBLE AS lat FROM (SELECT unnest(range(14 + count(*) // 100)) AS range FROM supplier)),
 l AS (SELECT *, lag(lon) OVER q AS lon0, lag(lat) OVER q AS lat0, lead(lon) OVER q AS lon1, lead(lat) OVER q AS lat1 FROM w WINDOW q AS (PARTITION BY branch ORDER BY seq)),
 az AS (SELECT *, coalesce(lon0, lon) AS xa, coalesce(lat0, lat) AS ya, coalesce(lon1, lon) AS xb, coalesce(lat1, lat) AS yb, coalesce({_HAV.format(lat0='lat0', lon0='lon0', lat1='lat', lon1='lon')}, 0) AS back, coalesce({_HAV.format(lat0='lat', lon0='lon', lat1='lat1', lon1='lon1')}, 0) AS onward FROM l),
 sta AS (SELECT branch, seq, radians(lon) AS x, radians(lat) AS y, (back + onward) / 2 AS dx_m, sum(back) OVER (PARTITION BY branch ORDER BY seq) AS s_m, atan2(sin(radians(xb - xa)) * cos(radians(yb)), cos(radians(ya)) * sin(radians(yb)) - sin(radians(ya)) * cos(radians(yb)) * cos(radians(xb - xa))) AS azimuth FROM az),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..operators import basins, boundary, fixes, grids, morphology, smooth, thalweg
 from ..sources import fixture
-from .queries import D2, PATHS, POLYGON, PROFILE, PTS, REGIONS, _fixes, e6, paths, query, r6, suppliers
+from .queries import D2, KK, PATHS, POLYGON, PROFILE, PTS, REGIONS, _fixes, e6, finer, paths, query, r6, suppliers
 
 # --- corrections
 
@@ -92,9 +92,9 @@ def vector_rotation(s, d):
     return r6(suppliers(s, d).select("pid", u.alias("u"), v.alias("v")), "u", "v")
 
 
-@query("grid_built", f"g0 AS (SELECT round(0.5 / cos(radians(52.0)), 6) AS dlon), n AS (SELECT dlon, CAST(round(4.0 / dlon) AS INT) + 1 AS nx FROM g0) SELECT CAST(y.range AS INT) AS j, CAST(x.range AS INT) AS i, {e6('x.range * dlon', 'lon')}, {e6('50 + y.range * 0.5', 'lat')} FROM n CROSS JOIN range(0, 9) y CROSS JOIN range(0, 100) x WHERE x.range < nx")
+@query("grid_built", f"{KK}, g0 AS (SELECT k, 2.0::DOUBLE / k AS dlat, round(2.0::DOUBLE / k / cos(radians(52.0)), 6) AS dlon FROM kk), n AS (SELECT k, dlat, dlon, CAST(round(4.0 / dlon) AS INT) + 1 AS nx FROM g0), x AS (SELECT unnest(range(nx)) AS i, dlon FROM n), y AS (SELECT unnest(range(2 * k + 1)) AS j, dlat FROM n) SELECT CAST(j AS INT) AS j, CAST(i AS INT) AS i, {e6('i * dlon', 'lon')}, {e6('50 + j * dlat', 'lat')} FROM x CROSS JOIN y")
 def grid_built(s, d):
-    grid = grids.build(s, {"type": "spherical", "lon_min": 0.0, "lon_max": 4.0, "lat_min": 50.0, "lat_max": 54.0, "dlat": 0.5})
+    grid = grids.build(s, {"type": "spherical", "lon_min": 0.0, "lon_max": 4.0, "lat_min": 50.0, "lat_max": 54.0, "dlat": 2.0 / finer(s, d)})
     return r6(grid.select("j", "i", "lon", "lat"), "lon", "lat")
 
 

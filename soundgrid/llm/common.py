@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import zstandard
@@ -53,6 +54,18 @@ def remove(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 256) -> Iterator[None]:
+    """While it lasts, Arrow batches of what is run have so many rows at most: for rows of large binary values."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def text_of(df: DataFrame) -> DataFrame:
     """doc_id and text (null: empty), whatever other columns there are."""
     return df.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, arrow_rows, mixed, remove, text_of, written
+from .common import WordHashes, arrow_rows, mixed, remove, small_batches, text_of, written
 from .graph import components
 
 REGISTERS, MANTISSA = 256, 10
@@ -165,9 +165,9 @@ def _sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     texts = text_of(docs).join(F.broadcast(wanted) if wanted.count() <= FEW_NODES else wanted, "doc_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             nodes, full = [], []
-            for node, key, text in arrow_rows([batch], "node", "key", "text"):
+            for node, key, text in arrow_rows([part], "node", "key", "text"):
                 h = shingles(text)
                 if xxhash.xxh3_128_digest(h.tobytes()) == key:  # a repeated doc_id may have other texts too
                     nodes.append(node)
@@ -198,7 +198,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int)
 
     for end in "ab":
         pairs = pairs.join(full.select(F.col("node").alias(end), F.col("full").alias(f"f{end}")), end)
-    out = written(pairs.where(check("fa", "fb")).select("a", "b"), "links")
+    with small_batches(docs.sparkSession):  # a row has two full sets
+        out = written(pairs.where(check("fa", "fb")).select("a", "b"), "links")
     remove(full)
     return out
 

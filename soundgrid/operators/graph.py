@@ -1,10 +1,7 @@
-"""Graphs over cell tables: components and articulation points."""
+"""Components of graphs over cell tables."""
 
 from __future__ import annotations
 
-import heapq
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,52 +61,3 @@ def label_runs(cells: DataFrame) -> DataFrame:
     edges = runs.join(below, "j").where("i0 <= k1 and k0 <= i1").select(F.col("id").alias("a"), "b")
     labels = runs.select("j", "run", "id").join(components(edges).withColumnRenamed("node", "id"), "id", "left").select("j", "run", F.coalesce("label", "id").alias("label"))
     return cells.join(labels, ["j", "run"]).drop("run")
-
-
-def articulation(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The cells j, i whose removal splits their four-neighbour component; none in components of under three cells."""
-    at = set(zip(pdf["j"], pdf["i"], strict=True))
-    order, low, found, clock = {}, {}, set(), 0
-    near = lambda c: [x for x in ((c[0] - 1, c[1]), (c[0] + 1, c[1]), (c[0], c[1] - 1), (c[0], c[1] + 1)) if x in at]
-    for root in sorted(at):
-        if root in order:
-            continue
-        stack, children = [(root, None, iter(near(root)))], 0
-        order[root] = low[root] = clock = clock + 1
-        while stack:
-            cell, parent, rest = stack[-1]
-            for other in rest:
-                if other not in order:
-                    order[other] = low[other] = clock = clock + 1
-                    children += cell == root
-                    stack.append((other, cell, iter(near(other))))
-                    break
-                if other != parent:
-                    low[cell] = min(low[cell], order[other])
-            else:
-                stack.pop()
-                if parent is not None:
-                    low[parent] = min(low[parent], low[cell])
-                    if parent != root and low[cell] >= order[parent]:
-                        found.add(parent)
-        if children > 1:
-            found.add(root)
-    return pd.DataFrame(sorted(found), columns=["j", "i"]).astype("int32")
-
-
-def articulation_points(cells: DataFrame) -> DataFrame:
-    """j, i of a coarse grid's articulation cells, component by component."""
-    return label_cells(cells).select("label", "j", "i").groupBy("label").applyInPandas(lambda pdf: articulation(pdf), "j int, i int")
-
-
-def cheapest(edges: dict, start: int) -> dict[int, float]:
-    """Least sums of weights from a node."""
-    done, heap = {}, [(0.0, start)]
-    while heap:
-        d, x = heapq.heappop(heap)
-        if x not in done:
-            done[x] = d
-            for y, w in edges.get(x, ()):
-                if y not in done:
-                    heapq.heappush(heap, (d + w, y))
-    return done

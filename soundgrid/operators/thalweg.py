@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..tables import written
-from . import basins, deepest, graph, spatial
+from . import basins, cuts, deepest, graph, spatial
 
 
 def snap(stops: DataFrame, fine: DataFrame) -> DataFrame:
@@ -101,29 +101,15 @@ def auto_corridors(cells: DataFrame, min_basin_cells: int = 20, min_length: int
 
     Articulation cells within merge steps of each other make a group; without a group the wet cells must fall into two
     or more components, all of min_basin_cells. The ends are the deepest cells of the two largest in the padded box.
-    A coarse grid has few groups; each is one pass over the mask.
     """
-    spark = cells.sparkSession
     wet = cells.where("mask = 1").select("j", "i", "id", "lon", "lat", "depth")
-    points = graph.articulation_points(wet)
-    near = basins.dilate(points, merge).withColumn("id", F.col("j") * 1_000_000 + F.col("i"))
-    groups = points.join(graph.label_cells(near).select("j", "i", "label"), ["j", "i"])
-    rows = []
-    for n, g in enumerate(groups.select("label").distinct().orderBy("label").collect()):
-        own = groups.where(F.col("label") == g.label).select("j", "i")
-        rest = graph.label_cells(wet.join(own, ["j", "i"], "left_anti"))
-        sizes = rest.groupBy("label").count().orderBy(F.desc("count"), "label").collect()
-        size = own.count()
-        if size < min_length or len(sizes) < 2 or min(s["count"] for s in sizes) < min_basin_cells:
-            continue
-        b = own.agg(F.min("j").alias("j0"), F.max("j").alias("j1"), F.min("i").alias("i0"), F.max("i").alias("i1")).first()
-        box = rest.where(F.col("j").between(b.j0 - margin, b.j1 + margin) & F.col("i").between(b.i0 - margin, b.i1 + margin))
-        ends = [box.where(F.col("label") == s.label).orderBy(F.desc("depth"), "j", "i").select("j", "i").first() for s in sizes[:2]]
-        if None in ends:
-            continue
-        centre = wet.join(own, ["j", "i"]).agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat")).first()
-        rows.append((n, size, round(centre.lon, 4), round(centre.lat, 4), *ends[0], *ends[1]))
-    return spark.createDataFrame(rows, "corridor int, n_cells int, lon double, lat double, begin_j int, begin_i int, end_j int, end_i int")
+    points = cuts.choke_points(wet)
+    near = basins.dilate(points, merge).withColumn("id", F.col("j").cast("long") * 1_000_000 + F.col("i"))
+    groups = written(points.join(graph.label_cells(near).select("j", "i", F.col("label").alias("g")), ["j", "i"]), "choke-groups")
+    number = F.row_number().over(Window.orderBy("g")) - 1
+    own = groups.join(wet, ["j", "i"]).groupBy("g").agg(F.count(F.lit(1)).alias("n_cells"), F.avg("lon").alias("lon"), F.avg("lat").alias("lat")).withColumn("corridor", number)
+    found = own.join(cuts.around(wet, groups, margin), "g").where((F.col("n_cells") >= min_length) & (F.col("n_parts") >= 2) & (F.col("least") >= min_basin_cells) & F.col("begin.j").isNotNull() & F.col("end.j").isNotNull())
+    return found.select(F.col("corridor").cast("int").alias("corridor"), F.col("n_cells").cast("int").alias("n_cells"), F.bround("lon", 4).alias("lon"), F.bround("lat", 4).alias("lat"), *[F.col(f"{e}.{c}").cast("int").alias(f"{e}_{c}") for e in ("begin", "end") for c in "ji"])
 
 
 def nearest_on_axis(points: DataFrame, axis: DataFrame, column: str, key: str, name: str) -> DataFrame:

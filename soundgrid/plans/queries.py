@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import basins, boundary, fixes, graph, grids, morphology, regrid, smooth, spatial, straits, thalweg
+from ..operators import basins, boundary, cuts, fixes, graph, grids, morphology, regrid, smooth, spatial, straits, thalweg
 from ..sources import fixture
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -561,7 +561,7 @@ def suggest_fixes(s, d):
 @query("articulation", f"""{comp_sql(0.3).rsplit("lab(id", 1)[0]}fl(v, id) AS (SELECT s, min(t) FROM e GROUP BY s UNION SELECT fl.v, e.t FROM fl JOIN e ON e.s = fl.id WHERE e.t <> fl.v)
 SELECT j, i FROM w WHERE id IN (SELECT e.s FROM e LEFT JOIN fl ON fl.v = e.s AND fl.id = e.t WHERE fl.id IS NULL)""", True)
 def articulation(s, d):
-    return graph.articulation_points(fixture.coarse(s, d).where("mask = 1").select("j", "i", "id"))
+    return cuts.choke_points(fixture.coarse(s, d).where("mask = 1").select("j", "i", "id"))
 
 
 def _stops(s: SparkSession) -> DataFrame:

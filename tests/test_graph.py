@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from soundgrid.operators import deepest, graph, straits
+from soundgrid.operators import cuts, deepest, straits, thalweg
 
 FOUR = ((-1, 0), (1, 0), (0, -1), (0, 1))
 
@@ -30,13 +30,61 @@ def n_parts(cells):
     return n
 
 
-def test_articulation_is_what_splits_a_component():
-    rnd = random.Random(1)
-    for _ in range(150):
-        cells = {(j, i) for j in range(rnd.randint(1, 7)) for i in range(rnd.randint(1, 7)) if rnd.random() < 0.65}
-        got = graph.articulation(pd.DataFrame(sorted(cells), columns=["j", "i"]))
-        want = [c for c in sorted(cells) if n_parts(cells - {c}) > n_parts(cells)]
-        assert list(got.itertuples(index=False, name=None)) == want
+@pytest.mark.parametrize("tile", [2, 3, 256])
+def test_choke_points_are_what_splits_a_component(spark, tile):
+    """Many levels of tiles or a single one; several grids far from each other in one go."""
+    rnd, cells, want = random.Random(1), set(), []
+    for k in range(40):
+        own = {(j, i + 20 * k) for j in range(rnd.randint(1, 9)) for i in range(rnd.randint(1, 9)) if rnd.random() < 0.7}
+        whole = n_parts(own)
+        want += [c for c in own if n_parts(own - {c}) > whole]
+        cells |= own
+    got = cuts.choke_points(spark.createDataFrame(sorted(cells) + sorted(cells)[:3], "j int, i int"), tile=tile).collect()
+    assert sorted((r.j, r.i) for r in got) == sorted(want) and len(want) > 100
+
+
+def test_no_choke_points(spark):
+    assert cuts.choke_points(spark.createDataFrame([], "j int, i int")).collect() == []
+    assert cuts.choke_points(spark.createDataFrame([(5, 5), (5, 6), (9, 9)], "j int, i int")).collect() == []
+
+
+def corridors(cells, least, margin, merge):
+    """Group by group: what is left without it, and the deepest cells of its two largest parts near it."""
+    wet = set(cells)
+    points = {c for c in wet if n_parts(wet - {c}) > n_parts(wet)}
+    wide = {(j + a, i + b) for j, i in points for a in range(-merge, merge + 1) for b in range(-merge, merge + 1) if abs(a) + abs(b) <= merge}
+    out, left = [], set(points)
+    while left:
+        start = min(left, key=lambda c: min(reached(wide, c)))
+        own = points & reached(wide, start)
+        left -= own
+        rest, parts = wet - own, []
+        while rest:
+            parts.append(reached(rest, next(iter(rest))))
+            rest -= parts[-1]
+        parts.sort(key=lambda p: (-len(p), min(p)))
+        if len(parts) < 2 or min(map(len, parts)) < least:
+            continue
+        js, is_ = [c[0] for c in own], [c[1] for c in own]
+        near = [[c for c in p if min(js) - margin <= c[0] <= max(js) + margin and min(is_) - margin <= c[1] <= max(is_) + margin] for p in parts[:2]]
+        if all(near):
+            out.append((len(own), *[x for p in near for x in min(p, key=lambda c: (-cells[c], c))]))
+    return sorted(out)
+
+
+def test_corridors(spark):
+    rnd, n = random.Random(8), 0
+    for _ in range(3):
+        cells = {(j, i): float(rnd.randint(1, 40)) for j in range(16) for i in range(22) if i % 7 != 6 and rnd.random() < 0.97}
+        for k in (6, 13, 20):
+            cells[rnd.randint(2, 13), k] = 3.0
+        rows = [(j, i, 100 * j + i, float(i), float(j), d, 1) for (j, i), d in cells.items()]
+        df = spark.createDataFrame(rows, "j int, i int, id int, lon double, lat double, depth double, mask int")
+        got = sorted((r.n_cells, r.begin_j, r.begin_i, r.end_j, r.end_i) for r in thalweg.auto_corridors(df, min_basin_cells=3, margin=3, merge=1).collect())
+        want = corridors(cells, 3, 3, 1)
+        assert got == want
+        n += len(want)
+    assert n > 2
 
 
 def test_tree_path_is_as_deep_as_any():

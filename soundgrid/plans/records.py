@@ -53,9 +53,15 @@ def applied_log(s, d):
     return r6(out, "distance_deg").select("ord", "action", "row", "col", "distance_deg", "value")
 
 
-@query("fix_table", "w AS (SELECT 1 AS one) SELECT ord, lon, lat, action, CAST(value AS DOUBLE) AS value FROM (VALUES (0, 1.5, 50.5, 'set_depth', 12), (2, 1.25, 51, 'open_cell', 9), (3, 1, 52, 'blend_cell', NULL)) AS t(ord, lon, lat, action, value)")
+@query("fix_table", f"""{PTS}, q AS (SELECT *, CASE WHEN pid % 4 < 2 THEN 0 ELSE pid % 4 - 1 END AS part FROM p), n AS (SELECT *, CAST(row_number() OVER (ORDER BY part, pid) - 1 AS INT) AS ord FROM q)
+SELECT ord, lon, lat, CASE part WHEN 0 THEN 'set_depth' WHEN 1 THEN 'open_cell' ELSE 'blend_cell' END AS action, CASE part WHEN 0 THEN pid % 40 + 1.5::DOUBLE WHEN 1 THEN CAST(pid % 9 AS DOUBLE) END AS value FROM n WHERE part > 0 OR pid % 3 = 0""")
 def fix_table(s, d):
-    listed = fixes.load({"b001": {"lon": 1.5, "lat": 50.5, "value": 12, "applied": True, "_note": "seen"}, "b002": {"lon": 1.0, "lat": 50.0, "action": "close_cell", "applied": False}, "tw_sound": {"applied": True, "001": {"lon": 1.25, "lat": 51.0, "action": "open_cell", "depth": 9}}, "phantom_islands": {"applied": True, "001": {"lon": 1.0, "lat": 52.0, "action": "blend_cell"}}})
+    """A list of all three forms: single fixes, a route's group and phantom islands."""
+    rows = suppliers(s, d).orderBy("pid").collect()  # a list that people edit
+    spec = {f"b{r.pid}": {"lon": r.lon, "lat": r.lat, "value": r.pid % 40 + 1.5, "applied": r.pid % 3 == 0, "_note": "seen"} for r in rows if r.pid % 4 < 2}
+    spec["tw_sound"] = {"applied": True} | {f"{r.pid:06d}": {"lon": r.lon, "lat": r.lat, "action": "open_cell", "depth": r.pid % 9} for r in rows if r.pid % 4 == 2}
+    spec["phantom_islands"] = {"applied": True} | {f"{r.pid:06d}": {"lon": r.lon, "lat": r.lat, "action": "blend_cell"} for r in rows if r.pid % 4 == 3}
+    listed = fixes.load(spec)
     return fixes.table(s, fixes.resolve([f["key"] for f in listed], listed), applied_only=True)
 
 

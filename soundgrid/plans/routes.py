@@ -131,7 +131,7 @@ def route_variants(s, d):
     return r6(routes.by_variant(points, {"raw": raw, "clamped": clamped}, 0.07), "coarse_sill", "mae", "rmse")
 
 
-@query("route_modes", "SELECT category, mode FROM (VALUES ('AUTO', 'boundary'), ('WAYPOINT', 'waypoint'), ('OK', 'ok'), ('SILL_DEFICIT', 'sill_deficit'), ('U', 'strait'), ('V', 'strait')) t(category, mode), (SELECT count(*) AS n FROM c) z WHERE z.n > 0")
+@query("route_modes", f"{_STRAITS}, md AS (SELECT unnest([direction, category]) AS category FROM st) SELECT category, CASE WHEN category IN ('U', 'V') THEN 'strait' ELSE lower(category) END AS mode, count(*) AS n FROM md GROUP BY category", True)
 def route_modes(s, d):
-    listed = s.createDataFrame([(c,) for c in ("AUTO", "WAYPOINT", "OK", "SILL_DEFICIT", "U", "V")], "category string")
-    return listed.where(F.lit(not fixture.coarse(s, d).isEmpty())).select("category", routes.mode(F.col("category")).alias("mode"))
+    found = _straits(s, d).select(F.explode(F.array("direction", "category")).alias("category"))
+    return found.groupBy("category").agg(F.count(F.lit(1)).alias("n")).select("category", routes.mode(F.col("category")).alias("mode"), "n")

@@ -30,7 +30,7 @@ def n_parts(cells):
     return n
 
 
-@pytest.mark.parametrize("tile", [2, 3, 256])
+@pytest.mark.parametrize("tile", [2, 256])
 def test_choke_points_are_what_splits_a_component(spark, tile):
     """Many levels of tiles or a single one; several grids far from each other in one go."""
     rnd, cells, want = random.Random(1), set(), []
@@ -120,7 +120,7 @@ def test_split_windows_with_holes():
             assert straits.split_connected(pdf, axis) == want
 
 
-@pytest.mark.parametrize("tile", [2, 3, 256])
+@pytest.mark.parametrize("tile", [3, 256])
 def test_paths_by_tiles_are_those_of_the_whole_forest(spark, tile):
     """Many levels of tiles or a single one; several legs of a graph, and two graphs of the same ids."""
     rnd = random.Random(6)

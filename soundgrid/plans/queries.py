@@ -643,14 +643,16 @@ ar AS (SELECT branch, seq, sum(coalesce(part, 0)) AS area_m2 FROM tz GROUP BY br
 vo AS (SELECT sta.branch, sta.seq, s_m, area_m2, coalesce(area_m2 * dx_m, 0) AS volume_m3 FROM sta LEFT JOIN ar USING (branch, seq))"""
 
 
-@query("morphology", f"{_RAYS} SELECT branch, seq, {e6('s_m', 's_m')}, {e6('area_m2', 'area_m2')}, {e6('volume_m3', 'volume_m3')}, {e6('sum(volume_m3) OVER (PARTITION BY branch ORDER BY seq)', 'cumvol_m3')} FROM vo")
+@query("morphology", f"{_RAYS} SELECT branch, seq, {e6('s_m', 's_m')}, {e6('area_m2', 'area_m2')}, round_even(volume_m3, 0) AS volume_m3, round_even(sum(volume_m3) OVER (PARTITION BY branch ORDER BY seq), 0) AS cumvol_m3 FROM vo")
 def compute_morphology(s, d):
-    return r6(morphology.compute(_channel(s, d), fixture.fine(s, d), 500.0, 6000.0, 0.03), "volume_m3", "cumvol_m3", "area_m2", "s_m").select("branch", "seq", "s_m", "area_m2", "volume_m3", "cumvol_m3")
+    out = r6(morphology.compute(_channel(s, d), fixture.fine(s, d), 500.0, 6000.0, 0.03), "area_m2", "s_m")
+    return out.select("branch", "seq", "s_m", "area_m2", F.bround("volume_m3", 0).alias("volume_m3"), F.bround("cumvol_m3", 0).alias("cumvol_m3"))
 
 
-@query("branch_volumes", f"{_RAYS} SELECT branch, count(*) AS n_stations, {e6('sum(volume_m3)', 'volume_m3')}, {e6('max(s_m)', 'length_m')} FROM vo GROUP BY branch")
+@query("branch_volumes", f"{_RAYS} SELECT branch, count(*) AS n_stations, round_even(sum(volume_m3), 0) AS volume_m3, {e6('max(s_m)', 'length_m')} FROM vo GROUP BY branch")
 def branch_volumes(s, d):
-    return r6(morphology.branch_volumes(morphology.compute(_channel(s, d), fixture.fine(s, d), 500.0, 6000.0, 0.03)), "volume_m3", "length_m")
+    out = morphology.branch_volumes(morphology.compute(_channel(s, d), fixture.fine(s, d), 500.0, 6000.0, 0.03))
+    return r6(out, "length_m").withColumn("volume_m3", F.bround("volume_m3", 0))
 
 
 # --- comparison and output

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections import deque
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..tables import remove, written
-from . import spatial
+from . import graph, spatial
 
 ACTIONS = ("set_depth", "open_cell", "deepen_by", "close_cell", "mask_cell", "blend_cell")
 # Key prefix of each category.
@@ -151,28 +154,55 @@ def suggested(straits: DataFrame, bridges: DataFrame) -> DataFrame:
     return both.select("key", "category", "ord", "lon", "lat", "action", "value", F.concat_ws(": ", "category", "why").alias("comment"))
 
 
+def _padded(number) -> Column:
+    """Three digits at least, as text; larger numbers stay whole."""
+    text = number.cast("string")
+    return F.when(F.length(text) < 3, F.lpad(text, 3, "0")).otherwise(text)
+
+
+def _take_in_turn(pdf: pd.DataFrame) -> pd.DataFrame:
+    """o, n of one component's rows (kind, a, b, d): old fixes and their places, new fixes and theirs, near places and their distance."""
+    olds, news, near = (pdf[pdf["kind"] == k] for k in range(3))
+    left = {q: deque(sorted(g)) for q, g in news.groupby("b")["a"]}
+    lists = {p: list(zip(g["d"].tolist(), g["b"].tolist(), strict=True)) for p, g in near.sort_values(["d", "b"]).groupby("a")}
+    out = []
+    for o, p in sorted(zip(olds["a"].tolist(), olds["b"].tolist(), strict=True)):
+        spent, best = 0, None
+        for d, q in lists[p]:
+            if best is not None and d > best[0]:
+                break
+            if left[q]:
+                best = min(best, (d, left[q][0], q)) if best else (d, left[q][0], q)
+            elif best is None:
+                spent += 1
+        if spent:
+            del lists[p][:spent]
+        if best:
+            out.append((o, left[best[2]].popleft()))
+    return pd.DataFrame(out, columns=["o", "n"], dtype="int64")
+
+
 def matched(old: DataFrame, new: DataFrame, tolerance: float = 0.05) -> DataFrame:
     """o, n: places (ord, lon, lat) of old fixes and the new ones that they take, as if each old one in turn took the nearest that is left, closer than the tolerance (sum of both differences; the first on ties).
 
-    Pairs within the tolerance meet in bins. In a round, an old fix takes its nearest if no earlier one can still ask for
-    it; both then leave. The earliest one left can always take, so it ends; rounds are as many as the longest chain of
-    fixes that wait for each other.
+    Distinct places within the tolerance meet in bins. What an old fix takes depends only on those before it in its
+    component of near places, so each component goes through its turns by itself; its fixes are held once, not in pairs.
     """
     bins = lambda c: F.floor(F.col(c) / tolerance)
     around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    o = old.select(F.col("ord").alias("o"), F.col("lon").alias("x"), F.col("lat").alias("y"), around.alias("s"), bins("lon").alias("bx"), bins("lat").alias("by")).select("o", "x", "y", (F.col("bx") + F.col("s.a")).alias("bx"), (F.col("by") + F.col("s.b")).alias("by"))
-    n = new.select(F.col("ord").alias("n"), "lon", "lat", bins("lon").alias("bx"), bins("lat").alias("by"))
+    places = lambda df, name: df.groupBy("lon", "lat").agg(F.min("ord").cast("long").alias(name))
+    at, to = places(old, "p"), places(new, "q")
+    o = at.select("p", F.col("lon").alias("x"), F.col("lat").alias("y"), around.alias("s"), bins("lon").alias("bx"), bins("lat").alias("by")).select("p", "x", "y", (F.col("bx") + F.col("s.a")).alias("bx"), (F.col("by") + F.col("s.b")).alias("by"))
+    n = to.select("q", "lon", "lat", bins("lon").alias("bx"), bins("lat").alias("by"))
     d = F.abs(F.col("x") - F.col("lon")) + F.abs(F.col("y") - F.col("lat"))
-    left, out = written(o.join(n, ["bx", "by"]).select("o", "n", d.alias("d")).where(F.col("d") < tolerance), "fix-pairs"), None
-    while not left.isEmpty():
-        best = left.groupBy("o").agg(F.min(F.struct("d", "n")).alias("m")).select("o", F.col("m.n").alias("n"))
-        first = left.groupBy("n").agg(F.min("o").alias("o"))
-        taken = written(best.join(first, ["o", "n"]).select("o", "n"), "fix-matches")
-        out = taken if out is None else out.unionByName(taken)
-        rest = written(left.join(taken.select("o"), "o", "left_anti").join(taken.select("n"), "n", "left_anti").select("o", "n", "d"), "fix-pairs")
-        remove(left)
-        left = rest
-    return out if out is not None else left.select("o", "n")
+    near = written(o.join(n, ["bx", "by"]).select("p", "q", d.alias("d")).where(F.col("d") < tolerance), "near-places")
+    label = written(graph.components(near.select(F.col("p").alias("a"), (-1 - F.col("q")).alias("b"))), "near-labels")  # new places below zero
+    row = lambda kind, a, b, d: ("label", F.lit(kind).alias("kind"), F.col(a).cast("long").alias("a"), F.col(b).alias("b"), d.cast("double").alias("d"))
+    olds = old.join(at, ["lon", "lat"]).join(label, F.col("p") == F.col("node")).select(*row(0, "ord", "p", F.lit(None)))
+    news = new.join(to, ["lon", "lat"]).join(label, -1 - F.col("q") == F.col("node")).select(*row(1, "ord", "q", F.lit(None)))
+    pairs = near.join(label, F.col("p") == F.col("node")).select(*row(2, "p", "q", F.col("d")))
+    out = olds.unionByName(news).unionByName(pairs).groupBy("label").applyInPandas(lambda pdf: _take_in_turn(pdf), "o long, n long")
+    return out.select(F.col("o").cast(old.schema["ord"].dataType).alias("o"), F.col("n").cast(new.schema["ord"].dataType).alias("n"))
 
 
 def merge(old: DataFrame, new: DataFrame, tolerance: float = 0.05) -> DataFrame:

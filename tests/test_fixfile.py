@@ -31,6 +31,20 @@ def test_matches_are_those_of_the_loop(spark, spread):
     assert sorted(map(tuple, got)) == one_by_one(old, new, 0.4) != []
 
 
+def test_matches_of_crowded_places_take_few_jobs(spark):
+    """Fixes at the same few places wait for each other; jobs don't grow with how many they are."""
+    rnd, kind = random.Random(4), "ord int, lon double, lat double"
+    jobs = []
+    for times in (8, 40):
+        old, new = ([(k, rnd.randint(0, 3) * 0.25, rnd.randint(0, 2) * 0.25) for k in range(times * n)] for n in (4, 5))
+        spark.sparkContext.setJobGroup(f"crowd-{times}", "")
+        got = fixes.matched(spark.createDataFrame(old, kind), spark.createDataFrame(new, kind), 0.4).collect()
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"crowd-{times}")))
+        assert sorted(map(tuple, got)) == one_by_one(old, new, 0.4) != []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] <= 2 * jobs[0]
+
+
 def test_merge(spark):
     old = [("b001", 0, 1.0, 50.0, "open_cell", 5.0, True, "a"), ("b002", 1, 2.0, 50.0, "open_cell", 6.0, False, "b"), ("s007", 2, 3.0, 50.0, "set_depth", 7.0, True, "c"), ("x", 3, 9.0, 50.0, "close_cell", None, False, "d")]
     new = [("b001", 0, 5.0, 50.0, "open_cell", 1.0, "n0"), ("b002", 1, 2.01, 50.01, "open_cell", 2.0, "n1"), ("s001", 2, 3.0, 50.06, "set_depth", 3.0, "n2"), ("s007", 3, 7.0, 50.0, "set_depth", 4.0, "n3")]

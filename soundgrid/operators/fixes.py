@@ -222,7 +222,7 @@ def merge(old: DataFrame, new: DataFrame, tolerance: float = 0.05) -> DataFrame:
     top = kept.select("key").unionByName(fresh.select("key")).groupBy(prefix("key").alias("prefix")).agg(F.max(number("key")).alias("top"))
     fresh = fresh.join(kept.select("key", F.lit(True).alias("taken")), "key", "left").withColumn("prefix", prefix("key")).join(top, "prefix")
     n = F.row_number().over(Window.partitionBy("prefix", F.col("taken").isNull()).orderBy("n"))
-    numbered = F.concat("prefix", F.lpad((F.col("top") + n).cast("string"), 3, "0"))
+    numbered = F.concat("prefix", _padded(F.col("top") + n))
     fresh = fresh.withColumn("number", numbered).select(F.when(F.col("taken").isNull(), F.col("key")).otherwise(F.col("number")).alias("key"), "n", *what, F.lit(False).alias("applied"))
     listed = kept.withColumns({"late": F.lit(0), "at": F.col("o").cast("long")}).drop("o").unionByName(fresh.withColumns({"late": F.lit(1), "at": F.col("n").cast("long")}).drop("n"))
     return listed.withColumn("ord", (F.row_number().over(Window.orderBy("late", "at")) - 1).cast("int")).select("key", *what[:4], "applied", "comment", "ord")

@@ -62,6 +62,12 @@ def test_merge(spark):
     assert [r.key for r in fixes.merge(none, spark.createDataFrame(new, NEW)).orderBy("ord").collect()] == ["b001", "b002", "s001", "s007"]
 
 
+def test_merged_keys_beyond_three_digits_stay_whole(spark):
+    old = spark.createDataFrame([("b1998", 0, 1.0, 50.0, "open_cell", 5.0, True, "a"), ("b998", 1, 2.0, 50.0, "open_cell", 5.0, True, "a")], OLD)
+    new = spark.createDataFrame([("b1998", 0, 5.0, 50.0, "open_cell", 1.0, "n0"), ("b998", 1, 6.0, 50.0, "open_cell", 1.0, "n1")], NEW)
+    assert [r.key for r in fixes.merge(old, new).orderBy("ord").collect()] == ["b1998", "b998", "b1999", "b2000"]
+
+
 def test_file_there_and_back(spark, tmp_path):
     path = f"file://{tmp_path}/fixes.yaml"
     assert fixfile.read(spark, path).collect() == [] and fixfile.mark_all_applied(spark, path) == 0

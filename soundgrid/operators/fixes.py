@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from ..tables import remove, written
 from . import graph, spatial
 
@@ -145,10 +146,10 @@ def number_keys(records: DataFrame) -> DataFrame:
 def suggested(straits: DataFrame, bridges: DataFrame) -> DataFrame:
     """key, category, ord, lon, lat, action, value, comment: what straits (found by straits.find, in the order of ord) and land bridges (j, i, lon, lat, ord, wet_fraction, n_components, estimated_depth) ask for."""
     c = F.col("category")
-    value = F.when(c == "AREA_DEFICIT", F.bround(F.col("sill_fine") * 0.9, 1)).otherwise(F.col("sill_fine"))
-    why = F.when(c == "BLOCKED", "no wet path in the raster").when(c == "SILL_DEFICIT", F.format_string("sill ratio %.2f", F.bround("sill_ratio", 2))).otherwise(F.format_string("area ratio %.2f", F.bround("area_ratio", 2)))
+    value = F.when(c == "AREA_DEFICIT", geo.half_even(F.col("sill_fine") * 0.9, 1)).otherwise(F.col("sill_fine"))
+    why = F.when(c == "BLOCKED", "no wet path in the raster").when(c == "SILL_DEFICIT", F.format_string("sill ratio %.2f", geo.half_even("sill_ratio", 2))).otherwise(F.format_string("area ratio %.2f", geo.half_even("area_ratio", 2)))
     narrow = straits.where(c.isin("BLOCKED", "SILL_DEFICIT", "AREA_DEFICIT")).select("category", "ord", "lon", "lat", F.when(c == "BLOCKED", "open_cell").otherwise("set_depth").alias("action"), value.alias("value"), why.alias("why"))
-    joined = F.format_string("wet fraction %.2f, joins %d basins", F.bround("wet_fraction", 2), "n_components")
+    joined = F.format_string("wet fraction %.2f, joins %d basins", geo.half_even("wet_fraction", 2), "n_components")
     land = bridges.select(F.lit("LAND_BRIDGE").alias("category"), "ord", "lon", "lat", F.lit("open_cell").alias("action"), F.col("estimated_depth").alias("value"), joined.alias("why"))
     both = number_keys(narrow.unionByName(land))
     return both.select("key", "category", "ord", "lon", "lat", "action", "value", F.concat_ws(": ", "category", "why").alias("comment"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -33,6 +33,11 @@ def windows(faces: DataFrame, dlon: float, dlat: float) -> DataFrame:
     return faces.withColumns({"lon0": F.col("lon") - wx, "lon1": F.col("lon") + wx, "lat0": F.col("lat") - wy, "lat1": F.col("lat") + wy})
 
 
+def _km(lat: str) -> Column:
+    """Kilometres of a degree across the direction. Areas of both rasters are multiplied in one order, so that equal ratios round alike."""
+    return F.lit(geo.KM_PER_DEG) * F.when(F.col("direction") == "U", 1.0).otherwise(F.cos(F.radians(lat)))
+
+
 def sections(faces: DataFrame, fine: DataFrame, dlon: float, dlat: float, fine_dlon: float, fine_dlat: float) -> DataFrame:
     """faces with width_km, sill_fine, area_fine of the fine line nearest to the interface (the first on ties)."""
     f = fine.select("lon", "lat", "depth", F.col("j").alias("fj"), F.col("i").alias("fi"))
@@ -43,9 +48,10 @@ def sections(faces: DataFrame, fine: DataFrame, dlon: float, dlat: float, fine_d
     hit = hit.withColumns({"off": off, "line": line})
     keys = ["direction", "j", "i"]
     best = hit.groupBy(*keys).agg(F.min(F.struct("off", "line")).alias("m")).select(*keys, F.col("m.line").alias("line"))
-    cell = F.when(F.col("direction") == "U", F.lit(fine_dlat * geo.KM_PER_DEG)).otherwise(F.lit(fine_dlon * geo.KM_PER_DEG) * F.cos(F.radians("y")))
+    u = F.col("direction") == "U"
+    fine_deg, km = F.when(u, fine_dlat).otherwise(fine_dlon), _km("y")
     out = hit.join(best, [*keys, "line"]).groupBy(*keys, "x", "y", "d1", "d2").agg(F.count_if(F.col("depth").isNotNull()).alias("n_wet"), F.coalesce(F.max("depth"), F.lit(0.0)).alias("sill_fine"), F.sum(F.coalesce("depth", F.lit(0.0))).alias("sum_depth"))
-    return out.withColumns({"width_km": F.col("n_wet") * cell, "area_fine": F.col("sum_depth") * cell * 1000.0}).drop("n_wet", "sum_depth").withColumnsRenamed({"x": "lon", "y": "lat"})
+    return out.withColumns({"width_km": F.col("n_wet") * fine_deg * km, "area_fine": F.col("sum_depth") * (fine_deg * 1000.0) * km}).drop("n_wet", "sum_depth").withColumnsRenamed({"x": "lon", "y": "lat"})
 
 
 def split_connected(pdf: pd.DataFrame, axis: str) -> bool:
@@ -83,14 +89,13 @@ def connected(faces: DataFrame, fine: DataFrame, dlon: float, dlat: float) -> Da
 def classify(records: DataFrame, dlon: float, dlat: float, sill_ratio: float = 0.7, area_ratio: float = 0.5) -> DataFrame:
     """records with coarse section, ratios and category; interfaces that are wide and OK are dropped."""
     u = F.col("direction") == "U"
-    face_km = F.when(u, F.lit(dlat * geo.KM_PER_DEG)).otherwise(F.lit(dlon * geo.KM_PER_DEG) * F.cos(F.radians("lat")))
-    r = records.withColumn("sill_coarse", (F.col("d1") + F.col("d2")) / 2).withColumn("area_coarse", F.col("sill_coarse") * face_km * 1000.0)
+    r = records.withColumn("sill_coarse", (F.col("d1") + F.col("d2")) / 2).withColumn("area_coarse", F.col("sill_coarse") * (F.when(u, dlat).otherwise(dlon) * 1000.0) * _km("lat"))
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     r = r.withColumns({"sill_ratio": ratio("sill_fine", "sill_coarse"), "area_ratio": ratio("area_fine", "area_coarse")})
     category = F.when(~F.col("connected"), "BLOCKED").when(F.col("sill_ratio") < sill_ratio, "SILL_DEFICIT").when(F.col("area_ratio") < area_ratio, "AREA_DEFICIT").otherwise("OK")
     limit = F.when(u, F.lit(2 * dlon * geo.KM_PER_DEG) * F.cos(F.radians("lat"))).otherwise(F.lit(2 * dlat * geo.KM_PER_DEG))
     r = r.withColumn("category", category).where((F.col("category") != "OK") | (F.col("width_km") < limit))
-    return r.withColumns({"width_km": F.bround("width_km", 2), "sill_fine": F.bround("sill_fine", 1), "sill_coarse": F.bround("sill_coarse", 1), "sill_ratio": F.bround("sill_ratio", 3), "area_ratio": F.bround("area_ratio", 3), "area_fine": F.bround("area_fine", 0), "area_coarse": F.bround("area_coarse", 0)}).drop("d1", "d2")
+    return r.withColumns({"width_km": geo.half_even("width_km", 2), "sill_fine": geo.half_even("sill_fine", 1), "sill_coarse": geo.half_even("sill_coarse", 1), "sill_ratio": geo.half_even("sill_ratio", 3), "area_ratio": geo.half_even("area_ratio", 3), "area_fine": geo.half_even("area_fine", 0), "area_coarse": geo.half_even("area_coarse", 0)}).drop("d1", "d2")
 
 
 def find(cells: DataFrame, fine: DataFrame, dlon: float, dlat: float, fine_dlon: float, fine_dlat: float, wet_fraction: float = 0.3, **limits: float) -> DataFrame:
@@ -102,7 +107,7 @@ def find(cells: DataFrame, fine: DataFrame, dlon: float, dlat: float, fine_dlon:
 def ranked(records: DataFrame, top: int | None = None) -> DataFrame:
     """records, worst first: category, sill deficit (largest), area ratio, place."""
     rank = F.array_position(F.array(*[F.lit(c) for c in RANK]), F.col("category"))
-    deficit = F.bround(F.col("sill_coarse") * (1 - F.col("sill_ratio")), 6)
+    deficit = geo.half_even(F.col("sill_coarse") * (1 - F.col("sill_ratio")), 6)
     out = records.withColumns({"rank": rank, "sill_deficit": deficit}).orderBy("rank", F.desc("sill_deficit"), "area_ratio", "direction", "j", "i")
     return out.limit(top) if top else out
 

@@ -7,6 +7,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
+from soundgrid.operators import straits
 from soundgrid.plans import queries as grid
 from soundgrid.plans import fixfile, model_grids, records, routes, wide  # noqa: F401  (they register more of them)
 
@@ -48,3 +49,12 @@ def test_runs(spark, name):
     got = grid.QUERIES[name](spark, SF).collect()
     assert (len(got) > 0) == (name != "auto_corridors")
     assert all(any(v is not None for v in r) for r in got)
+
+
+@pytest.mark.parametrize("total, depth, want", [(7.0, 140 / 9, 0.112), (9.0, 18.0, 0.125), (39.0, 12.0, 0.812), (5.0, 20.0, 0.062)])
+def test_area_ratios_halfway_round_as_in_sql(spark, total, depth, want):
+    """One wet fine cell in the face's line: the ratio is total / (4 * depth), most of them halfway between three digits."""
+    fine = spark.createDataFrame([(j, i, 0.0125 + 0.025 * i, 50.0125 + 0.025 * j, total if (j, i) == (1, 3) else None) for j in range(4) for i in range(8)], "j int, i int, lon double, lat double, depth double")
+    face = spark.createDataFrame([("U", 0, 0, 0.1, 50.05, depth, depth)], "direction string, j int, i int, lon double, lat double, d1 double, d2 double")
+    found = straits.sections(face, fine, 0.1, 0.1, 0.025, 0.025).selectExpr("*", "false as connected")
+    assert [r.area_ratio for r in straits.classify(found, 0.1, 0.1).collect()] == [want]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..tables import remove, written
+from ..tables import written
 from . import graph, spatial
 
 ACTIONS = ("set_depth", "open_cell", "deepen_by", "close_cell", "mask_cell", "blend_cell")
@@ -87,53 +87,52 @@ def neighbour_mean(cells: DataFrame) -> DataFrame:
     return cells.where("mask = 1").select("depth", to.alias("t")).groupBy("t.j", "t.i").agg(F.avg("depth").alias("blend"))
 
 
-def _steps(fixes: list[tuple]) -> list[list[tuple]]:
-    """Fixes (ord, j, i, action, value) in order, dealt into steps: those of a step neither touch nor read a cell that another one changes."""
-    wrote, read, steps = {}, {}, []
-    for f in fixes:
-        _, j, i, action, _ = f
-        around = [(j + a, i + b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b] if action == "blend_cell" else []
-        step = 1 + max([wrote.get((j, i), -1), read.get((j, i), -1), *(wrote.get(c, -1) for c in around)])
-        wrote[j, i] = step
-        for c in around:
-            read[c] = max(step, read.get(c, -1))
-        steps += [[] for _ in range(step + 1 - len(steps))]
-        steps[step].append(f)
-    return steps
+def _in_turn(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Cells of one component after its fixes in turn; rows are the cells that fixes change or read (no ord), and the fixes."""
+    known = lambda x: None if pd.isna(x) else x
+    cells = {(r.j, r.i): [known(r.depth), known(r.mask), known(r.wet_fraction)] for r in pdf[pdf["ord"].isna()].itertuples()}
+    listed = pdf[pdf["ord"].notna()].sort_values("ord")
+    for j, i, action, value in zip(listed["j"], listed["i"], listed["action"], listed["value"], strict=True):
+        c, value = cells[j, i], known(value)
+        if action == "blend_cell":
+            near = [cells[j + a, i + b] for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (j + a, i + b) in cells]
+            wet = [n[0] for n in near if n[1] == 1 and n[0] is not None]
+            c[0] = sum(wet) / len(wet) if wet else c[0]
+        elif action in ("close_cell", "mask_cell"):
+            c[:] = [None, 0, 0.0]
+        else:
+            deeper = None if c[0] is None else max(c[0] + (value or 0.0), 0.0)  # land has no depth to start from
+            c[:] = [deeper if action == "deepen_by" else 10.0 if value is None else value, 1, max(c[2] or 0.0, 0.01)]
+    changed = sorted(set(zip(listed["j"], listed["i"], strict=True)))
+    return pd.DataFrame([(j, i, *cells[j, i]) for j, i in changed], columns=["j", "i", "new_depth", "new_mask", "new_wet"])
 
 
 def apply(cells: DataFrame, fixes: DataFrame) -> DataFrame:
     """cells after all fixes, each of which sees what those before it in the order of ord have done.
 
-    The list of fixes (small, edited by hand) is located by one join and ordered on the driver. Fixes that don't meet go
-    together, and each step is written, so the plan doesn't grow: as many steps as the longest chain of fixes that meet.
+    Fixes are located by one join. Cells with fixes are linked where a blend reads one of them; each component then goes
+    through its fixes in turn, beside the others, in one pass over the list.
     """
-    rows = fixes.orderBy("ord").collect()
-    bad = [r.action for r in rows if r.action not in ACTIONS]
+    bad = [r.action for r in fixes.where(~F.coalesce(F.col("action").isin(*ACTIONS), F.lit(False))).select("action").distinct().limit(20).collect()]
     if bad:
-        raise ValueError(f"unknown actions: {', '.join(sorted(set(bad)))}")
-    if not rows:
-        return cells
-    spark, cells = cells.sparkSession, written(cells, "fixes")
-    listed = spark.createDataFrame([(k, r.lon, r.lat, r.action, r.value) for k, r in enumerate(rows)], "ord int, lon double, lat double, action string, value double")
-    at = sorted(tuple(r) for r in located(listed, cells).select("ord", "j", "i", "action", "value").collect())
-    for step in _steps(at):
-        df = spark.createDataFrame(step, "ord int, j int, i int, action string, value double").drop("ord")
-        out = cells.join(F.broadcast(df), ["j", "i"], "left")
-        if any(f[3] == "blend_cell" for f in step):
-            out = out.join(neighbour_mean(cells), ["j", "i"], "left")
-        else:
-            out = out.withColumn("blend", F.lit(None).cast("double"))
-        action, opened, closed = F.col("action"), F.col("action").isin("set_depth", "open_cell"), F.col("action").isin("close_cell", "mask_cell")
-        deeper = F.when(F.col("depth").isNotNull(), F.greatest(F.col("depth") + F.coalesce("value", F.lit(0.0)), F.lit(0.0)))  # land has no depth to start from
-        depth = F.when(opened, F.coalesce("value", F.lit(10.0))).when(action == "deepen_by", deeper).when(closed, None).when((action == "blend_cell") & F.col("blend").isNotNull(), F.col("blend")).otherwise(F.col("depth"))
-        opened = opened | (action == "deepen_by")
-        changed = {"depth": depth, "mask": F.when(opened, 1).when(closed, 0).otherwise(F.col("mask")).cast("tinyint")}
-        if "wet_fraction" in cells.columns:
-            changed["wet_fraction"] = F.when(opened, F.greatest("wet_fraction", F.lit(0.01))).when(closed, 0.0).otherwise(F.col("wet_fraction"))
-        before, cells = cells, written(out.withColumns(changed).select(cells.columns), "fixes")
-        remove(before)
-    return cells
+        raise ValueError(f"unknown actions: {', '.join(sorted(map(str, bad)))}")
+    cells = written(cells, "cells")
+    at = written(located(fixes, cells).select("ord", F.col("j").cast("int").alias("j"), F.col("i").cast("int").alias("i"), "action", "value"), "located-fixes")
+    number = lambda j, i: F.col(j).cast("long") * (1 << 32) + F.col(i)
+    fixed = at.select("j", "i", number("j", "i").alias("id")).distinct()
+    around = F.explode(F.array(*[F.struct((F.col("j") + a).alias("j"), (F.col("i") + b).alias("i")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
+    read = at.where("action = 'blend_cell'").select("j", "i").distinct().select(number("j", "i").alias("a"), around.alias("t")).select("a", "t.j", "t.i")
+    label = graph.components(read.join(fixed, ["j", "i"]).select("a", F.col("id").alias("b")))
+    fixed = written(fixed.join(label.withColumnRenamed("node", "id"), "id", "left").select("j", "i", "id", F.coalesce("label", "id").alias("label")), "fixed-cells")
+    held = fixed.select("label", "j", "i").unionByName(read.join(fixed.select(F.col("id").alias("a"), "label"), "a").select("label", "j", "i")).distinct()
+    wet = F.col("wet_fraction") if "wet_fraction" in cells.columns else F.lit(None)
+    state = held.join(cells.select("j", "i", F.col("depth").cast("double").alias("depth"), "mask", wet.cast("double").alias("wet_fraction")), ["j", "i"])
+    listed = at.join(fixed.select("j", "i", "label"), ["j", "i"])
+    changed = state.unionByName(listed, allowMissingColumns=True).groupBy("label").applyInPandas(lambda pdf: _in_turn(pdf), "j int, i int, new_depth double, new_mask tinyint, new_wet double")
+    hit = F.col("new_mask").isNotNull()
+    columns = {"depth": "new_depth", "mask": "new_mask"} | ({"wet_fraction": "new_wet"} if "wet_fraction" in cells.columns else {})
+    out = cells.join(changed, ["j", "i"], "left").withColumns({c: F.when(hit, F.col(n)).otherwise(F.col(c)) for c, n in columns.items()})
+    return out.withColumn("mask", F.col("mask").cast("tinyint")).select(cells.columns)
 
 
 def number_keys(records: DataFrame) -> DataFrame:

@@ -33,6 +33,19 @@ def test_all_fixes_in_order(spark):
     assert {(r.j, r.i): (None if r.depth is None else round(r.depth, 6), r["mask"], round(r.wet_fraction, 6)) for r in got} == want
 
 
+def test_jobs_do_not_grow_with_fixes_on_a_cell(spark):
+    cells = spark.createDataFrame([(0, i, float(i), 0.0, 5.0, 1, 0.9) for i in range(3)], "j int, i int, lon double, lat double, depth double, mask tinyint, wet_fraction double")
+    jobs = []
+    for times in (2, 20):
+        listed = [(k, float(k % 2), 0.0, ("deepen_by", "blend_cell")[k % 2], 1.0) for k in range(2 * times)]
+        spark.sparkContext.setJobGroup(f"chain-{times}", "")
+        got = {r.i: r.depth for r in fixes.apply(cells, spark.createDataFrame(listed, "ord int, lon double, lat double, action string, value double")).collect()}
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"chain-{times}")))
+        assert got == {0: 5.0 + times, 1: (10.0 + times) / 2, 2: 5.0}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] <= 2 * jobs[0]
+
+
 def test_query_takes_every_fix(spark, monkeypatch):
     taken = []
     monkeypatch.setattr(fixes, "apply", lambda cells, listed: taken.append(listed.count()) or cells)

@@ -175,13 +175,14 @@ def crossing(routes: DataFrame, min_sill: float, max_detour: float) -> DataFrame
 def distinct_sills(routes: DataFrame, tolerance: float = 2.0) -> DataFrame:
     """routes (edge_a, edge_b, ord, sill_depth) in order, without those whose sill is within the tolerance of one kept for the same two edges.
 
-    Which one is kept depends on the order, so the sills of a pair of edges (few: starts on two edges) are folded.
+    Only the first route of each depth can be kept. Which one is depends on the order, so the depths of a pair of edges are folded.
     """
     pair = routes.withColumns({"lo": F.least("edge_a", "edge_b"), "hi": F.greatest("edge_a", "edge_b")})
-    listed = pair.groupBy("lo", "hi").agg(F.array_sort(F.collect_list(F.struct("ord", "sill_depth"))).alias("all"))
+    first = pair.groupBy("lo", "hi", "sill_depth").agg(F.min("ord").alias("ord"))
+    listed = first.groupBy("lo", "hi").agg(F.array_sort(F.collect_list(F.struct("ord", "sill_depth"))).alias("all"))
     far = lambda kept, x: ~F.exists(kept, lambda k: F.abs(k.sill_depth - x.sill_depth) < tolerance)
     kept = F.aggregate("all", F.slice("all", 1, 0), lambda acc, x: F.when(far(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
-    stay = listed.select("lo", "hi", F.explode(F.transform(kept, lambda x: x.ord)).alias("ord"))
+    stay = written(listed.select("lo", "hi", F.explode(F.transform(kept, lambda x: x.ord)).alias("ord")), "kept-sills")
     return pair.join(stay, ["lo", "hi", "ord"], "left_semi").drop("lo", "hi")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..operators import basins, boundary, fixes, grids, morphology, smooth, thalweg
 from ..sources import fixture
+from ..tables import numbered
 from .queries import D2, KK, PATHS, POLYGON, PROFILE, PTS, REGIONS, _fixes, e6, finer, paths, query, r6, suppliers
 
 # --- corrections
@@ -183,23 +184,24 @@ def deepest_in_box(s, d):
 _ROUTES = "rt AS (SELECT l_orderkey % 50 AS g, 'e' || (l_partkey % 3) AS edge_a, 'e' || (l_suppkey % 3) AS edge_b, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS ord, l_quantity AS sill_depth, l_linenumber * 2 AS n, l_partkey % 4 AS n_inside, l_quantity * 3 AS length_km, l_suppkey % 30 AS direct_km FROM lineitem)"
 
 
-def _routes(s, d):
-    from pyspark.sql import Window
-
-    li = s.read.parquet(f"{d}/lineitem.parquet")
-    n = F.row_number().over(Window.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+def _routes(lines):
     edge = lambda c: F.concat(F.lit("e"), (F.col(c) % 3).cast("string"))
-    return li.select(edge("l_partkey").alias("edge_a"), edge("l_suppkey").alias("edge_b"), n.alias("ord"), F.col("l_quantity").alias("sill_depth"), (F.col("l_linenumber") * 2).alias("n"), (F.col("l_partkey") % 4).alias("n_inside"), (F.col("l_quantity") * 3).alias("length_km"), (F.col("l_suppkey") % 30).alias("direct_km"))
+    return lines.withColumns({"edge_a": edge("l_partkey"), "edge_b": edge("l_suppkey"), "sill_depth": F.col("l_quantity"), "n": F.col("l_linenumber") * 2, "n_inside": F.col("l_partkey") % 4, "length_km": F.col("l_quantity") * 3, "direct_km": F.col("l_suppkey") % 30})
+
+
+def _lines(s, d):
+    return s.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
 
 
 @query("crossing_routes", f"{_ROUTES} SELECT edge_a, edge_b, count(*) AS n, sum(sill_depth) AS depths FROM rt WHERE n >= 5 AND sill_depth >= 10 AND n_inside >= 2 AND (direct_km = 0 OR length_km <= 3 * direct_km) GROUP BY ALL")
 def crossing_routes(s, d):
-    return thalweg.crossing(_routes(s, d), 10.0, 3.0).groupBy("edge_a", "edge_b").agg(F.count(F.lit(1)).alias("n"), F.sum("sill_depth").alias("depths"))
+    return thalweg.crossing(_routes(_lines(s, d)), 10.0, 3.0).groupBy("edge_a", "edge_b").agg(F.count(F.lit(1)).alias("n"), F.sum("sill_depth").alias("depths"))
 
 
 @query("distinct_sills", f"{_ROUTES}, pr AS (SELECT least(edge_a, edge_b) AS lo, greatest(edge_a, edge_b) AS hi, list([CAST(ord AS DOUBLE), CAST(sill_depth AS DOUBLE)] ORDER BY ord) AS a FROM rt GROUP BY 1, 2), kp AS (SELECT unnest(list_reduce(list_prepend(CAST([] AS DOUBLE[][]), list_transform(a, lambda x: [x])), lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: abs(k[2] - x[1][2]) < 2)) > 0 THEN acc ELSE list_concat(acc, x) END)) AS k FROM pr) SELECT CAST(k[1] AS INT) AS ord, k[2] AS sill_depth FROM kp")
 def distinct_sills(s, d):
-    return thalweg.distinct_sills(_routes(s, d)).select("ord", "sill_depth")
+    lines = numbered(_lines(s, d), "ord", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return thalweg.distinct_sills(_routes(lines)).select(F.col("ord").cast("int").alias("ord"), "sill_depth")
 
 
 @query("corridors_not_manual", "q AS (SELECT CAST(j // 6 * 4 + i // 6 AS INT) AS corridor, lon, lat FROM c), m AS (SELECT corridor, avg(lon) AS lon, avg(lat) AS lat FROM q GROUP BY corridor) SELECT corridor FROM m WHERE NOT (abs(lon - 2.1) < 0.35 AND abs(lat - 52.1) < 0.35) AND NOT (abs(lon - 0.3) < 0.35 AND abs(lat - 51.9) < 0.35) AND corridor NOT IN (SELECT corridor FROM q WHERE lon BETWEEN 0.5 AND 1.0 AND lat BETWEEN 50.2 AND 50.4)")

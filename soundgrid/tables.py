@@ -8,7 +8,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _OWN_DIR: list[str] = []
 
@@ -43,3 +44,12 @@ def remove(df: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = sc._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """df with name: a row's place from 1 in the order. Ranges are sorted side by side; each adds the rows of those before it."""
+    at = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    at = at.withColumn("_range", F.shiftright("_at", 33))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # one row a range
+    starts = at.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    return at.join(F.broadcast(starts), "_range").withColumn(name, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_at", "_range", "_before")

@@ -136,3 +136,14 @@ def test_records_without_coarse(spark):
     assert (r.n, r.fine_sill, r.fine_sill_km, r.coarse_sill, r.mae, r.category) == (4, 2.0, 2.0, None, None, "WAYPOINT")
     assert [r.m for r in spark.createDataFrame([("AUTO",), ("OK",), ("U",)], "c string").select(routes.mode(F.col("c")).alias("m")).collect()] == ["boundary", "ok", "strait"]
     assert deepest.TILE == 256
+
+
+def test_routes_are_numbered_side_by_side(spark):
+    """distinct_sills has no window over all routes, and a pair's list has each depth once."""
+    from soundgrid.plans import queries, records  # noqa: F401
+    from soundgrid.tables import numbered
+
+    got = numbered(spark.range(1000, 0, -1, 7).withColumn("x", F.expr("id div 3")), "n", "x", "id").orderBy("n").collect()
+    assert [(r.n, r.id) for r in got] == [(k, k) for k in range(1, 1001)]
+    plan = queries.QUERIES["distinct_sills"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "row_number" not in plan

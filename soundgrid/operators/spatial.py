@@ -16,29 +16,34 @@ def _small(df: DataFrame) -> bool:
 def nearest_cell(points: DataFrame, cells: DataFrame, key: str = "pid", max_deg: float | None = None, lon_scale: float = 1.0) -> DataFrame:
     """points with j, i and d2 of the nearest cell by squared degrees; ties go to the first in row-major order.
 
-    With max_deg, cells meet points in bins of that size and farther points get nulls. Without it a small set of points
+    With max_deg, points meet the cells of bins of that size and farther points get nulls. Without it a small set of points
     (its size is checked) meets all cells; for more points, rings of doubling bins are searched.
     """
+    if max_deg is not None:
+        return _nearest_in_bins(points, cells, max_deg, lon_scale)
+    if not _small(points):
+        return _nearest_by_rings(points, cells, key, lon_scale)
     p = points.withColumnsRenamed({"lon": "p_lon", "lat": "p_lat"})
     d2 = F.pow((F.col("lon") - F.col("p_lon")) * lon_scale, 2) + F.pow(F.col("lat") - F.col("p_lat"), 2)
-    if max_deg is None and not _small(points):
-        return _nearest_by_rings(points, cells, key, lon_scale)
-    if max_deg is None:
-        pairs = cells.select("j", "i", "lon", "lat").join(F.broadcast(p.select(key, "p_lon", "p_lat")))
-    else:
-        size = max_deg
-        near = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-        q = p.select(key, "p_lon", "p_lat", near.alias("s"))
-        q = q.select(key, "p_lon", "p_lat", (F.floor(F.col("p_lon") * lon_scale / size) + F.col("s.a")).alias("bx"), (F.floor(F.col("p_lat") / size) + F.col("s.b")).alias("by"))
-        c = cells.select("j", "i", "lon", "lat", F.floor(F.col("lon") * lon_scale / size).alias("bx"), F.floor(F.col("lat") / size).alias("by"))
-        pairs = q.join(c, ["bx", "by"])
-    best = pairs.withColumn("d2", d2)
-    if max_deg is not None:
-        best = best.where(F.col("d2") <= max_deg * max_deg)
+    best = cells.select("j", "i", "lon", "lat").join(F.broadcast(p.select(key, "p_lon", "p_lat"))).withColumn("d2", d2)
     best = best.groupBy(key).agg(F.min(F.struct("d2", "j", "i")).alias("m")).select(key, F.col("m.j").alias("j"), F.col("m.i").alias("i"), F.col("m.d2").alias("d2"))
     return points.join(best, key, "left")
 
 
+def _nearest_in_bins(points: DataFrame, cells: DataFrame, max_deg: float, lon_scale: float) -> DataFrame:
+    """Each distinct place of points meets one row: the list of the cells in the bins around it, so no pairs are sorted by point."""
+    bins = {"_bx": F.floor(F.col("lon") * lon_scale / max_deg), "_by": F.floor(F.col("lat") / max_deg)}
+    own = cells.withColumns(bins).groupBy("_bx", "_by").agg(F.collect_list(F.struct("lon", "lat", "j", "i")).alias("c"))
+    to = F.explode(F.array(*[F.struct((F.col("_bx") + a).alias("_bx"), (F.col("_by") + b).alias("_by")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
+    around = own.select("c", to.alias("t")).groupBy("t._bx", "t._by").agg(F.flatten(F.collect_list("c")).alias("_cells"))
+    d2 = lambda c: F.pow((c["lon"] - F.col("lon")) * lon_scale, F.lit(2)) + F.pow(c["lat"] - F.col("lat"), F.lit(2))
+    near = F.transform("_cells", lambda c: F.struct(d2(c).alias("d2"), c["j"].alias("j"), c["i"].alias("i")))
+    best = F.array_min(F.filter(near, lambda x: x["d2"] <= max_deg * max_deg))
+    places = points.select("lon", "lat").distinct().withColumns(bins).join(around, ["_bx", "_by"]).select("lon", "lat", best.alias("_m"))
+    out = points.join(places, ["lon", "lat"], "left")
+    return out.select(*points.columns, *[F.col(f"_m.{c}").alias(c) for c in ("j", "i", "d2")])
+
+
 def _nearest_by_rings(points: DataFrame, cells: DataFrame, key: str, lon_scale: float) -> DataFrame:
     span = cells.agg((F.max("lat") - F.min("lat")).alias("h"), (F.max("lon") - F.min("lon")).alias("w"), F.count(F.lit(1)).alias("n")).first()
     radius = 2 * max((span.h * span.w * lon_scale / max(span.n, 1)) ** 0.5, 1e-9)

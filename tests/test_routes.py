@@ -147,3 +147,27 @@ def test_routes_are_numbered_side_by_side(spark):
     assert [(r.n, r.id) for r in got] == [(k, k) for k in range(1, 1001)]
     plan = queries.QUERIES["distinct_sills"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "row_number" not in plan
+
+
+def test_nearest_within_sorts_no_pairs(spark):
+    """Cells of a bin come as one list; ties, points of one place and points out of reach are as in a loop."""
+    from soundgrid.operators import spatial
+
+    rnd = random.Random(3)
+    cells = [(j, i, i * 0.5, j * 0.5) for j in range(8) for i in range(8) if rnd.random() < 0.6]
+    points = [(k, rnd.randint(-8, 24) * 0.25, rnd.randint(-8, 24) * 0.25) for k in range(300)]
+    out = spatial.nearest_cell(spark.createDataFrame(points, "pid int, lon double, lat double"), spark.createDataFrame(cells, "j int, i int, lon double, lat double"), max_deg=1.0)
+    assert "min(struct(" not in out._jdf.queryExecution().toString()
+    near = {k: min(((x - c[2]) ** 2 + (y - c[3]) ** 2, c[0], c[1]) for c in cells) for k, x, y in points}
+    assert {r.pid: (r.j, r.i) for r in out.collect()} == {k: m[1:] if m[0] <= 1 else (None, None) for k, m in near.items()}
+
+
+def test_boxes_of_one_cell_are_searched_once(spark):
+    from soundgrid.operators import thalweg
+
+    fine = spark.createDataFrame([(j, i, float(i), float(j), float((j * 7 + i * 3) % 11)) for j in range(6) for i in range(6)], "j int, i int, lon double, lat double, depth double")
+    points = spark.createDataFrame([(k, 2.1, 3.1) for k in range(20)], "pid int, lon double, lat double")
+    out = thalweg.deepest_in_box(points, fine, (0.0, 9.0, 0.0, 9.0), 1)
+    assert "max(struct(" in (plan := out._jdf.queryExecution().toString()) and "Aggregate [pid" not in plan
+    best = max((float((j * 7 + i * 3) % 11), -j, -i) for j in (2, 3, 4) for i in (1, 2, 3))
+    assert sorted(map(tuple, out.collect())) == [(k, -best[1], -best[2], best[0]) for k in range(20)]

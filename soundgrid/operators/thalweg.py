@@ -84,8 +84,8 @@ def suggest_fixes(points: DataFrame, cells: DataFrame, min_deficit: float = 2.0,
     cell is always given. Depths of a cell are as many as a path has points in it.
     """
     p = points.withColumn("pid", F.concat_ws(":", "name", "seq"))
-    near = spatial.nearest_cell(p.select("pid", "lon", "lat"), cells.select("j", "i", "lon", "lat"), "pid", 1.0).select("pid", "j", "i")
-    g = p.join(near, "pid").groupBy("j", "i").agg(F.sort_array(F.collect_list("depth")).alias("d"), F.min("pct").alias("pct"), F.max("depth").alias("deepest"), F.array_sort(F.collect_set("name")).alias("names"))
+    near = spatial.nearest_cell(p, cells.select("j", "i", "lon", "lat"), "pid", 1.0)
+    g = near.where("d2 is not null").groupBy("j", "i").agg(F.sort_array(F.collect_list("depth")).alias("d"), F.min("pct").alias("pct"), F.max("depth").alias("deepest"), F.array_sort(F.collect_set("name")).alias("names"))
     pos = (F.size("d") - 1) * F.col("pct") / 100.0
     lo = F.floor(pos).cast("int")
     a, b = F.get("d", lo), F.get("d", F.least(lo + 1, F.size("d") - 1))
@@ -155,16 +155,16 @@ def wet_starts(points: DataFrame, fine: DataFrame, reach: int = 2) -> DataFrame:
 
 
 def deepest_in_box(points: DataFrame, fine: DataFrame, domain: tuple[float, float, float, float], radius: int = 20, key: str = "pid") -> DataFrame:
-    """key, j, i, depth: the deepest wet cell within radius rows and columns of each point's, those in the domain (lon0, lon1, lat0, lat1) first."""
-    at = on_axes(points, fine, key).select(key, F.col("j").alias("cj"), F.col("i").alias("ci"))
+    """key, j, i, depth: the deepest wet cell within radius rows and columns of each point's, those in the domain (lon0, lon1, lat0, lat1) first. Points of one cell share its box."""
+    at = written(on_axes(points, fine, key).select(key, F.col("j").alias("cj"), F.col("i").alias("ci")), "box-centres")
     size = 2 * radius + 1
     bins = lambda c: F.explode(F.sequence(F.floor((F.col(c) - radius) / size), F.floor((F.col(c) + radius) / size)))
-    boxes = at.withColumn("bj", bins("cj")).withColumn("bi", bins("ci"))
+    boxes = at.select("cj", "ci").distinct().withColumn("bj", bins("cj")).withColumn("bi", bins("ci"))
     wet = fine.where("depth is not null").withColumns({"bj": F.floor(F.col("j") / size), "bi": F.floor(F.col("i") / size)})
     pairs = boxes.join(wet, ["bj", "bi"]).where((F.abs(F.col("j") - F.col("cj")) <= radius) & (F.abs(F.col("i") - F.col("ci")) <= radius))
     inside = F.col("lon").between(domain[0], domain[1]) & F.col("lat").between(domain[2], domain[3])
-    best = pairs.groupBy(key).agg(F.max(F.struct(inside.alias("inside"), "depth", (-F.col("j")).alias("oj"), (-F.col("i")).alias("oi"))).alias("m"))
-    return best.select(key, (-F.col("m.oj")).alias("j"), (-F.col("m.oi")).alias("i"), F.col("m.depth").alias("depth"))
+    best = pairs.groupBy("cj", "ci").agg(F.max(F.struct(inside.alias("inside"), "depth", (-F.col("j")).alias("oj"), (-F.col("i")).alias("oi"))).alias("m"))
+    return at.join(best, ["cj", "ci"]).select(key, (-F.col("m.oj")).alias("j"), (-F.col("m.oi")).alias("i"), F.col("m.depth").alias("depth"))
 
 
 def crossing(routes: DataFrame, min_sill: float, max_detour: float) -> DataFrame:
